@@ -57,24 +57,20 @@ def read_batch(spark: SparkSession, path: str, lines: bool = False, schema: T.St
 def expand_variants(items: DataFrame, base_id: str = "base") -> DataFrame:
     """Every variant with the base features it does not change itself.
 
-    ``items`` has id, name, features and changed_features (maps). The base is one row and reaches the tasks as a
-    scalar. Without a base the items' own features are returned.
+    ``items`` has id, name, features and changed_features (maps). The base is a single row and becomes literals of the
+    plan. Without a base the items' own features are returned.
     """
-    base_rows = items.filter(F.col("id") == base_id).select("features").limit(1)
-    has_base = not base_rows.isEmpty()
-    empty = F.create_map().cast("map<string,double>")
-    changes = F.coalesce("features", "changed_features", empty)
-    if has_base:
-        base = F.coalesce(base_rows.scalar(), empty)
-        kept = F.map_filter(base, lambda k, v: ~F.map_contains_key(changes, k))
-        merged = F.when(F.col("id") == base_id, base).otherwise(F.map_concat(kept, changes))
-    else:
-        merged = changes
-    full = items.select("id", "name", merged.alias("m"))
-    keys = [r[0] for r in full.select(F.explode(F.map_keys("m")).alias("k")).distinct().limit(MAX_KEYS + 1).collect()]
+    base_row = items.filter(F.col("id") == base_id).select("features").limit(1).collect()
+    base = (base_row[0]["features"] or {}) if base_row else {}
+    changes = F.coalesce("features", "changed_features", F.create_map().cast("map<string,double>"))
+    full = items.select("id", "name", changes.alias("m"))
+    seen = full.select(F.explode(F.map_keys("m")).alias("k")).distinct().limit(MAX_KEYS + 1).collect()
+    keys = sorted({*base, *(r["k"] for r in seen)})
     if len(keys) > MAX_KEYS:
         raise ValueError(f"more than {MAX_KEYS} different features; they cannot become columns")
-    return full.select("id", "name", *[F.col("m").getItem(k).alias(k) for k in sorted(keys)])
+    return full.select("id", "name", *[
+        F.when(F.map_contains_key("m", k), F.col("m").getItem(k)).otherwise(F.lit(base.get(k)).cast("double")).alias(k) for k in keys
+    ])
 
 
 def read_scenarios(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
