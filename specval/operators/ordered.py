@@ -10,6 +10,7 @@ minima, ... from one bucket to the next.
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -23,6 +24,7 @@ from specval.session import materialize
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 20_000
+LARGEST = sys.float_info.max
 
 
 @dataclass(frozen=True)
@@ -41,7 +43,9 @@ class Key:
         kind = df.schema[self.name].dataType
         col = F.col(self.name)
         if isinstance(kind, (T.NumericType, T.BooleanType)):
-            return col.cast("double")
+            number = col.cast("double")
+            # infinities get the outermost finite codes, so that they can have a range of their own
+            return F.when(number == math.inf, LARGEST).when(number == -math.inf, -LARGEST).otherwise(number)
         if isinstance(kind, (T.DateType, T.TimestampType)):
             return F.unix_micros(col.cast("timestamp")).cast("double")
         head = F.rpad(F.hex(F.substring(F.encode(col.cast("string"), "utf-8"), 1, 6)), 12, "0")
@@ -104,29 +108,33 @@ def layout(df: DataFrame, group, order, rows_per_bucket: int = ROWS_PER_BUCKET,
     for level, k in enumerate(keys):
         code, name = f"__code{level}", f"__b{level}"
         plan.df = plan.df.withColumn(code, F.when(dense, k.code(df)))
-        splits, heavy = _splits(plan.df.select(code), code, n)
+        splits, heavy, gaps = _splits(plan.df.filter(dense).select(code), code, n, rows)
         cut = Bucketizer(splits=splits, inputCol=code, outputCol=name, handleInvalid="keep")
         number = F.col(name).cast("int")
         if k.descending:
             number = -number
         plan.df = cut.transform(plan.df).withColumn(name, F.coalesce(number, F.when(dense, F.lit(len(splits) + 2)).otherwise(0)))
         plan.buckets.append(name)
-        if not heavy:
-            plan.df = plan.df.drop(code)
+        if not heavy and not gaps:
             break
-        dense = dense & (F.col(code).isin(heavy) | F.col(code).isNull())
+        dense = dense & (F.col(code).isin(heavy) | F.col(code).isNull() | F.isnan(code))
     plan.df = plan.df.drop(*[f"__code{i}" for i in range(len(keys))])
     return plan
 
 
-def _splits(codes: DataFrame, code: str, n: int) -> tuple[list[float], list[float]]:
-    """Range limits for about n equal ranges; a value seen at two limits in a row gets a range of its own."""
-    usable = codes.filter(F.col(code).isNotNull() & ~F.isnan(code))
+def _splits(codes: DataFrame, code: str, n: int, rows: int) -> tuple[list[float], list[float], bool]:
+    """Range limits for about n equal ranges; a value seen at two limits in a row gets a range of its own.
+
+    Also says whether the missing values alone would fill a range.
+    """
     probs = [i / n for i in range(1, n)]
-    limits = usable.agg(F.percentile_approx(code, probs, max(10_000, 20 * n)).alias("p")).first()["p"] or []
+    number = F.nanvl(code, F.lit(None).cast("double"))
+    row = codes.agg(
+        F.percentile_approx(number, probs, max(10_000, 20 * n)).alias("p"), F.count_if(number.isNull()).alias("gaps")).first()
+    limits = row["p"] or []
     heavy = sorted({a for a, b in zip(limits, limits[1:]) if a == b})
-    inner = {x for x in limits if math.isfinite(x)} | {math.nextafter(v, math.inf) for v in heavy if math.isfinite(v)}
-    return [-math.inf, *sorted(x for x in inner if math.isfinite(x)), math.inf], heavy
+    inner = set(limits) | {math.nextafter(v, math.inf) for v in heavy}
+    return [-math.inf, *sorted(x for x in inner if math.isfinite(x)), math.inf], heavy, row["gaps"] * n > rows
 
 
 def row_numbers(df: DataFrame, order, name: str, group=(), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:

@@ -75,7 +75,6 @@ def efficient_vectors(df: DataFrame, features: list[str], price: str, block_rows
     """The efficient (features, price) combinations of rows without missing values."""
     columns = [*features, PRICE]
     vectors = df.groupBy(*features).agg(F.min(price).cast("double").alias(PRICE))
-    kinds = vectors.dtypes
     wide = vectors.select(*features, *[F.col(f).cast("double").alias(f"__d{i}") for i, f in enumerate(features)], PRICE)
     numeric = [*[f"__d{i}" for i in range(len(features))], PRICE]
     survivors = materialize(wide.mapInPandas(_local(numeric), wide.schema), "skyline")
@@ -87,7 +86,6 @@ def efficient_vectors(df: DataFrame, features: list[str], price: str, block_rows
         survivors, shrunk, left = merged, now < 0.7 * left, now
         if not shrunk:
             break
-    del kinds
     return _across_blocks(survivors, numeric, left, block_rows).select(*columns)
 
 
@@ -98,26 +96,29 @@ def _across_blocks(points: DataFrame, numeric: list[str], rows: int, block_rows:
     ranked = row_numbers(points, [PRICE, *[f"-{c}" for c in numeric[:-1]]], "__pos", rows_per_bucket=max(block_rows, 1))
     ranked = materialize(ranked.withColumn("__block", F.floor((F.col("__pos") - 1) / block_rows)), "skyline-blocks")
     features = numeric[:-1]
-    corners = ranked.groupBy("__block").agg(
-        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(features)], *[F.min(c).alias(f"lo{i}") for i, c in enumerate(features)],
-        F.min(PRICE).alias("cheapest"), F.max(PRICE).alias("dearest")).collect()  # one row per block
-    pairs = [
-        (int(t["__block"]), int(o["__block"])) for t in corners for o in corners
-        if o["cheapest"] <= t["dearest"] and all(o[f"hi{i}"] >= t[f"lo{i}"] for i in range(len(features)))
-    ]
-    plan = points.sparkSession.createDataFrame(pairs, "target bigint, other bigint")
-    targets = ranked.join(F.broadcast(plan.withColumnRenamed("target", "__block")), "__block").withColumnRenamed("__block", "target")
-    others = ranked.join(F.broadcast(plan.withColumnRenamed("other", "__block")), "__block").withColumnRenamed("__block", "other")
+    # one row per block; which blocks can hold a dominating row is a join on these corner values only
+    ends = [e for i, c in enumerate(features) for e in (F.max(c).alias(f"hi{i}"), F.min(c).alias(f"lo{i}"))]
+    corners = ranked.groupBy("__block").agg(*ends, F.min(PRICE).alias("cheapest"), F.max(PRICE).alias("dearest"))
+    corners = materialize(corners, "skyline-corners")
+    mine, theirs = corners.alias("t"), corners.alias("o")
+    possible = F.col("o.cheapest") <= F.col("t.dearest")
+    for i in range(len(features)):
+        possible = possible & (F.col(f"o.hi{i}") >= F.col(f"t.lo{i}"))
+    pairs = materialize(
+        mine.join(theirs, possible).select(F.col("t.__block").alias("target"), F.col("o.__block").alias("other")), "skyline-pairs")
+    targets = join_measured(ranked.withColumnRenamed("__block", "target"), pairs, ["target"], "inner")
+    renamed = {c: f"o_{c}" for c in numeric}
+    others = join_measured(ranked.select("__block", *numeric).withColumnsRenamed({**renamed, "__block": "other"}), pairs, ["other"], "inner")
 
     def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if mine.empty or theirs.empty:
             return pd.DataFrame({"__pos": pd.Series(dtype="int64")})
-        hit = _dominated(mine[numeric].to_numpy(float), theirs[numeric].to_numpy(float))
+        hit = _dominated(mine[numeric].to_numpy(float), theirs[[f"o_{c}" for c in numeric]].to_numpy(float))
         return pd.DataFrame({"__pos": mine.loc[hit, "__pos"].to_numpy()})
 
     lost = (
         targets.select("target", "other", "__pos", *numeric).groupBy("target", "other")
-        .cogroup(others.select("target", "other", *numeric).groupBy("target", "other"))
+        .cogroup(others.select("target", "other", *renamed.values()).groupBy("target", "other"))
         .applyInPandas(compare, "__pos bigint").distinct()
     )
     return ranked.join(lost, "__pos", "left_anti").drop("__pos", "__block")

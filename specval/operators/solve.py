@@ -101,7 +101,8 @@ def kkt_violation(g: Gram, beta: np.ndarray, bounds, alpha: float, intercept: bo
     a, b = _system(g, alpha, intercept)
     low, high = limits(bounds)
     gradient = a @ beta - b
-    at_low, at_high = beta <= low + 1e-12 * np.maximum(1, np.abs(low)), beta >= high - 1e-12 * np.maximum(1, np.abs(high))
+    slack = 1e-12 * np.maximum(1.0, np.abs(beta))
+    at_low, at_high = beta <= low + slack, beta >= high - slack
     wrong = np.where(at_low & at_high, 0, np.where(at_low, np.maximum(-gradient, 0), np.where(at_high, np.maximum(gradient, 0), np.abs(gradient))))
     size = np.sqrt(np.clip(np.diag(a), 1e-300, None)) * max(1.0, float(np.sqrt(max(g.raw()[-1, -1], 0))))
     return float(np.max(wrong / size, initial=0.0))
