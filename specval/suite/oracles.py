@@ -141,7 +141,7 @@ CORE_LEVELS = f"{FEATURES}, lng AS ({long_rows('features', 'id', CORE, C.UNLIMIT
 ITEM_LEVELS = f"{ITEMS}, lng AS ({long_rows('items', ITEM_KEY, ITEM_FEATURES, ITEM_FLAGS)}), {levels()}"
 
 # change points: candidates first, then the minimum gap of three positions applied in order
-CHANGES = f"""WITH RECURSIVE {CORE_LEVELS},
+CHAIN = """
 placed AS (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY value) - 1 AS idx, COUNT(*) OVER (PARTITION BY feature) AS n FROM levels),
 steps AS (
@@ -172,6 +172,8 @@ robust AS (
     CASE WHEN agree THEN intercept ELSE start_cost - ends * start_feature END AS intercept
   FROM rated)"""
 
+CHANGES = f"WITH RECURSIVE {CORE_LEVELS}, {CHAIN}"
+
 GRANULAR = f"""{CORE_LEVELS},
 kept AS (SELECT feature, value, cost FROM (
   SELECT *, MAX(cost) OVER (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM levels)
@@ -334,15 +336,15 @@ ORACLES["E5_change_points"] = f"{CHANGES} SELECT feature, idx, value, cost FROM
 ORACLES["E6_running_max_filter"] = f"""WITH {ITEM_LEVELS} SELECT feature, value, cost FROM (
   SELECT *, MAX(cost) OVER (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM levels) WHERE highest IS NULL OR cost >= highest"""
 _rate_rows = ", ".join(f"('{f}', {GIVEN_RATES[f]}::DOUBLE)" for f in CORE)
-ORACLES["E7_light_outlier_filter"] = f"""WITH RECURSIVE {CORE_LEVELS}, rates AS (SELECT * FROM (VALUES {_rate_rows}) AS t(feature, rate)),
-kept AS (
-  SELECT feature, MIN(value) AS value, ARG_MIN(cost, value) AS cost FROM levels GROUP BY feature
+PLAUSIBLE = f"""rates AS (SELECT * FROM (VALUES {_rate_rows}) AS t(feature, rate)),
+plausible AS (
+  SELECT feature, MIN(value) AS value, ARG_MIN(cost, value) AS cost FROM LEVELS_OF GROUP BY feature
   UNION ALL
   SELECT n.feature, n.value, n.cost FROM (
     SELECT l.feature, l.value, l.cost, ROW_NUMBER() OVER (PARTITION BY l.feature ORDER BY l.value) AS rn
-    FROM kept k JOIN levels l ON l.feature = k.feature AND l.value > k.value JOIN rates t ON t.feature = k.feature
-    WHERE NOT (l.cost < k.cost * 0.8::DOUBLE) AND NOT ((l.cost - k.cost) / (l.value - k.value) > 10 * t.rate)) n WHERE rn = 1)
-SELECT feature, value, cost FROM kept"""
+    FROM plausible k JOIN LEVELS_OF l ON l.feature = k.feature AND l.value > k.value JOIN rates t ON t.feature = k.feature
+    WHERE NOT (l.cost < k.cost * 0.8::DOUBLE) AND NOT ((l.cost - k.cost) / (l.value - k.value) > 10 * t.rate)) n WHERE rn = 1)"""
+ORACLES["E7_light_outlier_filter"] = f"WITH RECURSIVE {CORE_LEVELS}, {PLAUSIBLE.replace('LEVELS_OF', 'levels')} SELECT feature, value, cost FROM plausible"
 ORACLES["E8_granular_segments"] = f"WITH {GRANULAR} SELECT feature, segment_id, {rs(['start_feature', 'end_feature', 'start_cost', 'end_cost', 'marginal_rate'])} FROM segments"
 ORACLES["E8_unlimited_premium"] = f"""WITH {GRANULAR}, {FLAGS_TABLE} SELECT feature, flag AS flag_name, {r('unlimited_avg_cost - limited_avg_cost', 'coefficient')},
   {rs(['unlimited_avg_cost', 'limited_avg_cost'])}, unlimited_count FROM premiums JOIN flags USING (feature)"""
@@ -439,6 +441,42 @@ ORACLES["I5_unconstrained"] = f"""WITH {ITEMS}, q AS (SELECT SUM(l_quantity * l_
   SUM(l_quantity * original_fee) AS y1, SUM(l_discount * original_fee) AS y2 FROM items)
 SELECT '1' AS feature, 0.0::DOUBLE AS coefficient UNION ALL SELECT 'l_quantity', {r('(c * y1 - b * y2) / (a * c - b * b)', 'coefficient')} FROM q
 UNION ALL SELECT 'l_discount', {r('(a * y2 - b * y1) / (a * c - b * b)', 'coefficient')} FROM q"""
+
+
+def two_bounded(low1: str, low2: str) -> str:
+    """The best feasible of the four ways to hold two coefficients at their lower bounds or leave them free."""
+    return f"""ways AS (
+  SELECT *, (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS b1, (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS b2 FROM h
+  UNION ALL SELECT *, {low1}, (g2 - h12 * {low1}) / h22 FROM h UNION ALL SELECT *, (g1 - h12 * {low2}) / h11, {low2} FROM h UNION ALL SELECT *, {low1}, {low2} FROM h),
+best_way AS (
+  SELECT ARG_MIN(b1, f) AS b1, ARG_MIN(b2, f) AS b2 FROM (
+    SELECT b1, b2, b1 * b1 * h11 + 2 * b1 * b2 * h12 + b2 * b2 * h22 - 2 * b1 * g1 - 2 * b2 * g2 AS f FROM ways WHERE b1 >= {low1} AND b2 >= {low2}))"""
+
+
+ORACLES["I1_bounded_ridge_items"] = f"""WITH {EFFICIENT}, {SUMS.format(source='efficient')}, h AS (SELECT s11 + 1 AS h11, s12 AS h12, s22 + 1 AS h22, s1y AS g1, s2y AS g2 FROM s),
+{two_bounded('0.1::DOUBLE', '0.1::DOUBLE')}
+SELECT '1' AS feature, {r('my - m1 * b1 - m2 * b2', 'coefficient')} FROM s, best_way UNION ALL SELECT 'l_quantity', {r('b1', 'coefficient')} FROM best_way
+UNION ALL SELECT 'l_discount', {r('b2', 'coefficient')} FROM best_way"""
+ORACLES["I4_whole_table_items"] = f"""WITH {ITEMS}, moments AS (SELECT AVG(original_fee) AS m, STDDEV_SAMP(original_fee) AS sd FROM items),
+h AS (SELECT SUM(l_quantity * l_quantity) AS h11, SUM(l_quantity * l_discount) AS h12, SUM(l_discount * l_discount) AS h22, SUM(l_quantity * fee) AS g1, SUM(l_discount * fee) AS g2
+  FROM items, moments WHERE ABS((original_fee - m) / sd) <= 3 AND fee > 0),
+{two_bounded('0.0::DOUBLE', '0.0::DOUBLE')}
+SELECT '1' AS feature, 0.0::DOUBLE AS coefficient UNION ALL SELECT 'l_quantity', {r('b1', 'coefficient')} FROM best_way UNION ALL SELECT 'l_discount', {r('b2', 'coefficient')} FROM best_way"""
+ORACLES["I9_simple_redistribution"] = f"""WITH {FEATURES}, c AS ({_corr}), given AS (SELECT * FROM (VALUES {', '.join(f"('{f}', {v}::DOUBLE)" for f, v in GIVEN_RATES.items())}) AS t(feature, value)),
+pairs AS (SELECT f1, f2, ABS(corr) AS corr FROM c WHERE NOT isnan(corr) AND ABS(corr) > 0.8), both_ways AS (SELECT * FROM pairs UNION ALL SELECT f2, f1, corr FROM pairs)
+SELECT f1 AS feature, f2 AS paired_with, {r('corr', 'correlation', 6)}, {r('a.value', 'original_value', 6)}, {r('b.value', 'partner_original_value', 6)}, {r('a.value + b.value', 'total_value', 6)},
+  {r('(a.value + b.value) / 2', 'redistributed_value', 6)}, 'simple_averaging' AS method FROM both_ways JOIN given a ON a.feature = f1 JOIN given b ON b.feature = f2"""
+_means_long = " UNION ALL ".join(f"SELECT '{f}' AS feature, AVG({f}) AS coefficient FROM features" for f in C.BASIC_FEATURES)
+ORACLES["I14_economic_clip"] = f"""WITH {FEATURES}, m AS ({_means_long}) SELECT feature, {r('coefficient')}, ROUND(CASE WHEN feature LIKE '%unlimited%' THEN LEAST(GREATEST(coefficient, 100.0), 20000.0)
+  WHEN feature LIKE '%5g%' OR feature LIKE '%tethering%' THEN LEAST(GREATEST(coefficient, 100.0), 10000.0) ELSE GREATEST(coefficient, 0.1) END, 4) + 0.0 AS clipped FROM m"""
+ORACLES["I11_subset_r2_items"] = f"""WITH {ITEMS}, k AS (SELECT CORR(l_quantity, l_discount) AS a, CORR(l_quantity, l_tax) AS b, CORR(l_discount, l_tax) AS c,
+  CORR(l_quantity, original_fee) AS x, CORR(l_discount, original_fee) AS y, CORR(l_tax, original_fee) AS z FROM items),
+f AS (SELECT 1 AS mask, x * x AS r2 FROM k UNION ALL SELECT 2, y * y FROM k UNION ALL SELECT 4, z * z FROM k
+  UNION ALL SELECT 3, (x * x + y * y - 2 * x * y * a) / (1 - a * a) FROM k UNION ALL SELECT 5, (x * x + z * z - 2 * x * z * b) / (1 - b * b) FROM k
+  UNION ALL SELECT 6, (y * y + z * z - 2 * y * z * c) / (1 - c * c) FROM k
+  UNION ALL SELECT 7, (x * x * (1 - c * c) + y * y * (1 - b * b) + z * z * (1 - a * a) + 2 * x * y * (b * c - a) + 2 * x * z * (a * c - b) + 2 * y * z * (a * b - c))
+    / (1 + 2 * a * b * c - a * a - b * b - c * c) FROM k)
+SELECT CAST(mask AS BIGINT) AS mask, {r('r2', digits=8)}, CAST(bit_count(mask) AS INTEGER) AS size FROM f"""
 R2 = f"""{ITEMS}, k AS (SELECT CORR(l_quantity, original_fee) AS ra, CORR(l_discount, original_fee) AS rb, CORR(l_quantity, l_discount) AS rab FROM items),
 e AS (SELECT ra * ra AS r1, rb * rb AS r2, (ra * ra + rb * rb - 2 * ra * rb * rab) / (1 - rab * rab) AS r12 FROM k)"""
 EFFECTS = f"""{R2}, eff AS (
@@ -452,24 +490,44 @@ ORACLES["I13_variance_decomposition"] = f"""WITH {R2}, p AS (SELECT 'l_quantity'
 SELECT feature, {r('own', 'unique_variance', 6)}, {r('common', 'common_variance', 6)}, {r('own + common', 'total_contribution', 6)},
   {r('own / r12 * 100', 'unique_percentage', 6)}, {r('common / r12 * 100', 'common_percentage', 6)} FROM p"""
 
+ORACLES["I10_redistribution_items"] = f"""WITH {EFFECTS}, u AS (SELECT f1 AS feature, value AS unique_effect FROM eff WHERE type = 'unique'),
+w AS (SELECT u.feature, CASE u.feature WHEN 'l_quantity' THEN 'l_discount' ELSE 'l_quantity' END AS paired_with, CASE u.feature WHEN 'l_quantity' THEN 300.0::DOUBLE ELSE 40.0::DOUBLE END AS original_value,
+  unique_effect, GREATEST(0.0, (SELECT value FROM eff WHERE type = 'common')) AS common_effect FROM u)
+SELECT feature, paired_with, original_value, {rs(['unique_effect', 'common_effect'], 6)}, {r('unique_effect + common_effect', 'total_variance_effect', 6)},
+  {r('GREATEST(0.1::DOUBLE, 340 * unique_effect / (unique_effect + common_effect))', 'redistributed_value', 6)} FROM w"""
+
 # --- J -------------------------------------------------------------------------------------------------
 ORACLES["J1_segment_lines"] = f"{CHANGES} SELECT feature, {rs(['start_feature', 'end_feature', 'slope', 'intercept'])}, points FROM lines"
 ORACLES["J2_robust_segments"] = f"{CHANGES} SELECT feature, {rs(['start_feature', 'end_feature', 'marginal_rate', 'intercept', 'start_cost', 'end_cost'])}, data_points FROM robust"
-ORACLES["J6_cumulative_cost"] = f"""{CHANGES}, rates AS (SELECT * FROM (VALUES {_rate_rows}) AS t(feature, rate)),
-numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY segment) AS number FROM robust)
-SELECT p.feature, {r('p.value', 'value')}, {r('p.cost', 'actual_market_cost')},
-  {r('''1000 + CASE WHEN EXISTS (SELECT 1 FROM robust x WHERE x.feature = p.feature) THEN
+
+
+def cumulative(base: float, extra: str = "", join: str = "") -> str:
+    cost = r(f"""{base} + CASE WHEN EXISTS (SELECT 1 FROM robust x WHERE x.feature = p.feature) THEN
     COALESCE((SELECT SUM(GREATEST(0, LEAST(x.end_feature, p.value) - GREATEST(x.start_feature, 0)) * x.marginal_rate) FROM robust x WHERE x.feature = p.feature), 0)
-    ELSE p.value * t.rate END''', 'cumulative_cost')},
-  {r('COALESCE(o.marginal_rate, t.rate)', 'marginal_cost')},
-  CASE WHEN o.number IS NULL THEN 'linear' ELSE 'Segment ' || o.number || ': ' || {decimal1('o.start_feature')} || '-' || {decimal1('o.end_feature')} END AS segment_label
-FROM segmented p JOIN rates t USING (feature) LEFT JOIN numbered o ON o.feature = p.feature AND o.segment = p.segment"""
+    ELSE p.value * t.rate END""", "cumulative_cost")
+    return f"""numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY segment) AS number FROM robust)
+SELECT p.feature, {r('p.value', 'value')}, {r('p.cost', 'actual_market_cost')}, {cost}, {r('COALESCE(o.marginal_rate, t.rate)', 'marginal_cost')},
+  CASE WHEN o.number IS NULL THEN 'linear' ELSE 'Segment ' || o.number || ': ' || {decimal1('o.start_feature')} || '-' || {decimal1('o.end_feature')} END AS segment_label{extra}
+FROM segmented p JOIN rates t USING (feature) LEFT JOIN numbered o ON o.feature = p.feature AND o.segment = p.segment {join}"""
+
+
+RATES_TABLE = f"rates AS (SELECT * FROM (VALUES {_rate_rows}) AS t(feature, rate))"
+ORACLES["J6_cumulative_cost"] = f"{CHANGES}, {RATES_TABLE}, {cumulative(1000)}"
+ORACLES["J7_marginal_frontier"] = f"""WITH RECURSIVE {CORE_LEVELS.replace('levels AS', 'raw_levels AS')}, {PLAUSIBLE.replace('LEVELS_OF', 'raw_levels')},
+levels AS (SELECT feature, value, cost FROM plausible), {CHAIN}, {cumulative(GIVEN_INTERCEPT)}"""
+ORACLES["J8_given_rates"] = f"""WITH RECURSIVE {FEATURES}, lng AS ({long_rows('features', 'id', CORE, {})}),
+stats AS (SELECT feature, value, MIN(cost) AS cost, AVG(cost) AS avg_cost, COUNT(*) AS plan_count FROM lng GROUP BY feature, value),
+levels AS (SELECT feature, value, cost FROM stats), {CHAIN}, {RATES_TABLE}, {cumulative(GIVEN_INTERCEPT, ", " + r("q.avg_cost", "avg_cost") + ", q.plan_count", "JOIN stats q ON q.feature = p.feature AND q.value = p.value")}"""
 _b, _v = BREAKS["basic_data_clean"], BREAKS["voice_clean"]
 ORACLES["J3_segment_features"] = f"""WITH {FEATURES} SELECT id, {r(f'LEAST(basic_data_clean, {_b[0]})', 'basic_data_clean_seg_0')},
   {r(f'GREATEST(0, LEAST(basic_data_clean - {_b[0]}, {_b[1] - _b[0]}))', 'basic_data_clean_seg_1')}, {r(f'GREATEST(0, basic_data_clean - {_b[1]})', 'basic_data_clean_seg_2')},
   {r(f'LEAST(voice_clean, {_v[0]})', 'voice_clean_seg_0')}, {r(f'GREATEST(0, voice_clean - {_v[0]})', 'voice_clean_seg_1')} FROM features"""
 ORACLES["J5_marginal_lookup"] = f"""WITH {FEATURES} SELECT id, CASE WHEN basic_data_clean <= 10 THEN 100.0::DOUBLE WHEN basic_data_clean <= 30 THEN 50.0::DOUBLE ELSE 25.0::DOUBLE END AS data_rate,
   CASE WHEN voice_clean <= 200 THEN 9.0::DOUBLE ELSE 4.0::DOUBLE END AS voice_rate FROM features"""
+ORACLES["J4_two_segments"] = f"""WITH {FEATURES}, x AS (SELECT id, LEAST(voice_clean, 200) AS a, GREATEST(0, voice_clean - 200) AS b, original_fee AS y FROM features),
+s AS (SELECT AVG(a) AS ma, AVG(b) AS mb, AVG(y) AS my, VAR_POP(a) AS aa, VAR_POP(b) AS bb, COVAR_POP(a, b) AS ab, COVAR_POP(a, y) AS ay, COVAR_POP(b, y) AS yb FROM x),
+w AS (SELECT *, (bb * ay - ab * yb) / (aa * bb - ab * ab) AS c1, (aa * yb - ab * ay) / (aa * bb - ab * ab) AS c2 FROM s)
+SELECT id, {r('my + c1 * (a - ma) + c2 * (b - mb)', 'predicted_cost')} FROM x, w"""
 _flag_cost = " + ".join(
     f"(CASE WHEN {m} = 1 THEN COALESCE((SELECT unlimited_avg_cost - limited_avg_cost FROM premiums WHERE feature = '{f}'), 0) ELSE 0 END)" for f, m in C.UNLIMITED_FLAGS.items())
 ORACLES["J9_bundle_cost"] = f"""WITH {GRANULAR},
@@ -534,6 +592,11 @@ ORACLES["L2_economic_checks"] = f"""WITH {FEATURES}, m AS (SELECT {_means} FROM
   {r('voice_clean', 'voice_per_min')}, {r('tethering_gb', 'tethering_per_gb')}, CAST({' + '.join(f'({f} < 0)::INT' for f in C.BASIC_FEATURES)} AS BIGINT) AS negative_count,
   CAST({' + '.join(f'({f} = 0)::INT' for f in C.BASIC_FEATURES)} AS BIGINT) AS zero_count, is_5g > basic_data_clean * 10 AS scale_ok, tethering_gb > voice_clean AS premium_ok,
   ({' AND '.join(f'{f} > 0' for f in C.BASIC_FEATURES)}) AS positive_ok FROM m"""
+ORACLES["L3_one_feature"] = f"""WITH {FEATURES}, t AS (SELECT id % 5 AS k, tethering_gb AS x, fee AS y FROM features),
+s AS (SELECT k, SUM(x * y) AS xy, SUM(x * x) AS xx, COUNT(*) AS n FROM t GROUP BY k),
+b AS (SELECT k, GREATEST(0.1::DOUBLE, ((SELECT SUM(xy) FROM s) - xy) / ((SELECT SUM(xx) FROM s) - xx)) AS b, (SELECT SUM(n) FROM s) - n AS train_size, n AS test_size FROM s)
+SELECT CAST(t.k + 1 AS INTEGER) AS fold, {r('1 - SUM(POWER(y - b * x, 2)) / (VAR_POP(y) * COUNT(*))', 'r2_score', 6)}, {r('AVG(ABS(y - b * x))', 'mae', 6)},
+  CAST(ANY_VALUE(train_size) AS BIGINT) AS train_size, ANY_VALUE(test_size) AS test_size FROM t JOIN b USING (k) GROUP BY t.k"""
 RESIDUALS = f"""{FEATURES}, res AS (SELECT fee AS y, fee - ({LINEAR}) AS d FROM features),
 cuts AS (SELECT QUANTILE_CONT(y, 0.25) AS q1, QUANTILE_CONT(y, 0.5) AS q2, QUANTILE_CONT(y, 0.75) AS q3 FROM res),
 quarters AS (SELECT CASE WHEN y <= q1 THEN 1 WHEN y <= q2 THEN 2 WHEN y <= q3 THEN 3 ELSE 4 END AS quartile, COUNT(*) AS n, VAR_POP(d) AS residual_variance, AVG(d) AS mean_residual

@@ -449,6 +449,26 @@ def i9(spark, d):
     return rounded(redistribute.audit_table(spark, audit), 6)
 
 
+def i1_items(spark, d):
+    g = gram(skyline_items(spark, d).filter(F.col(PRICE) > 0), TWO, PRICE)
+    return _line(spark, *solve.bounded(g, [C.efficiency_bounds(f) for f in TWO], 1.0, True), TWO)
+
+
+def i4_items(spark, d):
+    fit = R.fit_whole_table(items(spark, d), TWO)
+    return _line(spark, fit.intercept, fit.beta, TWO)
+
+
+def i10_items(spark, d):
+    g = gram(items(spark, d), TWO, PRICE)
+    out = commonality.redistribute(_two_fits(spark, d), TWO, [300.0, 40.0], g.correlation(), partner="first")
+    return rounded(out.drop("correlation"), 6)
+
+
+def i11_items(spark, d):
+    return rounded(commonality.subset_fits(spark, gram(items(spark, d), ITEM_FEATURES, PRICE)), 8)
+
+
 def _fits(spark, d):
     def build():
         return materialize(commonality.subset_fits(spark, gram(features(spark, d), CORE, "original_fee")), "subset-fits")
@@ -482,10 +502,10 @@ def i14(spark, d):
 
 
 def i14_clip(spark, d):
-    g = gram(features(spark, d), C.BASIC_FEATURES, "original_fee")
-    b = solve.unconstrained(g, 1.0, True)[1]
-    table = spark.createDataFrame([(f, float(v)) for f, v in zip(g.features, b)], "feature string, coefficient double")
-    return rounded(commonality.economic_clips(table), 4)
+    # the means of the features serve as coefficients, so that the result depends on the data
+    f = features(spark, d)
+    means = f.agg(*[F.avg(c).alias(c) for c in C.BASIC_FEATURES]).unpivot([], C.BASIC_FEATURES, "feature", "coefficient")
+    return rounded(commonality.economic_clips(means), 4)
 
 
 # --- piecewise and encodings ------------------------------------------------------------------------
@@ -512,6 +532,12 @@ def j4(spark, d):
     return rounded(model.predict(f).select("id", "predicted_cost"))
 
 
+def j4_two(spark, d):
+    f = features(spark, d)
+    model = P.PiecewiseModel({"voice_clean": [200.0]}).fit(f, ["voice_clean"])
+    return rounded(model.predict(f).select("id", "predicted_cost"))
+
+
 def j5(spark, d):
     f = features(spark, d)
     return f.select("id", P.marginal_cost(F.col("basic_data_clean"), [10.0, 30.0], [100.0, 50.0, 25.0]).alias("data_rate"),
@@ -529,6 +555,10 @@ def j7(spark, d):
     return rounded(out.points)
 
 
+def j8_given(spark, d):
+    return rounded(whole_table_marginal_frontier(features(spark, d), CORE, fit=GIVEN).points)
+
+
 def j8(spark, d):
     return rounded(whole_table_marginal_frontier(features(spark, d), CORE, fit=R.fit_prices(features(spark, d), CORE)).points)
 
@@ -605,6 +635,11 @@ def l3(spark, d):
     return rounded(validate.cross_validation(features(spark, d), CORE), 6)
 
 
+def l3_one(spark, d):
+    f = features(spark, d)
+    return rounded(validate.cross_validation(f, ["tethering_gb"], fold=F.col("id") % 5), 6)
+
+
 def l4(spark, d):
     rows = fixed_rate_scores(features(spark, d), GIVEN)
     return rounded(validate.residual_checks(rows, "B", "fee"), 6)
@@ -678,6 +713,8 @@ QUERIES = {
     "K4_matrix_ranges": k4_ranges,
     "L1_optimiser_consistency": l1, "L2_economic_checks": l2, "L3_cross_validation": l3, "L4_residual_checks": l4, "L4_residual_quartiles": l4_quartiles,
     "L5_score": l5, "L6_full_report": l6,
+    "I1_bounded_ridge_items": i1_items, "I4_whole_table_items": i4_items, "I10_redistribution_items": i10_items, "I11_subset_r2_items": i11_items,
+    "J4_two_segments": j4_two, "J8_given_rates": j8_given, "L3_one_feature": l3_one,
     "M1_snapshot_stream": m1,
 }
 
