@@ -67,26 +67,32 @@ class Gram:
         return s / np.outer(spread, spread)
 
 
-def product_sums(values: list[Column]) -> list[Column]:
-    p = len(values)
-    sums = [F.count(F.lit(1)).alias("n")] + [F.sum(v).alias(f"s{i}") for i, v in enumerate(values)]
-    return sums + [F.sum(values[i] * values[j]).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)]
+def product_sums(m: int) -> list[Column]:
+    """Count, sums and sums of products of the columns x0 .. x(m-1)."""
+    texts = ["count(1) AS n"] + [f"sum(x{i}) AS s{i}" for i in range(m)]
+    texts += [f"sum(x{i} * x{j}) AS q{i}_{j}" for i in range(m) for j in range(i, m)]
+    return [F.expr(t) for t in texts]
 
 
 def gram(df: DataFrame, features: list[str], target: str, by: str | None = None,
-         values: dict[str, Column] | None = None) -> Gram:
-    """D9 over rows with a target; missing features count as 0. ``by`` also keeps the sums per group (few groups)."""
+         values: dict[str, Column] | None = None, sample: DataFrame | None = None) -> Gram:
+    """D9 over rows with a target; missing features count as 0. ``by`` also keeps the sums per group (few groups).
+
+    ``sample`` is a cheaper table with the same columns to take the shift from; the result does not depend on it.
+    """
     values = values or {}
-    columns = [F.coalesce(values.get(f, known(df, f)), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)]
-    columns.append(known(df, target).alias(f"x{len(features)}"))
-    if by:
-        columns.append(F.col(by).alias("by"))
     m = len(features) + 1
-    wide = df.select(*columns).filter(F.col(f"x{m - 1}").isNotNull())
-    sample = wide.limit(SHIFT_ROWS).agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(m)]).first()
-    shift = np.array([v if v is not None and np.isfinite(v) else 0.0 for v in sample])
-    sums = product_sums([F.col(f"x{i}") - F.lit(float(shift[i])) for i in range(m)])
-    rows = (wide.groupBy("by") if by else wide.groupBy()).agg(*sums).collect()  # one row per group
+
+    def wide(rows: DataFrame, *more: Column) -> DataFrame:
+        columns = [F.coalesce(values.get(f, known(rows, f)), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)]
+        out = rows.select(*columns, known(rows, target).alias(f"x{m - 1}"), *more)
+        return out.filter(F.col(f"x{m - 1}").isNotNull())
+
+    first = wide(df if sample is None else sample).limit(SHIFT_ROWS).agg(*[F.expr(f"avg(x{i}) AS m{i}") for i in range(m)]).first()
+    shift = np.array([v if v is not None and np.isfinite(v) else 0.0 for v in first])
+    keep = [F.col(by).alias("by")] if by else []
+    moved = wide(df, *keep).select(*[(F.col(f"x{i}") - F.lit(float(shift[i]))).alias(f"x{i}") for i in range(m)], *(["by"] if by else []))
+    rows = (moved.groupBy("by") if by else moved.groupBy()).agg(*product_sums(m)).collect()  # one row per group
     parts = {r["by"] if by else None: _from_sums(features, r, shift) for r in rows}
     whole = None
     for part in parts.values():

@@ -21,7 +21,7 @@ from specval.operators.joins import join_measured
 from specval.operators.ordered import row_numbers
 from specval.session import materialize
 
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 8_000
 MIN_ROWS = 10
 PRICE = "__price"
 
@@ -29,18 +29,28 @@ PRICE = "__price"
 def _dominated(targets: np.ndarray, others: np.ndarray, chunk: int = 256) -> np.ndarray:
     """Per target row: does some other row have price (last column) <= and all features >=, and differ?
 
-    Rows are distinct vectors, so a row that is at least as good everywhere and not the same row is better somewhere.
+    Columns with many values go first, because they rule out most pairs; once few pairs are left only those are
+    looked at. Rows are distinct, so a row that is at least as good everywhere and differs is better somewhere.
     """
     hit = np.zeros(len(targets), dtype=bool)
+    if not len(targets) or not len(others):
+        return hit
+    last = targets.shape[1] - 1
+    order = [last, *sorted(range(last), key=lambda j: -len(np.unique(others[:512, j])))]
     for start in range(0, len(targets), chunk):
         block = targets[start:start + chunk]
         good = np.ones((len(block), len(others)), dtype=bool)
-        same = np.ones((len(block), len(others)), dtype=bool)
-        for j in range(targets.shape[1]):
+        rest = list(order)
+        while rest and (len(rest) == len(order) or good.mean() > 0.05):
+            j = rest.pop(0)
             mine, theirs = block[:, j][:, None], others[:, j][None, :]
-            good &= (theirs <= mine) if j == targets.shape[1] - 1 else (theirs >= mine)
-            same &= theirs == mine
-        hit[start:start + chunk] = (good & ~same).any(axis=1)
+            good &= (theirs <= mine) if j == last else (theirs >= mine)
+        i, k = np.nonzero(good)
+        for j in rest:
+            stay = others[k, j] >= block[i, j]
+            i, k = i[stay], k[stay]
+        better = (others[k] != block[i]).any(axis=1)
+        hit[start + i[better]] = True
     return hit
 
 

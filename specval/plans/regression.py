@@ -89,7 +89,7 @@ def fit_efficient(df: DataFrame, features, price: str = "original_fee", alpha: f
     if not names:
         raise FitError(f"None of the features {list(features)} found in data")
     rows = efficient_rows(df, names, price, block_rows)
-    g = _checked(gram(rows.filter(F.col(price) > 0), names, price))
+    g = _checked(gram(rows.filter(F.col(price) > 0), names, price, sample=df))
     bounds = [C.efficiency_bounds(f) for f in names]
     b0, beta = _solve(g, bounds, alpha, True, solver)
     free = solve.unconstrained(g, alpha, True)[1]
@@ -105,7 +105,7 @@ def fit_whole_table(df: DataFrame, features, target: str | None = None, outlier_
         raise FitError(f"None of the features {list(features)} found in data")
     target = target or ("monthly_fee" if "monthly_fee" in df.columns else "fee")
     kept = without_outliers(df, "original_fee", outlier_threshold).filter(known(df, target) > 0)
-    g = _checked(gram(kept, names, target))
+    g = _checked(gram(kept, names, target, sample=df))
     bounds = [C.whole_table_bounds(f) for f in names]
     if solver is None:
         direct = alpha > 0 and solve.condition_number(g, alpha, False) < WELL_CONDITIONED
