@@ -282,7 +282,7 @@ def sequential(df: DataFrame, group: str, position: str, kernel, needed: list[st
             state = kernel(pdf, entering.get((key[0], int(key[1]))))[1]
             return pd.DataFrame({"g": [str(key[0])], "c": [int(key[1])], "s": [list(state) if state is not None else None]})
 
-        out = data.select(group, position, "__chunk", *needed).groupBy(group, "__chunk").applyInPandas(
+        out = data.select(*dict.fromkeys([group, position, "__chunk", *needed])).groupBy(group, "__chunk").applyInPandas(
             run, "g string, c bigint, s array<double>")
         return {(r["g"], r["c"]): (tuple(r["s"]) if r["s"] is not None else None) for r in out.collect()}
 
