@@ -13,9 +13,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specval.functions.numeric import known, unpivot
+from specval.functions.numeric import unpivot
 from specval.operators.joins import join_measured
-from specval.operators.ordered import ROWS_PER_BUCKET, layout, running
+from specval.operators.ordered import ROWS_PER_BUCKET, running
 from specval.session import materialize
 
 CURVE_POINTS = 20_000

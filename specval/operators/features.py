@@ -179,10 +179,13 @@ def without_infinities(df: DataFrame) -> DataFrame:
 
 def impute_medians(df: DataFrame, exclude=(), exact_rows: int = EXACT_ROWS) -> DataFrame:
     """B18, after infinities became missing: missing numbers become the column median (exact). A filled integer column becomes double."""
-    numbers = [c for c in df.columns if is_numeric(df, c) and c not in set(exclude)]
-    gaps = df.agg(*[F.count_if(known(df, c).isNull()).alias(c) for c in numbers]).first()
-    holes = [c for c in numbers if gaps[c]]
-    medians = exact_quantiles(df, {c: [0.5] for c in holes}, exact_rows)
+    # columns that cannot be missing by construction, such as the 0/1 flags, need no count
+    numbers = [c for c in df.columns if is_numeric(df, c) and df.schema[c].nullable and c not in set(exclude)]
+    if not numbers:
+        return df
+    present = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(known(df, c)).alias(c) for c in numbers]).first().asDict()
+    holes = [c for c in numbers if present[c] < present["__rows"]]
+    medians = exact_quantiles(df, {c: [0.5] for c in holes}, exact_rows, present)
     return df.withColumns({
         c: F.coalesce(known(df, c), F.lit(medians[c][0]).cast("double")) for c in holes
     })
@@ -198,10 +201,21 @@ def derive(df: DataFrame) -> DataFrame:
     return df
 
 
-def prepare_features(df: DataFrame, impute: bool = True, exclude=(), exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """The feature table. It is written to scratch once, since every model reads it several times by column."""
-    derived = materialize(without_infinities(derive(df)), "features")
-    return impute_medians(derived, exclude, exact_rows) if impute else derived
+def prepare_features(df: DataFrame, impute: bool = True, exclude=(), exact_rows: int = EXACT_ROWS, keep=None,
+                     path: str | None = None) -> DataFrame:
+    """The feature table, written once (to scratch, or to ``path``) because every model reads it several times by column.
+
+    ``keep`` names the columns to write; on a wide input that is worth giving.
+    """
+    table = without_infinities(derive(df))
+    if keep is not None:
+        table = table.select(*keep)
+    if impute:
+        table = impute_medians(table, exclude, exact_rows)
+    if path is None:
+        return materialize(table, "features")
+    table.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(table.schema).parquet(path)
 
 
 def key_statistics(df: DataFrame, features=None, exact_rows: int = EXACT_ROWS) -> DataFrame:

@@ -7,12 +7,12 @@ steps only see that reduced table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specval.config import UNLIMITED_FLAGS, continuous
 from specval.functions.numeric import known, unpivot
-from specval.operators.ordered import ROWS_PER_BUCKET, layout, running, row_numbers
+from specval.operators.ordered import ROWS_PER_BUCKET, running
 from specval.session import materialize
 
 LIMITED, UNLIMITED = "limited", "unlimited"

@@ -18,12 +18,16 @@ EXACT_ROWS = 2_000_000
 ACCURACY = 10_000
 
 
-def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], exact_rows: int = EXACT_ROWS) -> dict[str, list]:
-    """Linear-interpolation quantiles per column (missing values ignored); ``None`` for an empty column."""
+def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], exact_rows: int = EXACT_ROWS,
+                    sizes: dict[str, int] | None = None) -> dict[str, list]:
+    """Linear-interpolation quantiles per column (missing values ignored); ``None`` for an empty column.
+
+    ``sizes`` are the numbers of present values, if they are known already.
+    """
     if not wanted:
         return {}
     names = list(wanted)
-    sizes = df.agg(*[F.count(known(df, c)).alias(c) for c in names]).first()
+    sizes = sizes or df.agg(*[F.count(known(df, c)).alias(c) for c in names]).first()
     result: dict[str, list] = {c: [None] * len(wanted[c]) for c in names if sizes[c] == 0}
     small = [c for c in names if 0 < sizes[c] <= exact_rows]
     if small:
@@ -54,7 +58,7 @@ def _refined(values: DataFrame, n: int, probs: list[float], exact_rows: int) ->
 
 def order_statistic(values: DataFrame, n: int, k: int, exact_rows: int) -> float:
     """The k-th smallest (0-based) of the column ``v``."""
-    lo, hi = None, None  # open ends; inside = rows with lo <= v <= hi
+    lo, hi = None, None  # the answer lies strictly between them
     below, inside = 0, n
     margin = 2.0 / ACCURACY
     while inside > exact_rows:
@@ -62,22 +66,20 @@ def order_statistic(values: DataFrame, n: int, k: int, exact_rows: int) -> float
         at = (k - below) / max(inside - 1, 1)
         probs = [max(0.0, at - margin), min(1.0, at + margin)]
         a, b = scope.agg(F.percentile_approx("v", probs, ACCURACY).alias("p")).first()["p"]
-        lt, le = scope.agg(
-            F.count_if(F.col("v") < a).alias("lt"), F.count_if(F.col("v") <= b).alias("le")
-        ).first()
-        if not below + lt <= k < below + le:
-            margin *= 4
-            if margin > 1:
-                break
+        v = F.col("v")
+        lt, upto_a, lt_b, upto_b = scope.agg(
+            F.count_if(v < a).alias("c1"), F.count_if(v <= a).alias("c2"), F.count_if(v < b).alias("c3"), F.count_if(v <= b).alias("c4")).first()
+        if k < below + lt or k >= below + upto_b:
+            margin *= 4  # the sketch missed; at margin 1 the bracket is the whole scope
             continue
-        if a == b:
+        if k < below + upto_a:
             return a
-        if le - lt >= inside:
-            break
-        lo, hi, below, inside = a, b, below + lt, le - lt
-    # what is left has few rows, or few distinct values: count each value and walk the counts
+        if k >= below + lt_b:
+            return b
+        # a and b themselves are ruled out, so the scope always shrinks
+        lo, hi, below, inside = a, b, below + upto_a, lt_b - upto_a
     counts = _between(values, lo, hi).groupBy("v").count()
-    ordered = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # at most exact_rows rows
     return (
         counts.withColumn("upto", F.sum("count").over(ordered) + below)
         .filter(F.col("upto") > k).agg(F.min("v")).first()[0]
@@ -86,7 +88,7 @@ def order_statistic(values: DataFrame, n: int, k: int, exact_rows: int) -> float
 
 def _between(values: DataFrame, lo, hi) -> DataFrame:
     if lo is not None:
-        values = values.filter(F.col("v") >= lo)
+        values = values.filter(F.col("v") > lo)
     if hi is not None:
-        values = values.filter(F.col("v") <= hi)
+        values = values.filter(F.col("v") < hi)
     return values

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specval.functions.numeric import is_numeric, known
+from specval.functions.numeric import known, unpivot
 
 
 def without_outliers(df: DataFrame, column: str = "original_fee", threshold: float = 3.0) -> DataFrame:
@@ -27,8 +27,6 @@ def outlier_counts(df: DataFrame, column: str = "original_fee", threshold: float
 def ranking_statistics(df: DataFrame, value: str = "CS", name: str = "plan_name", tie: str = "id") -> DataFrame:
     """Counts around 1, mean, and the best and worst row; zeros for an empty table."""
     v = F.col(value)
-    best = F.min_by(F.col(name), F.struct(-v, F.col(tie)))
-    worst = F.max_by(F.col(name), F.struct(-v, F.col(tie)))
     usable = v.isNotNull()
     return df.agg(
         F.count(F.lit(1)).alias("total_plans"),
@@ -37,7 +35,7 @@ def ranking_statistics(df: DataFrame, value: str = "CS", name: str = "plan_name"
         F.count_if(v < 1).alias("poor_value_count"),
         F.min_by(F.when(usable, F.col(name)), F.when(usable, F.struct(-v, F.col(tie)))).alias("best_value_plan"),
         F.max_by(F.when(usable, F.col(name)), F.when(usable, F.struct(-v, F.col(tie)))).alias("worst_value_plan"),
-    ) if best is not None and worst is not None else df
+    )
 
 
 def ratio_summary(df: DataFrame, value: str = "CS") -> DataFrame:
@@ -52,8 +50,6 @@ def ratio_summary(df: DataFrame, value: str = "CS") -> DataFrame:
 
 def feature_profile(df: DataFrame, features) -> DataFrame:
     """Non-missing count, distinct count, min, max, mean per feature."""
-    from specval.functions.numeric import unpivot
-
     long = unpivot(df, [], [f for f in features if f in df.columns]).filter("value IS NOT NULL AND NOT isnan(value)")
     # two map-side combined steps instead of a set of distinct values per feature in one task
     levels = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -69,22 +65,23 @@ def diagonal_range(df: DataFrame, baseline: str = "B", fee: str = "fee") -> Data
     return df.agg(F.least(F.min(b), F.min(f)).alias("min_value"), F.greatest(F.max(b), F.max(f)).alias("max_value"))
 
 
-def column_profile(df: DataFrame) -> DataFrame:
+def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Type, missing values and distinct values of every column.
 
-    Distinct counts go through (column, value) groups, so no task holds all values of a column.
+    Exact distinct counts go through (column, value) groups, so no task holds all values of a column, but every value
+    is shuffled once. ``approximate`` uses sketches: one scan, no such shuffle.
     """
+    kinds = df.sparkSession.createDataFrame([(c, t) for c, t in df.dtypes], "column_name string, data_type string")
+    if approximate:
+        row = df.agg(*[
+            F.struct(F.lit(c).alias("column_name"), F.count_if(F.col(c).isNull()).alias("null_count"), F.approx_count_distinct(c).alias("unique_count")).alias(f"c{i}")
+            for i, c in enumerate(df.columns)])
+        cells = row.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(df.columns))])).alias("s")).select("s.*")
+        return kinds.join(cells, "column_name")
     texts = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
     levels = texts.unpivot([], df.columns, "column_name", "value").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     counts = levels.groupBy("column_name").agg(
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
         F.count("value").alias("unique_count"))
-    kinds = df.sparkSession.createDataFrame([(c, t) for c, t in df.dtypes], "column_name string, data_type string")
     return kinds.join(counts, "column_name", "left").select(
         "column_name", "data_type", F.coalesce("null_count", F.lit(0)).alias("null_count"), F.coalesce("unique_count", F.lit(0)).alias("unique_count"))
-
-
-__all__ = [
-    "without_outliers", "outlier_counts", "ranking_statistics", "ratio_summary", "feature_profile", "diagonal_range",
-    "column_profile", "is_numeric",
-]

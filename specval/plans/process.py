@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from specval.operators.features import prepare_features
 from specval.plans.cost_spec import Scored, cs_ratio, rank_rows
 from specval.sources.plans import read_batch
-from specval.sources.store import response, save_processed, save_rankings, save_raw
+from specval.sources.store import response, save_rankings, save_raw, stamp
 
 RESPONSE_TOP = 10
 
@@ -26,8 +26,8 @@ def process(spark: SparkSession, path: str, root: str, lines: bool = False, key:
     batch = read_batch(spark, path, lines)
     options = batch.options
     save_raw(batch.rows, f"{root}/raw")
-    features = prepare_features(batch.rows, exclude=[key])
-    save_processed(features, root, fmt="parquet")
+    # the processed snapshot is the table the models read; nothing is written twice
+    features = prepare_features(batch.rows, exclude=[key], path=f"{root}/processed/run_ts={stamp()}")
     scored = cs_ratio(features, options["method"], options["featureSet"], options["feeColumn"], key=key)
     ranked = rank_rows(scored.rows, ("-CS", key))
     run_id = save_rankings(ranked, scored.cost_structure, root, scored.method)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specval import config as C
-from specval.functions.numeric import is_text
 
 MAX_KEYS = 2_000
 DEFAULT_PATH = "data/processed/latest_processed_data.csv"
@@ -126,9 +125,3 @@ def load(spark: SparkSession, path: str = DEFAULT_PATH, **options) -> DataFrame:
 
 def load_default(spark: SparkSession) -> DataFrame:
     return load(spark)
-
-
-__all__ = [
-    "Batch", "read_batch", "expand_variants", "read_scenarios", "normalise_types", "fill_missing", "missing_columns",
-    "read_csv", "looks_processed", "load", "load_default", "is_text",
-]

@@ -14,20 +14,20 @@ METADATA = "run_id string, method string, timestamp timestamp, has_data boolean,
 RESPONSE = ["id", "plan_name", "mvno", "fee", "original_fee", "rank", "rank_number", "B", "CS"]
 
 
-def _stamp() -> str:
+def stamp() -> str:
     return datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S_%f")
 
 
 def save_raw(df: DataFrame, folder: str, timestamp: str | None = None) -> str:
     """A JSON snapshot of the input under ``run_ts=<timestamp>``."""
-    path = f"{folder}/run_ts={timestamp or _stamp()}"
+    path = f"{folder}/run_ts={timestamp or stamp()}"
     df.write.mode("overwrite").json(path)
     return path
 
 
 def save_processed(df: DataFrame, folder: str, timestamp: str | None = None, latest: bool = True, fmt: str = "csv") -> tuple[str, str | None]:
     """A snapshot and the overwritten ``latest`` copy. The copy is read from the snapshot, not computed again."""
-    snapshot = f"{folder}/processed/run_ts={timestamp or _stamp()}"
+    snapshot = f"{folder}/processed/run_ts={timestamp or stamp()}"
     df.write.mode("overwrite").format(fmt).option("header", True).save(snapshot)
     if not latest:
         return snapshot, None
@@ -53,7 +53,7 @@ def save_rankings(rankings: DataFrame, cost_structure: DataFrame, root: str, met
     under the same id replaces it.
     """
     spark = rankings.sparkSession
-    run_id = run_id or _stamp()
+    run_id = run_id or stamp()
     base = f"{root}/runs/{run_id}"
     rankings.write.mode("overwrite").parquet(f"{base}/rankings")
     cost_structure.write.mode("overwrite").parquet(f"{base}/cost_structure")

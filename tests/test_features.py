@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from specval import config as C
 from specval.operators import encode
 from specval.operators.features import derive, finite_maxima, impute_medians, prepare_features
 from specval.plans.cost_spec import cs_ratio, frontier_scores, rank_by_cs, rank_rows

@@ -1,13 +1,11 @@
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from specval.functions.numeric import known
 from specval.operators.curves import CLAMP, EXTEND, price_values
-from specval.operators.frontier import candidates, feature_frontiers, min_increments, monotone
-from specval.operators.frontier_rows import frontier_rows, on_frontier
+from specval.operators.frontier import feature_frontiers, min_increments
+from specval.operators.frontier_rows import frontier_rows
 
 
 def stack_frontier(rows):
