@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specval.functions.numeric import unpivot
+from specval.functions.numeric import numbers, unpivot
 from specval.operators.joins import join_measured
 from specval.operators.ordered import ROWS_PER_BUCKET, running
 from specval.session import materialize
@@ -22,11 +22,6 @@ CURVE_POINTS = 20_000
 CLAMP, EXTEND = "clamp", "extend"
 
 
-def numbers(values) -> Column:
-    """A constant array of doubles."""
-    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
-
-
 def curve_table(points: DataFrame, limit: int = CURVE_POINTS) -> dict[str, tuple[list[float], list[float]]] | None:
     """Curves as sorted lists per feature, or ``None`` when there are more points than ``limit``."""
     rows = points.select("feature", "value", "cost").limit(limit + 1).collect()

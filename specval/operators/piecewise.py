@@ -10,9 +10,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specval.functions.numeric import known, total
+from specval.functions.numeric import known, numbers, total
 from specval.operators import solve
-from specval.operators.curves import CLAMP, numbers, price_values
+from specval.operators.curves import CLAMP, price_values
 from specval.operators.gram import gram
 from specval.operators.levels import level_table
 from specval.operators.ordered import ROWS_PER_BUCKET, neighbours, row_numbers, running, sequential

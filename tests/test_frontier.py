@@ -50,6 +50,13 @@ def test_random_frontiers_match_the_rules(spark, bucket):
         assert points(spark, rows, rows_per_bucket=bucket) == stack_frontier(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_thinned_columns_give_the_same_frontier(spark, seed):
+    draw = random.Random(seed)
+    rows = [(draw.randrange(-3000, 30000) / 8, draw.randrange(0, 90000) / 4) for _ in range(4000)] + [(5.0, 100.0)] * 2000
+    assert points(spark, rows, dense_values=10) == points(spark, rows) == stack_frontier(rows)
+
+
 def test_slope_of_kept_points_is_at_least_one(spark):
     draw = random.Random(2)
     got = points(spark, [(draw.randrange(500), draw.randrange(4000)) for _ in range(800)])
