@@ -69,14 +69,27 @@ def _own_skyline(points: np.ndarray) -> np.ndarray:
     return np.array(found, dtype=int)
 
 
-def _local(columns: list[str]):
+def _local(columns: list[str], window_rows: int):
+    """Drops rows that another row of the partition dominates, in one pass with bounded memory and linear work.
+
+    A window of the cheapest efficient rows so far is held back; what does not fit is passed on, to be compared in a
+    later step. A partition of at most ``window_rows`` rows is finished completely.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
+        held: pd.DataFrame | None = None
         for pdf in batches:
-            pool = pdf if best is None else pd.concat([best, pdf], ignore_index=True)
-            best = pool.iloc[_own_skyline(pool[columns].to_numpy(float))].reset_index(drop=True)
-        if best is not None and len(best):
-            yield best
+            fresh = pdf.iloc[_own_skyline(pdf[columns].to_numpy(float))]
+            if held is not None and len(held):
+                new, old = fresh[columns].to_numpy(float), held[columns].to_numpy(float)
+                stay = ~_dominated(new, old)
+                held, fresh = held[~_dominated(old, new[stay])], fresh[stay]
+                fresh = pd.concat([held, fresh])
+            held = fresh.sort_values(columns[-1], kind="stable").reset_index(drop=True)
+            if len(held) > window_rows:
+                yield held.iloc[window_rows:]
+                held = held.iloc[:window_rows]
+        if held is not None and len(held):
+            yield held
 
     return run
 
@@ -87,11 +100,11 @@ def efficient_vectors(df: DataFrame, features: list[str], price: str, block_rows
     vectors = df.groupBy(*features).agg(F.min(price).cast("double").alias(PRICE))
     wide = vectors.select(*features, *[F.col(f).cast("double").alias(f"__d{i}") for i, f in enumerate(features)], PRICE)
     numeric = [*[f"__d{i}" for i in range(len(features))], PRICE]
-    survivors = materialize(wide.mapInPandas(_local(numeric), wide.schema), "skyline")
+    survivors = materialize(wide.mapInPandas(_local(numeric, block_rows), wide.schema), "skyline")
     left = survivors.count()
     while left > block_rows:
         parts = -(-left // block_rows)
-        merged = materialize(survivors.repartition(parts, F.xxhash64(*columns)).mapInPandas(_local(numeric), wide.schema), "skyline")
+        merged = materialize(survivors.repartition(parts, F.xxhash64(*columns)).mapInPandas(_local(numeric, block_rows), wide.schema), "skyline")
         now = merged.count()
         survivors, shrunk, left = merged, now < 0.7 * left, now
         if not shrunk:
@@ -102,7 +115,7 @@ def efficient_vectors(df: DataFrame, features: list[str], price: str, block_rows
 def _across_blocks(points: DataFrame, numeric: list[str], rows: int, block_rows: int) -> DataFrame:
     if rows <= block_rows:
         # bounded by block_rows; one task finishes the job
-        return points.coalesce(1).mapInPandas(_local(numeric), points.schema)
+        return points.coalesce(1).mapInPandas(_local(numeric, block_rows), points.schema)
     ranked = row_numbers(points, [PRICE, *[f"-{c}" for c in numeric[:-1]]], "__pos", rows_per_bucket=max(block_rows, 1))
     ranked = materialize(ranked.withColumn("__block", F.floor((F.col("__pos") - 1) / block_rows)), "skyline-blocks")
     features = numeric[:-1]
