@@ -466,6 +466,10 @@ ORACLES["I9_simple_redistribution"] = f"""WITH {FEATURES}, c AS ({_corr}), given
 pairs AS (SELECT f1, f2, ABS(corr) AS corr FROM c WHERE NOT isnan(corr) AND ABS(corr) > 0.8), both_ways AS (SELECT * FROM pairs UNION ALL SELECT f2, f1, corr FROM pairs)
 SELECT f1 AS feature, f2 AS paired_with, {r('corr', 'correlation', 6)}, {r('a.value', 'original_value', 6)}, {r('b.value', 'partner_original_value', 6)}, {r('a.value + b.value', 'total_value', 6)},
   {r('(a.value + b.value) / 2', 'redistributed_value', 6)}, 'simple_averaging' AS method FROM both_ways JOIN given a ON a.feature = f1 JOIN given b ON b.feature = f2"""
+_given = ", ".join(f"('{f}', {v}::DOUBLE)" for f, v in GIVEN_RATES.items())
+ORACLES["I14_collinearity_report"] = f"""WITH {FEATURES}, c AS ({_corr}), given AS (SELECT * FROM (VALUES {_given}) AS t(feature, value))
+SELECT f1, f2, {r('corr', digits=6)}, a.value AS coefficient1, b.value AS coefficient2, {r('(a.value + b.value) / 2', 'shared', 6)}
+FROM c JOIN given a ON a.feature = f1 JOIN given b ON b.feature = f2 WHERE NOT isnan(corr) AND ABS(corr) > 0.8"""
 _means_long = " UNION ALL ".join(f"SELECT '{f}' AS feature, AVG({f}) AS coefficient FROM features" for f in C.BASIC_FEATURES)
 ORACLES["I14_economic_clip"] = f"""WITH {FEATURES}, m AS ({_means_long}) SELECT feature, {r('coefficient')}, ROUND(CASE WHEN feature LIKE '%unlimited%' THEN LEAST(GREATEST(coefficient, 100.0), 20000.0)
   WHEN feature LIKE '%5g%' OR feature LIKE '%tethering%' THEN LEAST(GREATEST(coefficient, 100.0), 10000.0) ELSE GREATEST(coefficient, 0.1) END, 4) + 0.0 AS clipped FROM m"""

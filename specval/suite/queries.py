@@ -508,6 +508,10 @@ def i14_clip(spark, d):
     return rounded(commonality.economic_clips(means), 4)
 
 
+def i14_pairs(spark, d):
+    return rounded(redistribute.collinearity_report(features(spark, d), C.BASIC_FEATURES, GIVEN_RATES), 6)
+
+
 # --- piecewise and encodings ------------------------------------------------------------------------
 
 BREAKS = {"basic_data_clean": [10.0, 30.0], "voice_clean": [200.0], "tethering_gb": []}
@@ -715,7 +719,7 @@ QUERIES = {
     "L5_score": l5, "L6_full_report": l6,
     "I1_bounded_ridge_items": i1_items, "I4_whole_table_items": i4_items, "I10_redistribution_items": i10_items, "I11_subset_r2_items": i11_items,
     "J4_two_segments": j4_two, "J8_given_rates": j8_given, "L3_one_feature": l3_one,
-    "M1_snapshot_stream": m1,
+    "I14_collinearity_report": i14_pairs, "M1_snapshot_stream": m1,
 }
 
 
