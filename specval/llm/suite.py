@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specval.llm import exact, mixing, sharding
+from specval.llm import exact, mixing, packing, rules, sharding
 from specval.llm.common import join_checked
 
 
@@ -20,12 +20,20 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
         F.col("__target").alias("target"), (F.col("__size") * mixing.times_taken()).cast("long").alias("taken"))
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.quality_rules(table(spark, folder, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_copies(table(spark, folder, "documents"), digest=True).select(
         "doc_id", F.col("__keep_id").alias("keep_id"), F.col("__group_size").alias("group_size"), F.col("__kept").alias("kept"),
         F.col("__sha").alias("text_sha256"))
 
 
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents")).drop("ids")
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -33,7 +41,9 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op5_quality_rules": op5_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_packing": op7_packing,
     "op9_sharding": op9_sharding,
 }
 
