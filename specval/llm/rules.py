@@ -23,7 +23,7 @@ SYMBOLS = "#*$%&|<>"
 #: Measures: has an edge below, has one above, least distance of an edge from the median, and whether the distance shrinks with the
 #: square root of the number of words, as the sampling error of a mean does.
 MEASURES = {"chars_per_token": (True, True, 1.0, True), "byte_share": (False, True, 2.0, True), "token_entropy": (True, False, 1.25, False)}
-SPREADS = 6.0  # distance of an edge from the median, as a multiple of the distance between the median and the quartile on that side
+SPREADS = 7.0  # distance of an edge from the median, as a multiple of the distance between the median and the quartile on that side
 
 #: Code point ranges by script, for texts without a language.
 SCRIPTS = {

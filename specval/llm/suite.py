@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specval.llm import exact, mixing, packing, rules, sharding
+from specval.llm import exact, mixing, packing, quality, rules, sharding
 from specval.llm.common import join_checked
 
 
@@ -20,6 +20,11 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
         F.col("__target").alias("target"), (F.col("__size") * mixing.times_taken()).cast("long").alias("taken"))
 
 
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", F.col("__held_out").alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.quality_rules(table(spark, folder, "documents"))
 
@@ -41,6 +46,7 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_quality_classifier": op2_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
