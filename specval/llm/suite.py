@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specval.llm import exact, mixing, packing, quality, rules, sharding
+from specval.llm import exact, html, mixing, ngram_join, packing, quality, rules, sharding
 from specval.llm.common import join_checked
 
 
@@ -25,6 +25,11 @@ def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", F.col("__held_out").alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
 
 
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, folder, "documents")).select(
+        F.col("__id").alias("doc_id"), F.col("__class.id").alias("class_id"), F.col("__group.id").alias("group_id"), F.col("__n_links").alias("n_links"))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.quality_rules(table(spark, folder, "documents"))
 
@@ -44,13 +49,20 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"), carry=["page_id", "url"]).select(
+        "page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_ngram_join": op3_ngram_join,
     "op5_quality_rules": op5_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op9_sharding": op9_sharding,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 OP1 = r"""
