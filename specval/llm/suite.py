@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specval.llm import exact, html, mixing, ngram_join, packing, quality, rules, sharding, substring
+from specval.llm import exact, html, licenses, mixing, ngram_join, packing, quality, rules, sharding, substring
 from specval.llm.common import join_checked
 
 
@@ -30,6 +30,10 @@ def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
         F.col("__id").alias("doc_id"), F.col("__class.id").alias("class_id"), F.col("__group.id").alias("group_id"), F.col("__n_links").alias("n_links"))
 
 
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.quality_rules(table(spark, folder, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_ngram_join": op3_ngram_join,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
@@ -116,4 +121,4 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
-ORACLES = {"op1_mixing": OP1, "op6_exact_dedup": OP6}
+ORACLES = {"op1_mixing": OP1, "op4_license_scan": licenses.scan_sql(), "op6_exact_dedup": OP6}
