@@ -1,27 +1,52 @@
-"""Training text from ``documents``: stages that run one after the other, each written before the next one starts."""
+"""Training sequences from ``documents``: five stages, each written as Parquet and read again by the next one.
+
+All stages but the last return the columns of ``documents``; the last returns the pieces of the packed sequences. Every decision takes effect:
+rejected documents, copies and near copies are gone, and a document that the mix takes twice is there twice.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specval.llm import exact, mixing
+from specval.llm import exact, mixing, ngram_join, packing, quality
 from specval.session import materialize
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts. It is fitted on those of ``docs`` that have a label and aren't held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.classify(docs, labels, carry=docs.columns).filter("__predicted = 1").select(*docs.columns)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest id."""
     return exact.drop_exact_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar texts the row with the smallest id."""
+    return ngram_join.drop_similar(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix of sources takes it."""
     return mixing.mixed(docs)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens, with their ids."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("quality_classifier", quality_classifier),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
     ("source_mix", source_mix),
+    ("packing", packed),
 ]
 
-#: The classifier's model and the tokenizer cannot be expressed in SQL.
+#: SQL cannot express the classifier, the similarity groups and the tokenizer.
 ORACLE_SQL = None
 
 
