@@ -121,4 +121,59 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
-ORACLES = {"op1_mixing": OP1, "op4_license_scan": licenses.scan_sql(), "op6_exact_dedup": OP6}
+OP3 = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p, len(w) AS n FROM texts
+), runs AS (
+  SELECT doc_id, p, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM words
+), shingles AS (
+  SELECT DISTINCT doc_id, md5(s) AS s FROM runs WHERE p + 5 <= n OR (n < 5 AND p = 0)
+), sets AS (
+  SELECT t.doc_id, count(s.s) AS n, coalesce(string_agg(s.s, '' ORDER BY s.s), '') AS members
+  FROM texts t LEFT JOIN shingles s ON t.doc_id = s.doc_id GROUP BY t.doc_id
+), classes AS (
+  SELECT doc_id, n, min(doc_id) OVER (PARTITION BY md5(members)) AS class_id, count(*) OVER (PARTITION BY md5(members)) AS size FROM sets
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT c.a, c.b FROM common c JOIN classes x ON c.a = x.doc_id JOIN classes y ON c.b = y.doc_id WHERE 5 * c.c >= 4 * (x.n + y.n - c.c)
+  UNION
+  SELECT doc_id, class_id FROM classes
+), reached AS (
+  SELECT a AS doc_id, b AS other FROM links
+  UNION
+  SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+), groups AS (
+  SELECT doc_id, min(other) AS group_id FROM reached GROUP BY doc_id
+), counted AS (
+  SELECT a AS doc_id, count(*) AS n FROM links WHERE a <> b AND a IN (SELECT doc_id FROM shingles) GROUP BY a
+)
+SELECT c.doc_id, c.class_id, g.group_id, CASE WHEN c.n = 0 THEN c.size - 1 ELSE coalesce(k.n, 0) END AS n_links
+FROM classes c JOIN groups g ON c.doc_id = g.doc_id LEFT JOIN counted k ON c.doc_id = k.doc_id
+"""
+
+OP8 = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p, len(w) AS n FROM texts
+), runs AS (
+  SELECT doc_id, p, n, word, CASE WHEN p + 50 <= n THEN
+    md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) END AS h
+  FROM words
+), firsts AS (
+  SELECT h, min(doc_id) AS first FROM runs WHERE h IS NOT NULL GROUP BY h
+), marked AS (
+  SELECT r.doc_id, r.p, r.word, max(CASE WHEN f.first < r.doc_id THEN 1 ELSE 0 END)
+    OVER (PARTITION BY r.doc_id ORDER BY r.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM runs r LEFT JOIN firsts f ON r.h = f.h
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (gone = 0) AS kept FROM marked GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(coalesce(k.n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""
+
+ORACLES = {"op1_mixing": OP1, "op3_ngram_join": OP3, "op4_license_scan": licenses.scan_sql(), "op6_exact_dedup": OP6, "op8_substring_dedup": OP8}
