@@ -65,9 +65,12 @@ def _encode(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(parts)), n_words)
     place = np.arange(len(words)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
     passage = first_passage[doc] + place // long[doc]
-    reach = np.diff(np.append(starts, len(raw)))  # bytes up to the next word
-    by_byte = np.repeat(passage, reach)
-    kinds = np.bincount(by_byte * KINDS + _KIND[raw[starts[0]:]], minlength=total * KINDS).reshape(total, KINDS)
+    following = np.append(starts[1:], len(raw))
+    reach = np.minimum(following, ends[doc]) - starts  # bytes up to the next word or the end of the text
+    cell = np.repeat(passage, following - starts) * KINDS + _KIND[raw[starts[0]:]]
+    for k in np.flatnonzero(reach < following - starts).tolist():  # white space before the first word of the next text
+        cell[starts[k] + reach[k] - starts[0]:following[k] - starts[0]] = total * KINDS
+    kinds = np.bincount(cell, minlength=total * KINDS)[:total * KINDS].reshape(total, KINDS)
     size = np.maximum(kinds.sum(1), 1)
     n = np.maximum(np.bincount(passage, minlength=total), 1)
     out[:, :KINDS] = kinds / size[:, None]
@@ -86,6 +89,7 @@ def _encode(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out[:, KINDS + 4] = np.bincount(passage, capital, total) / n
     out[:, KINDS + 5] = np.log1p(n) / 5
     out[:, KINDS + 6] = np.minimum(kinds[:, 1] / n, 1)
+    out[np.bincount(passage, minlength=total) == 0] = 0
     return n_passages, out
 
 
