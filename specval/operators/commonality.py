@@ -17,13 +17,13 @@ from specval.config import economic_bounds, redistribution_bounds
 from specval.operators import solve
 from specval.operators.gram import Gram
 
-MAX_FEATURES = 24
+MAX_FEATURES = 62  # bits of the mask
 
 
 def subset_fits(spark: SparkSession, g: Gram) -> DataFrame:
     """(mask, size, r2) for every non-empty subset; bit i of the mask stands for feature i."""
     if g.p > MAX_FEATURES:
-        raise ValueError(f"{g.p} features have 2^{g.p} subsets; at most {MAX_FEATURES} are supported")
+        raise ValueError(f"{g.p} features have 2^{g.p} subsets; a mask has {MAX_FEATURES} bits")
     shared = spark.sparkContext.broadcast(Gram(g.features, g.n, g.mean, g.centred))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

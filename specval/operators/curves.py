@@ -52,8 +52,6 @@ def read_cost(curve, feature: str, mode: str) -> Column:
     x, i, k = F.col(f"__x_{feature}"), F.col(f"__i_{feature}").cast("int"), len(xs)
     if k == 1:
         return F.when(x.isNotNull(), ys[0])
-    slopes = [(ys[j + 1] - ys[j]) / (xs[j + 1] - xs[j]) for j in range(k - 1)]
-
     def line(j: Column) -> Column:
         x1, y1 = F.element_at(numbers(xs), j), F.element_at(numbers(ys), j)
         x2, y2 = F.element_at(numbers(xs), j + 1), F.element_at(numbers(ys), j + 1)
@@ -61,8 +59,9 @@ def read_cost(curve, feature: str, mode: str) -> Column:
 
     if mode == CLAMP:
         return F.when(i <= 0, ys[0]).when(i >= k, ys[-1]).otherwise(line(i))
-    first = ys[0] + (x - xs[0]) * slopes[0]
-    last = F.when(x == xs[-1], ys[-1]).otherwise(ys[-2] + (x - xs[-2]) * slopes[-1])
+    # multiplied before divided, as in the joined form, so that both give the same doubles
+    first = ys[0] + (x - xs[0]) * (ys[1] - ys[0]) / (xs[1] - xs[0])
+    last = F.when(x == xs[-1], ys[-1]).otherwise(ys[-2] + (x - xs[-2]) * (ys[-1] - ys[-2]) / (xs[-1] - xs[-2]))
     return F.when(i <= 0, first).when(i >= k, last).otherwise(line(i))
 
 

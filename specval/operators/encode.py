@@ -9,20 +9,31 @@ from specval.config import UNLIMITED_FLAGS
 from specval.functions.numeric import known
 from specval.operators.quantiles import EXACT_ROWS, exact_quantiles
 
-MAX_LEVELS = 1_000
 SIMILAR = (0.8, 1.2)
 
 
-def dummy_columns(df: DataFrame, columns) -> DataFrame:
-    """One 0/1 column per level of each column, without the lowest level."""
+def dummy_columns(df: DataFrame, columns, levels: dict[str, list] | None = None) -> DataFrame:
+    """One 0/1 column per level of each column, without the lowest level.
+
+    The plan gets a column per level, so the driver has to know them; ``levels`` gives them without a scan. ``dummy_entries``
+    is the form for columns with very many levels.
+    """
     for c in [c for c in columns if c in df.columns]:
-        levels = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()]
-        if len(levels) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels; one column per level is not a usable encoding")
-        df = df.withColumns({f"{c}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)) for v in sorted(levels)[1:]})
+        known_levels = (levels or {}).get(c)
+        if known_levels is None:
+            known_levels = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().collect()]  # as many as the result has columns
+        df = df.withColumns({f"{c}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)) for v in sorted(known_levels)[1:]})
     return df
 
 
+def dummy_entries(df: DataFrame, columns, key: str) -> DataFrame:
+    """J10 in long form: (key, column, level) for every entry that is 1; nothing about the levels reaches the driver."""
+    names = [c for c in columns if c in df.columns]
+    lowest = df.agg(*[F.min(c).alias(c) for c in names]).first()
+    entries = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level"), (F.col(c) > F.lit(lowest[c])).alias("one")) for c in names]
+    return df.select(key, F.explode(F.array(*entries)).alias("e")).filter("e.one").select(key, "e.column", "e.level")
+
+
 def unlimited_premiums(df: DataFrame, flags: dict[str, str], cost: str = "original_fee", exact_rows: int = EXACT_ROWS) -> dict[str, float]:
     """Mean unlimited cost over the mean cost of limited rows within 20 % of the median limited value."""
     pairs = {f: m for f, m in flags.items() if f in df.columns and m in df.columns}

@@ -20,7 +20,6 @@ from specval.operators.ordered import ROWS_PER_BUCKET, running
 from specval.session import materialize
 
 LIMITED, UNLIMITED = "limited", "unlimited"
-SAMPLE_ROWS = 200_000
 DENSE_VALUES = 50_000  # distinct values among the sample rows above which a column is thinned first
 RANGES = 1_000
 POINT = ["kind", "feature", "value", "cost"]
@@ -70,8 +69,8 @@ def cheapest_levels(df: DataFrame, features, flags=None, cost: str = "original_f
     values = [limited_value(df, f, flags).alias(f) for f in names]
     flat = [F.when(F.col(m) == 1, 1.0).alias(m) for m in marks]
     wide = df.select(known(df, cost).alias("__cost"), *values, *flat).filter("__cost IS NOT NULL")
-    # the sample only chooses between two ways to the same result
-    distinct = wide.limit(SAMPLE_ROWS).agg(*[F.approx_count_distinct(f).alias(f) for f in names]).first()
+    # sketches of the whole table choose between two ways to the same result
+    distinct = wide.agg(*[F.approx_count_distinct(f).alias(f) for f in names]).first()
     dense = [f for f in names if distinct[f] > dense_values]
     if dense:
         wide = _thinned(wide, dense)
@@ -123,7 +122,7 @@ def feature_frontiers(df: DataFrame, features, flags=None, cost: str = "original
                       rows_per_bucket: int = ROWS_PER_BUCKET, dense_values: int = DENSE_VALUES) -> DataFrame:
     """H1: frontiers of all features and the cheapest unlimited row per flag, as one table."""
     points = materialize(cheapest_levels(df, features, flags, cost, dense_values), "cheapest-levels")
-    return monotone(points, rows_per_bucket)
+    return materialize(monotone(points, rows_per_bucket), "frontier")  # read several times by every caller
 
 
 def marginal_costs(frontier: DataFrame, features, flags=None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Sums of products: all that the regressions need from the rows.
 
 One aggregate of p(p+1)/2 + ... sums, combined map-side; p is the number of features (about 15). Columns are shifted
-by the mean of a small sample first, which keeps the sums well scaled, and the exact centring is done afterwards on
-the p x p result, so a single pass over the data is enough.
+by their means first (a pass that adds up one number per column), which keeps the sums well scaled; what is left of the
+centring is done on the p x p result. No row prefix or sample has a say in the result.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from specval.functions.numeric import known
 
-SHIFT_ROWS = 1_000
-
 
 @dataclass
 class Gram:
@@ -75,11 +73,8 @@ def product_sums(m: int) -> list[Column]:
 
 
 def gram(df: DataFrame, features: list[str], target: str, by: str | None = None,
-         values: dict[str, Column] | None = None, sample: DataFrame | None = None) -> Gram:
-    """D9 over rows with a target; missing features count as 0. ``by`` also keeps the sums per group (few groups).
-
-    ``sample`` is a cheaper table with the same columns to take the shift from; the result does not depend on it.
-    """
+         values: dict[str, Column] | None = None) -> Gram:
+    """D9 over rows with a target; missing features count as 0. ``by`` also keeps the sums per group (few groups)."""
     values = values or {}
     m = len(features) + 1
 
@@ -88,7 +83,7 @@ def gram(df: DataFrame, features: list[str], target: str, by: str | None = None,
         out = rows.select(*columns, known(rows, target).alias(f"x{m - 1}"), *more)
         return out.filter(F.col(f"x{m - 1}").isNotNull())
 
-    first = wide(df if sample is None else sample).limit(SHIFT_ROWS).agg(*[F.expr(f"avg(x{i}) AS m{i}") for i in range(m)]).first()
+    first = wide(df).agg(*[F.expr(f"avg(x{i}) AS m{i}") for i in range(m)]).first()
     shift = np.array([v if v is not None and np.isfinite(v) else 0.0 for v in first])
     keep = [F.col(by).alias("by")] if by else []
     moved = wide(df, *keep).select(*[(F.col(f"x{i}") - F.lit(float(shift[i]))).alias(f"x{i}") for i in range(m)], *(["by"] if by else []))

@@ -6,23 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_CELLS = 4_000_000  # rows times columns, about 32 MB of numbers
-SALTS = 32
 
 
-def join_measured(rows: DataFrame, lookup: DataFrame, on: list[str], how: str,
-                  broadcast_rows: int | None = None, salts: int = SALTS) -> DataFrame:
-    """Broadcast ``lookup`` when it has at most ``broadcast_rows`` rows (by default as many as make BROADCAST_CELLS
-    cells), else join on salted keys.
+def join_measured(rows: DataFrame, lookup: DataFrame, on: list[str], how: str, broadcast_rows: int | None = None) -> DataFrame:
+    """Broadcast ``lookup``, which holds each key once, when it has at most ``broadcast_rows`` rows (by default as many as
+    make BROADCAST_CELLS cells), else join by shuffle.
 
-    Every lookup row is copied once per salt and every row of the large side takes one salt, so a key held by a third
-    of the rows is spread over ``salts`` tasks. The salt depends on the row and its partition, not on row order, so a
-    repeated task gives the same salts; exact copies differ by partition. ``how`` is inner, left, left_semi or left_anti.
+    A key that a third of ``rows`` share makes a large partition on that side only; the adaptive skew join splits it
+    and repeats the lookup's few rows, so nothing is copied beforehand. ``how`` is inner, left, left_semi or left_anti.
     """
     if broadcast_rows is None:
         broadcast_rows = BROADCAST_CELLS // len(lookup.columns)
     if lookup.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return rows.join(F.broadcast(lookup), on, how)
-    salted_lookup = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = [c for c, t in rows.dtypes if not t.startswith(("map", "variant"))]
-    salted_rows = rows.withColumn("__salt", F.pmod(F.xxhash64(F.spark_partition_id(), *spread), F.lit(salts)).cast("int"))
-    return salted_rows.join(salted_lookup, [*on, "__salt"], how).drop("__salt")
+        lookup = F.broadcast(lookup)
+    return rows.join(lookup, on, how)

@@ -288,7 +288,9 @@ def sequential(df: DataFrame, group: str, position: str, kernel, needed: list[st
 
     while True:
         states = leaving(entry)
-        following = {(g, c + 1): s for (g, c), s in states.items() if (g, c + 1) in states and s is not None}
+        # a chunk hands its state to the next one of its group that has rows
+        places = sorted(states)
+        following = {b: states[a] for a, b in zip(places, places[1:]) if a[0] == b[0] and states[a] is not None}
         if following == entry:
             break
         entry = following

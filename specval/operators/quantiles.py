@@ -1,15 +1,17 @@
 """Exact quantiles of columns of any size.
 
 ``percentile`` keeps one counter per distinct value in a single task, which is fine up to a bound. Beyond it the
-wanted order statistics are bracketed with ``percentile_approx`` (a mergeable sketch), the bracket is verified by
-counting, and the search continues inside the bracket until what is left is below the bound.
+wanted order statistics of all columns are bracketed at once with ``percentile_approx`` (a mergeable sketch), the brackets
+are verified by counting, and the search continues inside them until what is left is below the bound. The number of
+scans depends on the number of rounds (mostly one), not on the number of columns or quantiles.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specval.functions.numeric import known
@@ -35,60 +37,81 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]], exact_rows: i
             F.percentile(known(df, c), F.array(*[F.lit(float(q)) for q in wanted[c]])).alias(c) for c in small
         ]).first()
         result.update({c: list(row[c]) for c in small})
-    for c in names:
-        if sizes[c] > exact_rows:
-            result[c] = _refined(df.select(known(df, c).alias("v")).filter("v IS NOT NULL"), sizes[c], wanted[c], exact_rows)
+    large = [c for c in names if sizes[c] > exact_rows]
+    if large:
+        result.update(_refined(df.select(*[known(df, c).alias(c) for c in large]), {c: sizes[c] for c in large}, wanted, exact_rows))
     return result
 
 
-def _refined(values: DataFrame, n: int, probs: list[float], exact_rows: int) -> list[float]:
-    answers = []
-    cache: dict[int, float] = {}
-    for q in probs:
-        position = (n - 1) * q
-        low = math.floor(position)
-        high = min(low + 1, n - 1)
-        for k in {low, high}:
-            if k not in cache:
-                cache[k] = order_statistic(values, n, k, exact_rows)
-        share = position - low
-        answers.append(cache[low] * (1 - share) + cache[high] * share if share else cache[low])
-    return answers
-
-
-def order_statistic(values: DataFrame, n: int, k: int, exact_rows: int) -> float:
-    """The k-th smallest (0-based) of the column ``v``."""
-    lo, hi = None, None  # the answer lies strictly between them
-    below, inside = 0, n
-    margin = 2.0 / ACCURACY
-    while inside > exact_rows:
-        scope = _between(values, lo, hi)
-        at = (k - below) / max(inside - 1, 1)
-        probs = [max(0.0, at - margin), min(1.0, at + margin)]
-        a, b = scope.agg(F.percentile_approx("v", probs, ACCURACY).alias("p")).first()["p"]
-        v = F.col("v")
-        lt, upto_a, lt_b, upto_b = scope.agg(
-            F.count_if(v < a).alias("c1"), F.count_if(v <= a).alias("c2"), F.count_if(v < b).alias("c3"), F.count_if(v <= b).alias("c4")).first()
-        if k < below + lt or k >= below + upto_b:
-            margin *= 4  # the sketch missed; at margin 1 the bracket is the whole scope
-            continue
-        if k < below + upto_a:
-            return a
-        if k >= below + lt_b:
-            return b
-        # a and b themselves are ruled out, so the scope always shrinks
-        lo, hi, below, inside = a, b, below + upto_a, lt_b - upto_a
-    counts = _between(values, lo, hi).groupBy("v").count()
-    ordered = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # at most exact_rows rows
-    return (
-        counts.withColumn("upto", F.sum("count").over(ordered) + below)
-        .filter(F.col("upto") > k).agg(F.min("v")).first()[0]
-    )
-
-
-def _between(values: DataFrame, lo, hi) -> DataFrame:
-    if lo is not None:
-        values = values.filter(F.col("v") > lo)
-    if hi is not None:
-        values = values.filter(F.col("v") < hi)
-    return values
+@dataclass
+class Rank:
+    """The search for the ``k``-th smallest (0-based) value of a column; it lies strictly between ``low`` and ``high``."""
+
+    column: str
+    k: int
+    inside: int
+    below: int = 0
+    low: float | None = None
+    high: float | None = None
+    margin: float = 2.0 / ACCURACY
+    answer: float | None = None
+
+    def scope(self) -> Column:
+        v = F.col(f"`{self.column}`")
+        inner = v.isNotNull()
+        if self.low is not None:
+            inner = inner & (v > self.low)
+        if self.high is not None:
+            inner = inner & (v < self.high)
+        return F.when(inner, v)
+
+    def narrow(self, a: float, b: float, lt: int, upto_a: int, lt_b: int, upto_b: int) -> None:
+        if self.k < self.below + lt or self.k >= self.below + upto_b:
+            self.margin *= 4  # the sketch missed; at margin 1 the bracket is the whole scope
+        elif self.k < self.below + upto_a:
+            self.answer = a
+        elif self.k >= self.below + lt_b:
+            self.answer = b
+        else:  # a and b themselves are ruled out, so the scope always shrinks
+            self.low, self.high, self.below, self.inside = a, b, self.below + upto_a, lt_b - upto_a
+
+
+def _refined(df: DataFrame, sizes: dict[str, int], wanted: dict[str, list[float]], exact_rows: int) -> dict[str, list]:
+    places = {(c, q): math.floor((n - 1) * q) for c, n in sizes.items() for q in wanted[c]}
+    ranks = {(c, k): Rank(c, k, sizes[c]) for (c, _), low in places.items() for k in (low, min(low + 1, sizes[c] - 1))}
+    _search(df, list(ranks.values()), exact_rows)
+    result = {}
+    for c, n in sizes.items():
+        result[c] = []
+        for q in wanted[c]:
+            low = places[c, q]
+            share = (n - 1) * q - low
+            a, b = ranks[c, low].answer, ranks[c, min(low + 1, n - 1)].answer
+            result[c].append(a * (1 - share) + b * share if share else a)
+    return result
+
+
+def _search(df: DataFrame, ranks: list[Rank], exact_rows: int) -> None:
+    while open_ := [r for r in ranks if r.answer is None and r.inside > exact_rows]:
+        asked = []
+        for r in open_:
+            at = (r.k - r.below) / max(r.inside - 1, 1)
+            asked.append(F.percentile_approx(r.scope(), [max(0.0, at - r.margin), min(1.0, at + r.margin)], ACCURACY))
+        brackets = df.agg(*[c.alias(f"p{i}") for i, c in enumerate(asked)]).first()
+        counted = []
+        for r, (a, b) in zip(open_, brackets):
+            v = r.scope()
+            counted += [F.count_if(v < a), F.count_if(v <= a), F.count_if(v < b), F.count_if(v <= b)]
+        counts = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(counted)]).first()
+        for i, (r, (a, b)) in enumerate(zip(open_, brackets)):
+            r.narrow(a, b, *counts[4 * i:4 * i + 4])
+    rest = [r for r in ranks if r.answer is None]
+    if not rest:
+        return
+    inside = [F.struct(F.lit(i).alias("i"), r.scope().alias("v")) for i, r in enumerate(rest)]
+    values = df.select(F.explode(F.filter(F.array(*inside), lambda s: s["v"].isNotNull())).alias("s")).groupBy("s.i", "s.v").count()
+    ordered = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # at most exact_rows rows per rank
+    place = F.element_at(F.array(*[F.lit(r.k - r.below) for r in rest]), F.col("i") + 1)
+    found = values.withColumn("upto", F.sum("count").over(ordered)).filter(F.col("upto") > place).groupBy("i").agg(F.min("v").alias("v"))
+    for row in found.collect():
+        rest[row["i"]].answer = row["v"]

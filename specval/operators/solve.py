@@ -88,6 +88,8 @@ def bounded(g: Gram, bounds, alpha: float = 1.0, intercept: bool = True, start=N
         if pull[best] <= tolerance:
             break
         free[best] = True
+    else:
+        raise ArithmeticError(f"no optimum after {rounds} rounds of the active set")
     beta = x / scale
     return _intercept(g, beta, intercept), clip(beta, bounds)
 

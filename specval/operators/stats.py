@@ -25,16 +25,16 @@ def outlier_counts(df: DataFrame, column: str = "original_fee", threshold: float
 
 
 def ranking_statistics(df: DataFrame, value: str = "CS", name: str = "plan_name", tie: str = "id") -> DataFrame:
-    """Counts around 1, mean, and the best and worst row; zeros for an empty table."""
+    """Counts around 1, mean, and the first and last row of the ranking (missing ratios last); zeros for an empty table."""
     v = F.col(value)
-    usable = v.isNotNull()
+    order = F.struct(v.isNull(), -v, F.col(tie))
     return df.agg(
         F.count(F.lit(1)).alias("total_plans"),
         F.coalesce(F.avg(v), F.lit(0.0)).alias("avg_ratio"),
         F.count_if(v >= 1).alias("good_value_count"),
         F.count_if(v < 1).alias("poor_value_count"),
-        F.min_by(F.when(usable, F.col(name)), F.when(usable, F.struct(-v, F.col(tie)))).alias("best_value_plan"),
-        F.max_by(F.when(usable, F.col(name)), F.when(usable, F.struct(-v, F.col(tie)))).alias("worst_value_plan"),
+        F.min_by(name, order).alias("best_value_plan"),
+        F.max_by(name, order).alias("worst_value_plan"),
     )
 
 

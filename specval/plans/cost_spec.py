@@ -100,8 +100,8 @@ METHODS = ("frontier", "fixed_rates", "multi_frontier", "linear_decomposition")
 
 
 def cs_ratio(df: DataFrame, method: str = "frontier", feature_set: str = "basic", fee: str = "fee",
-             features=None, solver: str = "bounded", on_failure: str = "frontier", key: str = "id") -> Scored:
-    """H6: score by the named method. ``on_failure='raise'`` shows a failed fit instead of scoring by frontier."""
+             features=None, solver: str = "bounded", on_failure: str = "raise", key: str = "id") -> Scored:
+    """H6: score by the named method. ``on_failure='frontier'`` scores by frontier when the fit fails; ``method`` then says so."""
     from specval.plans import regression as R
 
     if method not in METHODS:
@@ -116,10 +116,12 @@ def cs_ratio(df: DataFrame, method: str = "frontier", feature_set: str = "basic"
         fit = R.fit_prices(df, features or present_features(df, names, C.UNLIMITED_FLAGS), solver=solver)
         return Scored(fixed_rate_scores(df, fit, fee), fit.table(df.sparkSession), method="fixed_rates")
     except R.FitError as problem:
-        if on_failure == "raise":
+        if on_failure != "frontier":
             raise
         log.warning("%s failed (%s); scoring by frontier", method, problem)
-        return frontier_scores(df, names, fee)
+        scored = frontier_scores(df, names, fee)
+        scored.method = f"frontier_after_failed_{method}"
+        return scored
 
 
 def rank_rows(df: DataFrame, order=("-CS", "id"), top_n: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:

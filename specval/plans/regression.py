@@ -89,7 +89,7 @@ def fit_efficient(df: DataFrame, features, price: str = "original_fee", alpha: f
     if not names:
         raise FitError(f"None of the features {list(features)} found in data")
     rows = efficient_rows(df, names, price, block_rows)
-    g = _checked(gram(rows.filter(F.col(price) > 0), names, price, sample=df))
+    g = _checked(gram(rows.filter(F.col(price) > 0), names, price))
     bounds = [C.efficiency_bounds(f) for f in names]
     b0, beta = _solve(g, bounds, alpha, True, solver)
     free = solve.unconstrained(g, alpha, True)[1]
@@ -105,7 +105,7 @@ def fit_whole_table(df: DataFrame, features, target: str | None = None, outlier_
         raise FitError(f"None of the features {list(features)} found in data")
     target = target or ("monthly_fee" if "monthly_fee" in df.columns else "fee")
     kept = without_outliers(df, "original_fee", outlier_threshold).filter(known(df, target) > 0)
-    g = _checked(gram(kept, names, target, sample=df))
+    g = _checked(gram(kept, names, target))
     bounds = [C.whole_table_bounds(f) for f in names]
     if solver is None:
         direct = alpha > 0 and solve.condition_number(g, alpha, False) < WELL_CONDITIONED
@@ -116,14 +116,22 @@ def fit_whole_table(df: DataFrame, features, target: str | None = None, outlier_
 
 
 def fit_prices(df: DataFrame, features, outlier_threshold: float = 3.0, alpha: float = 0.0, use_efficient: bool = True,
-               solver: str = "bounded") -> Fit:
-    """The efficient-row fit on the list price (else the fee); the whole-table fit if that is off or impossible."""
+               solver: str = "bounded", on_failure: str = "raise") -> Fit:
+    """The efficient-row fit on the list price (else the fee); the whole-table fit if that is off.
+
+    When the efficient-row fit is impossible, that is an error; ``on_failure='whole_table'`` asks for the other fit, whose
+    ``method`` then says so.
+    """
     price = "original_fee" if "original_fee" in df.columns else "fee"
     if use_efficient:
         try:
             return fit_efficient(df, features, price, 1.0, solver)
         except FitError:
-            pass
+            if on_failure != "whole_table":
+                raise
+            fit = fit_whole_table(df, features, None, outlier_threshold, alpha)
+            fit.method += "_after_failed_efficient"
+            return fit
     return fit_whole_table(df, features, None, outlier_threshold, alpha)
 
 

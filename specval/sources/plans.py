@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from specval import config as C
 
-MAX_KEYS = 2_000
 DEFAULT_PATH = "data/processed/latest_processed_data.csv"
 
 
@@ -53,25 +52,39 @@ def read_batch(spark: SparkSession, path: str, lines: bool = False, schema: T.St
     return Batch(rows, {**C.DEFAULT_OPTIONS, **{k: v for k, v in chosen.items() if v is not None}})
 
 
-def expand_variants(items: DataFrame, base_id: str = "base") -> DataFrame:
+def expand_variants(items: DataFrame, base_id: str = "base", keys: list[str] | None = None) -> DataFrame:
     """Every variant with the base features it does not change itself.
 
     ``items`` has id, name, features and changed_features (maps). The base is a single row and becomes literals of the
-    plan. Without a base the items' own features are returned.
+    plan. Without a base the items' own features are returned. The result has a column per feature; ``keys`` names them
+    without a scan, ``variant_maps`` keeps them in a map.
     """
-    base_row = items.filter(F.col("id") == base_id).select("features").limit(1).collect()
-    base = (base_row[0]["features"] or {}) if base_row else {}
-    changes = F.coalesce("features", "changed_features", F.create_map().cast("map<string,double>"))
-    full = items.select("id", "name", changes.alias("m"))
-    seen = full.select(F.explode(F.map_keys("m")).alias("k")).distinct().limit(MAX_KEYS + 1).collect()
-    keys = sorted({*base, *(r["k"] for r in seen)})
-    if len(keys) > MAX_KEYS:
-        raise ValueError(f"more than {MAX_KEYS} different features; they cannot become columns")
+    base = _base_features(items, base_id)
+    full = items.select("id", "name", _changes().alias("m"))
+    if keys is None:
+        seen = full.select(F.explode(F.map_keys("m")).alias("k")).distinct().collect()  # as many as the result has columns
+        keys = sorted({*base, *(r["k"] for r in seen)})
     return full.select("id", "name", *[
         F.when(F.map_contains_key("m", k), F.col("m").getItem(k)).otherwise(F.lit(base.get(k)).cast("double")).alias(k) for k in keys
     ])
 
 
+def _base_features(items: DataFrame, base_id: str) -> dict[str, float]:
+    row = items.filter(F.col("id") == base_id).select("features").limit(1).collect()
+    return (row[0]["features"] or {}) if row else {}
+
+
+def _changes():
+    return F.coalesce("features", "changed_features", F.create_map().cast("map<string,double>"))
+
+
+def variant_maps(items: DataFrame, base_id: str = "base") -> DataFrame:
+    """A2 for any number of features: ``features`` is the base's map with the item's own entries on top."""
+    base = F.create_map(*[F.lit(x) for pair in _base_features(items, base_id).items() for x in pair]).cast("map<string,double>")
+    kept = F.map_filter(base, lambda k, _: ~F.map_contains_key("m", k))
+    return items.select("id", "name", _changes().alias("m")).select("id", "name", F.map_concat(kept, "m").alias("features"))
+
+
 def read_scenarios(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     schema = "id string, name string, features map<string,double>, changed_features map<string,double>"
     items = spark.read.schema(schema).option("multiLine", not lines).json(path)

@@ -292,9 +292,9 @@ FROM lng WHERE NOT unlimited AND cost IS NOT NULL GROUP BY feature, value"""
 ORACLES["D5_min_increment"] = f"""WITH {ITEM_FRONTIER} SELECT feature, {r('COALESCE(MIN(step), 1.0)', 'min_increment', 8)} FROM (
   SELECT feature, value - LAG(value) OVER (PARTITION BY feature ORDER BY value) AS step FROM (SELECT DISTINCT feature, value FROM lng)) GROUP BY feature"""
 ORACLES["D6_ranking_statistics"] = f"""WITH {SCORED} SELECT COUNT(*) AS total_plans, {r('AVG(CS)', 'avg_ratio')}, COUNT(*) FILTER (CS >= 1) AS good_value_count,
-  COUNT(*) FILTER (CS < 1) AS poor_value_count, ARG_MIN(plan_name, (-CS, id)) AS best_value_plan, ARG_MAX(plan_name, (-CS, id)) AS worst_value_plan FROM scored WHERE fee > 0"""
+  COUNT(*) FILTER (CS < 1) AS poor_value_count, ARG_MIN(plan_name, (CS IS NULL, -CS, id)) AS best_value_plan, ARG_MAX(plan_name, (CS IS NULL, -CS, id)) AS worst_value_plan FROM scored"""
 ORACLES["D7_ratio_summary"] = f"""WITH {SCORED} SELECT COUNT(*) AS total_plans, {r('AVG(CS)', 'avg_cs')}, COUNT(*) FILTER (CS >= 1) AS high_cs_count, COUNT(*) FILTER (CS < 1) AS low_cs_count,
-  {r('COUNT(*) FILTER (CS >= 1)::DOUBLE / COUNT(*)', 'high_cs_pct')}, {r('COUNT(*) FILTER (CS < 1)::DOUBLE / COUNT(*)', 'low_cs_pct')} FROM scored WHERE fee > 0"""
+  {r('COUNT(*) FILTER (CS >= 1)::DOUBLE / COUNT(*)', 'high_cs_pct')}, {r('COUNT(*) FILTER (CS < 1)::DOUBLE / COUNT(*)', 'low_cs_pct')} FROM scored"""
 KEPT = f"""{ITEMS}, moments AS (SELECT AVG(original_fee) AS m, STDDEV_SAMP(original_fee) AS s FROM items),
 kept AS (SELECT items.* FROM items, moments WHERE ABS((original_fee - m) / s) <= 2)"""
 ORACLES["D8_outlier_filter"] = f"WITH {KEPT} SELECT {ITEM_KEY}, original_fee FROM kept"

@@ -688,8 +688,8 @@ QUERIES = {
     "C1_efficient_rows": c1, "C1_efficiency_ratio": c1_ratio, "C2_interpolation": _interpolated(CLAMP, 1.07), "C3_extrapolation": _interpolated(EXTEND, 1.3),
     "C4_frontier_semi_join": c4, "C5_method_columns": c5, "C6_base_variants": a2,
     "D1_frontier_candidates": d1, "D2_cheapest_unlimited": d2, "D3_cheapest_unlimited_named": d3, "D4_level_table": d4, "D5_min_increment": d5,
-    "D6_ranking_statistics": lambda s, d: rounded(stats.ranking_statistics(scored(s, d).filter("fee > 0"))),
-    "D7_ratio_summary": lambda s, d: rounded(stats.ratio_summary(scored(s, d).filter("fee > 0"))),
+    "D6_ranking_statistics": lambda s, d: rounded(stats.ranking_statistics(scored(s, d))),
+    "D7_ratio_summary": lambda s, d: rounded(stats.ratio_summary(scored(s, d))),
     "D8_outlier_filter": lambda s, d: stats.without_outliers(items(s, d), PRICE, 2.0).select(*ITEM_KEY, PRICE),
     "D8_outlier_counts": lambda s, d: stats.outlier_counts(items(s, d), PRICE, 2.0),
     "D9_sufficient_statistics": d9, "D10_correlations": d10, "D10_high_correlations": d10_high, "D11_breakpoints": d11,

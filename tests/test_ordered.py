@@ -129,6 +129,35 @@ def test_sequential_equals_one_pass(spark, chunk):
     assert got == want
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 3, 5])
+def test_sequential_with_gaps_and_empty_chunks(spark, chunk):
+    rows = [("a", p, 0.0) for p in (1, 2, 8, 9, 12, 40, 47, 48, 56)] + [("b", p, 0.0) for p in (3, 30)]
+    df = spark.createDataFrame(rows, "g string, pos bigint, y double")
+
+    def kernel(pdf, state):
+        mask = np.zeros(len(pdf), dtype=bool)
+        for i, p in enumerate(pdf["pos"].to_numpy()):
+            if state is None or p - state[0] >= 8:
+                mask[i], state = True, (float(p),)
+        return mask, state
+
+    got = {(r["g"], r["pos"]) for r in sequential(df, "g", "pos", kernel, [], chunk).collect()}
+    assert got == {("a", 1), ("a", 9), ("a", 40), ("a", 48), ("a", 56), ("b", 3), ("b", 30)}
+
+
+def test_scans_do_not_grow_with_the_columns(spark):
+    jobs = []
+    for n in (1, 12):
+        df = spark.range(3000).select(*[((F.col("id") * (7 + i)) % 2999).cast("double").alias(f"c{i}") for i in range(n)])
+        spark.sparkContext.setJobGroup(f"quantiles{n}", "")
+        got = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in df.columns}, 500)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"quantiles{n}")))
+        table_ = df.toPandas()
+        assert all(np.allclose(got[c], np.quantile(table_[c], [0.25, 0.5, 0.75])) for c in df.columns)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 4
+
+
 @pytest.mark.parametrize("limit", [10_000_000, 200, 20])
 def test_exact_quantiles(spark, limit):
     pdf = table(4000)
