@@ -1,10 +1,11 @@
 """Pareto-efficient rows: no other row has all features at least as good at no higher price, with one better.
 
 1. Only the cheapest row of a feature vector can be efficient: one map-side combined aggregate.
-2. Every partition drops what its own rows dominate, repeated on fewer partitions while that still shrinks the set.
-3. The survivors, in blocks of bounded size ordered by price, are compared block against block. Work is shared over
-   all pairs of blocks, and a pair whose corner values rule dominance out is never sent anywhere.
-Nothing is dropped or capped. If nearly all vectors are efficient, step 3 is quadratic in their number by nature.
+2. Every partition drops what its own rows dominate. A bounded set of strong points (cheap for much) then goes to all
+   tasks, which drop what these dominate; this repeats on fewer partitions while it still shrinks the set.
+3. The survivors are cut into boxes by a k-d tree over features and price. A row can only be dominated from a box that reaches
+   at least as high in every feature and at least as low in price, so only such pairs of boxes are compared.
+Nothing is dropped or capped. If nearly all vectors are efficient, step 3 stays quadratic in the boxes that dominance allows.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from pyspark.sql import functions as F
 
 from specval.functions.numeric import drop_missing
 from specval.operators.joins import join_measured
-from specval.operators.ordered import row_numbers
 from specval.session import materialize
 
 BLOCK_ROWS = 8_000
+STRONG_ROWS = 2_000  # rows that go to the driver and to every task
+SAMPLE_ROWS, SAMPLE_PER_BLOCK = 200_000, 64  # rows the k-d tree is built from: a hash of the row decides
 MIN_ROWS = 10
 PRICE = "__price"
 
@@ -102,6 +104,9 @@ def efficient_vectors(df: DataFrame, features: list[str], price: str, block_rows
     numeric = [*[f"__d{i}" for i in range(len(features))], PRICE]
     survivors = materialize(wide.mapInPandas(_local(numeric, block_rows), wide.schema), "skyline")
     left = survivors.count()
+    if left > block_rows:
+        survivors = materialize(_without_clearly_dominated(survivors, numeric), "skyline-strong")
+        left = survivors.count()
     while left > block_rows:
         parts = -(-left // block_rows)
         merged = materialize(survivors.repartition(parts, F.xxhash64(*columns)).mapInPandas(_local(numeric, block_rows), wide.schema), "skyline")
@@ -112,26 +117,111 @@ def efficient_vectors(df: DataFrame, features: list[str], price: str, block_rows
     return _across_blocks(survivors, numeric, left, block_rows).select(*columns)
 
 
+def _without_clearly_dominated(points: DataFrame, numeric: list[str]) -> DataFrame:
+    """Drops what the rows with the best price for their features dominate. Exact: a dominated row is never efficient."""
+    ends = points.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(numeric)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(numeric)]).first()
+    span = [ends[f"hi{i}"] - ends[f"lo{i}"] for i in range(len(numeric))]
+    span = [float(v) if v and np.isfinite(v) else 1.0 for v in span]
+    score = F.col(numeric[-1]) / span[-1]
+    for c, v in zip(numeric[:-1], span):
+        score = score - F.col(c) / v
+    rows = points.orderBy(score).limit(STRONG_ROWS).select(*numeric).collect()
+    strong = np.array([tuple(r) for r in rows], dtype=float).reshape(-1, len(numeric))
+    shared = points.sparkSession.sparkContext.broadcast(strong[_own_skyline(strong)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[~_dominated(pdf[numeric].to_numpy(float), shared.value)]
+
+    return points.mapInPandas(run, points.schema)
+
+
+class Boxes:
+    """A k-d tree that cuts at medians of a sample; ``place`` gives the box of each row."""
+
+    def __init__(self, sample: np.ndarray, boxes: int):
+        self.dim, self.cut, self.child = [-1], [0.0], [(0, 0)]
+        spread = np.ptp(sample, axis=0) if len(sample) else np.ones(sample.shape[1])
+        spread = np.where(np.isfinite(spread) & (spread > 0), spread, 1.0)
+        leaves = [(len(sample), 0, sample)]
+        while leaves and len(leaves) < boxes:
+            leaves.sort(key=lambda leaf: leaf[0])
+            size, node, rows = leaves.pop()
+            width = np.ptp(rows, axis=0) / spread if size else np.zeros(sample.shape[1])
+            width = np.where(np.isfinite(width), width, 0)
+            dim = int(np.argmax(width))
+            if not size or width[dim] <= 0:
+                leaves.append((0, node, rows))
+                if all(leaf[0] == 0 for leaf in leaves):
+                    break
+                continue
+            values = np.sort(rows[:, dim])
+            cut = float(values[(size - 1) // 2])
+            if cut == values[-1]:
+                cut = float(values[values < cut].max())
+            low = rows[:, dim] <= cut
+            self.dim[node], self.cut[node], self.child[node] = dim, cut, (len(self.dim), len(self.dim) + 1)
+            self.dim += [-1, -1]
+            self.cut += [0.0, 0.0]
+            self.child += [(0, 0), (0, 0)]
+            leaves += [(int(low.sum()), self.child[node][0], rows[low]), (int((~low).sum()), self.child[node][1], rows[~low])]
+        self.arrays = np.array(self.dim), np.array(self.cut), np.array(self.child)
+
+    def place(self, points: np.ndarray) -> np.ndarray:
+        dim, cut, child = self.arrays
+        node = np.zeros(len(points), dtype=int)
+        while True:
+            open_ = np.flatnonzero(dim[node] >= 0)
+            if not len(open_):
+                return node
+            at = node[open_]
+            node[open_] = child[at, (points[open_, dim[at]] > cut[at]).astype(int)]
+
+
+def boxed(points: DataFrame, numeric: list[str], rows: int, block_rows: int) -> DataFrame:
+    """Adds ``__block`` and ``__pos``, a number of the row."""
+    boxes = -(-rows // block_rows)
+    share = min(1.0, min(SAMPLE_ROWS, SAMPLE_PER_BLOCK * boxes) / rows)
+    chosen = points.filter(F.pmod(F.xxhash64(*numeric), F.lit(1 << 20)) < int(share * (1 << 20))).select(*numeric).collect()
+    tree = points.sparkSession.sparkContext.broadcast(Boxes(np.array([tuple(r) for r in chosen], dtype=float).reshape(-1, len(numeric)), boxes))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(__block=tree.value.place(pdf[numeric].to_numpy(float)))
+
+    schema = f"{', '.join(f'`{c}` {t}' for c, t in points.dtypes)}, __block bigint"
+    return materialize(points.mapInPandas(run, schema).withColumn("__pos", F.monotonically_increasing_id()), "skyline-blocks")
+
+
+def block_pairs(placed: DataFrame, numeric: list[str]) -> DataFrame:
+    """(``target``, ``other``): pairs of boxes in which ``other`` can hold a row that dominates one of ``target``."""
+    ends = [e for c in numeric for e in (F.max(c).alias(f"hi_{c}"), F.min(c).alias(f"lo_{c}"))]
+    corners = materialize(placed.groupBy("__block").agg(*ends), "skyline-corners")
+    highs, lows = [f"hi_{c}" for c in numeric], [f"lo_{c}" for c in numeric]
+    rows = corners.select("__block", *highs, *lows).collect()  # one row per block_rows survivors
+    table = np.array([tuple(r) for r in rows], dtype=float).reshape(len(rows), 1 + 2 * len(numeric))
+    shared = placed.sparkSession.sparkContext.broadcast(table)
+    p = len(numeric)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, high, low = shared.value[:, 0].astype(int), shared.value[:, 1:1 + p], shared.value[:, 1 + p:]
+        for pdf in batches:
+            for block, *edges in pdf[["__block", *lows[:-1], highs[-1]]].itertuples(index=False):
+                can = (high[:, :-1] >= np.array(edges[:-1], float)).all(1) & (low[:, -1] <= edges[-1])
+                yield pd.DataFrame({"target": block, "other": names[can]})
+
+    return corners.repartition(max(1, len(rows) // 64)).mapInPandas(run, "target bigint, other bigint")
+
+
 def _across_blocks(points: DataFrame, numeric: list[str], rows: int, block_rows: int) -> DataFrame:
     if rows <= block_rows:
         # bounded by block_rows; one task finishes the job
         return points.coalesce(1).mapInPandas(_local(numeric, block_rows), points.schema)
-    ranked = row_numbers(points, [PRICE, *[f"-{c}" for c in numeric[:-1]]], "__pos", rows_per_bucket=max(block_rows, 1))
-    ranked = materialize(ranked.withColumn("__block", F.floor((F.col("__pos") - 1) / block_rows)), "skyline-blocks")
-    features = numeric[:-1]
-    # one row per block; which blocks can hold a dominating row is a join on these corner values only
-    ends = [e for i, c in enumerate(features) for e in (F.max(c).alias(f"hi{i}"), F.min(c).alias(f"lo{i}"))]
-    corners = ranked.groupBy("__block").agg(*ends, F.min(PRICE).alias("cheapest"), F.max(PRICE).alias("dearest"))
-    corners = materialize(corners, "skyline-corners")
-    mine, theirs = corners.alias("t"), corners.alias("o")
-    possible = F.col("o.cheapest") <= F.col("t.dearest")
-    for i in range(len(features)):
-        possible = possible & (F.col(f"o.hi{i}") >= F.col(f"t.lo{i}"))
-    pairs = materialize(
-        mine.join(theirs, possible).select(F.col("t.__block").alias("target"), F.col("o.__block").alias("other")), "skyline-pairs")
-    targets = join_measured(ranked.withColumnRenamed("__block", "target"), pairs, ["target"], "inner")
+    placed = boxed(points, numeric, rows, block_rows)
+    pairs = materialize(block_pairs(placed, numeric), "skyline-pairs")
+    targets = placed.withColumnRenamed("__block", "target").join(pairs, "target")
     renamed = {c: f"o_{c}" for c in numeric}
-    others = join_measured(ranked.select("__block", *numeric).withColumnsRenamed({**renamed, "__block": "other"}), pairs, ["other"], "inner")
+    others = placed.select("__block", *numeric).withColumnsRenamed({**renamed, "__block": "other"}).join(pairs, "other")
 
     def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if mine.empty or theirs.empty:
@@ -144,7 +234,7 @@ def _across_blocks(points: DataFrame, numeric: list[str], rows: int, block_rows:
         .cogroup(others.select("target", "other", *renamed.values()).groupBy("target", "other"))
         .applyInPandas(compare, "__pos bigint").distinct()
     )
-    return ranked.join(lost, "__pos", "left_anti").drop("__pos", "__block")
+    return placed.join(lost, "__pos", "left_anti").drop("__pos", "__block")
 
 
 def efficient_rows(df: DataFrame, features: list[str], price: str, block_rows: int = BLOCK_ROWS, min_rows: int = MIN_ROWS) -> DataFrame:

@@ -33,6 +33,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+SCOPE = "specval.scratch.scope"
+
+
+def scratch_scope(spark: SparkSession, name: str) -> None:
+    """From now on intermediate tables go to the part ``name`` of the application's folder, which can be dropped as a whole."""
+    spark.conf.set(SCOPE, name)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
@@ -40,13 +48,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     gives Catalyst real file sizes and column pruning for everything that follows.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark, spark.conf.get(SCOPE, 'main'))}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Drop the intermediate tables of this application."""
+def clear_scratch(spark: SparkSession, scope: str | None = None) -> None:
+    """Drop the intermediate tables of this application, or of one scope."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}")
+    path = jvm.org.apache.hadoop.fs.Path(_folder(spark, scope))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folder(spark: SparkSession, scope: str | None) -> str:
+    return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}" + (f"/{scope}" if scope else "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from specval import config as C
 from specval.fixtures import ITEM_FEATURES, ITEM_FLAGS, PLANS_SQL, PRICED_ITEMS_SQL
 from specval.suite.inputs import GIVEN_INTERCEPT, GIVEN_RATES
-from specval.suite.queries import B_COLUMNS, BREAKS, CORE
+from specval.suite.queries import B_COLUMNS, BREAKS, CORE, FIVE
 
 CONTINUOUS = C.continuous(C.BASIC_FEATURES, C.UNLIMITED_FLAGS)
 PLAN_VIEW = "id, plan_name, network, basic_data, CAST(daily_data AS VARCHAR) AS daily_data, voice, agreement, fee, original_fee"
@@ -258,6 +258,11 @@ best AS (SELECT * FROM vectors v WHERE NOT EXISTS (
   SELECT 1 FROM vectors o WHERE {BETTER} AND o.original_fee <= v.original_fee AND ({STRICT} OR o.original_fee < v.original_fee))),
 efficient AS (SELECT i.* FROM items i SEMI JOIN best USING ({', '.join(ITEM_FEATURES)}, original_fee))"""
 ORACLES["C1_efficient_rows"] = f"WITH {EFFICIENT} SELECT {ITEM_KEY}, {', '.join(ITEM_FEATURES)}, original_fee FROM efficient"
+ORACLES["C1_efficient_rows_five_features"] = f"""WITH items AS (SELECT {ITEM_KEY}, {', '.join(f'{e} AS {f}' for f, e in FIVE.items())}, l_extendedprice AS price FROM lineitem),
+vectors AS (SELECT {', '.join(FIVE)}, MIN(price) AS price FROM items GROUP BY ALL),
+best AS (SELECT * FROM vectors v WHERE NOT EXISTS (SELECT 1 FROM vectors o WHERE {' AND '.join(f'o.{f} >= v.{f}' for f in FIVE)} AND o.price <= v.price
+  AND (o.price < v.price OR {' OR '.join(f'o.{f} > v.{f}' for f in FIVE)})))
+SELECT i.* FROM items i SEMI JOIN best USING ({', '.join(FIVE)}, price)"""
 ORACLES["C1_efficiency_ratio"] = f"""WITH {EFFICIENT} SELECT (SELECT COUNT(*) FROM items) AS complete_rows, COUNT(*) AS efficient_rows,
   ROUND(COUNT(*)::DOUBLE / (SELECT COUNT(*) FROM items), 8) + 0.0 AS efficiency_ratio FROM efficient"""
 

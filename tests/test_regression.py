@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specval import config as C
-from specval.operators import commonality, redistribute, solve, validate
+from specval.operators import commonality, redistribute, skyline, solve, validate
 from specval.operators.gram import gram
 from specval.operators.skyline import efficient_rows, efficiency
 from specval.operators.stats import without_outliers
@@ -115,6 +115,18 @@ def test_skyline(spark, block, front):
     assert got == brute_skyline(rows)
 
 
+def test_boxes_rule_out_most_pairs(spark):
+    """Six features, nearly everything efficient: under half of all pairs of boxes are compared."""
+    draw = np.random.default_rng(3)
+    feats = draw.random((6000, 6))
+    price = feats.sum(1) + draw.normal(0, 1e-3, 6000)
+    df = spark.createDataFrame([(*map(float, f), float(p)) for f, p in zip(feats, price)], "a double, b double, c double, d double, e double, f double, p double")
+    placed = skyline.boxed(df, list("abcdefp"), 6000, 100)
+    n = placed.select("__block").distinct().count()
+    assert 50 <= n <= 70 and placed.groupBy("__block").count().agg({"count": "max"}).first()[0] <= 300
+    assert skyline.block_pairs(placed, list("abcdefp")).count() < n * n / 2
+
+
 def test_skyline_small_missing_and_copies(spark):
     few = spark.createDataFrame([(1.0, 5.0), (0.0, 9.0), (None, 1.0)], "a double, p double")
     assert efficient_rows(few, ["a"], "p").count() == 2
