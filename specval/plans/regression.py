@@ -84,8 +84,10 @@ def _solve(g: Gram, bounds, alpha: float, intercept: bool, solver: str) -> tuple
 
 def fit_efficient(df: DataFrame, features, price: str = "original_fee", alpha: float = 1.0, solver: str = "bounded",
                   block_rows: int = BLOCK_ROWS) -> Fit:
-    """Ridge with intercept on the efficient rows with a positive price."""
+    """Ridge with intercept on the efficient rows with a positive price. A column without any value is no feature."""
     names = [f for f in features if f in df.columns]
+    filled = df.agg(*[F.count(f).alias(f) for f in names]).first() if names else {}
+    names = [f for f in names if filled[f]]
     if not names:
         raise FitError(f"None of the features {list(features)} found in data")
     rows = efficient_rows(df, names, price, block_rows)

@@ -4,52 +4,94 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specval import config as C
+from specval.session import materialize
 
 DEFAULT_PATH = "data/processed/latest_processed_data.csv"
 
 
 @dataclass
 class Batch:
+    """Plans with one set of options; ``rejects`` holds what could not be read (``record``, ``reason``)."""
+
     rows: DataFrame
     options: dict
+    rejects: DataFrame
 
 
-def plan_reader_schema(schema: T.StructType = C.PLAN_SCHEMA) -> T.StructType:
-    """Plan fields, and the envelope's two fields next to them."""
-    return T.StructType([
-        *schema.fields, T.StructField("options", C.OPTIONS_SCHEMA), T.StructField("data", T.ArrayType(schema)),
-        T.StructField("_corrupt_record", T.StringType()),
-    ])
+def _typed(text: Column, kind: T.DataType) -> Column:
+    """A value given as number, text or flag in the declared type; what doesn't fit is missing. Fractions of whole numbers are cut off."""
+    if isinstance(kind, T.StringType):
+        return text
+    number = text.try_cast("double")
+    if isinstance(kind, T.BooleanType):
+        return F.coalesce(text.try_cast("boolean"), number != 0)
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(text.try_cast(kind), number.try_cast(kind))
+    return number.try_cast(kind)
 
 
-def read_batch(spark: SparkSession, path: str, lines: bool = False, schema: T.StructType = C.PLAN_SCHEMA) -> Batch:
-    """A1: a JSON array of plans, or envelopes ``{options, data}``.
+def parse_records(raw: DataFrame, schema: T.StructType = C.PLAN_SCHEMA) -> DataFrame:
+    """JSON texts (``value``) to plans: the fields of ``schema``, ``extra`` (a map with all other fields), ``options``, and for what could not
+    be read ``record`` with a ``reason``.
 
-    ``lines`` reads one JSON value per line, which splits large files over tasks.
+    A text is a plan, a list of plans, or an envelope ``{options, data}``, whose options go with its own plans only.
+    """
+    text, plan = F.trim("value"), "map<string,string>"
+    whole = F.from_json(text, plan, {"mode": "PERMISSIVE"})
+    is_list = text.startswith("[")
+    keyed = raw.filter(F.length(text) > 0).select(
+        F.col("value").alias("record"), is_list.alias("is_list"), F.when(~is_list, whole).alias("one"), F.when(is_list, text).alias("list"))
+    envelope = F.map_contains_key("one", F.lit("data"))
+    listed = F.from_json(F.when(envelope, F.col("one")["data"]).otherwise(F.col("list")), f"array<{plan}>")
+    plans = F.when(F.coalesce(envelope, F.lit(False)) | F.col("is_list"), listed).otherwise(F.array("one"))
+    given = F.from_json(F.when(F.coalesce(envelope, F.lit(False)), F.col("one")["options"]), plan)
+    opened = keyed.select("record", given.alias("given"), F.posexplode_outer(
+        F.when(F.size(plans) == 0, F.array(F.create_map().cast(plan))).otherwise(plans)).alias("place", "p"))
+    names = [f.name for f in schema.fields]
+    known = F.arrays_overlap(F.map_keys("p"), F.array(*[F.lit(n) for n in names]))
+    reason = F.when(F.col("p").isNull(), "no plans in it").when((F.size("p") > 0) & ~known, "not a plan")
+    options = F.struct(*[
+        F.coalesce(_typed(F.col("given")[f.name], f.dataType), F.lit(C.DEFAULT_OPTIONS.get(f.name)).cast(f.dataType)).alias(f.name) for f in C.OPTIONS_SCHEMA.fields])
+    parsed = opened.filter("p IS NULL OR size(p) > 0").select(
+        *[_typed(F.col("p")[f.name], f.dataType).alias(f.name) for f in schema.fields],
+        F.map_filter("p", lambda k, _: ~k.isin(names)).alias("extra"), options.alias("options"), reason.alias("reason"),
+        F.when(reason.isNotNull(), F.col("record")).alias("record"))
+    return parsed
+
+
+def read_batches(spark: SparkSession, path: str, lines: bool = True, schema: T.StructType = C.PLAN_SCHEMA) -> list[Batch]:
+    """A1: one batch per set of options. ``lines`` reads one JSON value per line, which splits large files over tasks; without it
+    every file is one value.
+
+    The source is read once; the parsed plans are a written table that everything later reads.
     """
-    raw = spark.read.schema(plan_reader_schema(schema)).option("multiLine", not lines).json(path)
-    if raw.isEmpty():
-        raise ValueError("No data to process")
-    present = [F.col(f.name).isNotNull() for f in schema.fields]
-    any_field = present[0]
-    for p in present[1:]:
-        any_field = any_field | p
-    wrong = raw.select("_corrupt_record", "data", any_field.alias("plan")).filter(
-        F.col("_corrupt_record").isNotNull() | (F.col("data").isNull() & ~F.col("plan")))
-    if not wrong.isEmpty():
-        raise ValueError("Expected a list of plan data")
-    one = F.struct(*[F.col(f.name) for f in schema.fields])
-    rows = raw.select(F.explode(F.when(F.col("data").isNotNull(), F.col("data")).otherwise(F.array(one))).alias("p")).select("p.*")
-    if rows.isEmpty():
-        raise ValueError("No data to process")
-    given = raw.filter("options IS NOT NULL").select("options").limit(1).collect()
-    chosen = given[0]["options"].asDict() if given else {}
-    return Batch(rows, {**C.DEFAULT_OPTIONS, **{k: v for k, v in chosen.items() if v is not None}})
+    raw = spark.read.text(path, wholetext=not lines)
+    parsed = materialize(parse_records(raw, schema), "plan-batch")
+    rejects = parsed.filter("reason IS NOT NULL").select("record", "reason")
+    rows = parsed.filter("reason IS NULL").drop("record", "reason")
+    sets = rows.select("options").distinct().collect()  # one batch each
+    if not sets:
+        raise ValueError("No data to process" if rejects.isEmpty() else "Expected a list of plan data")
+    batches = []
+    for r in sorted(sets, key=str):
+        match = F.lit(True)
+        for k, v in r["options"].asDict().items():
+            match = match & F.col(f"options.{k}").eqNullSafe(F.lit(v))
+        batches.append(Batch(rows.filter(match).drop("options"), r["options"].asDict(), rejects))
+    return batches
+
+
+def read_batch(spark: SparkSession, path: str, lines: bool = True, schema: T.StructType = C.PLAN_SCHEMA) -> Batch:
+    """A1 where all plans have the same options."""
+    batches = read_batches(spark, path, lines, schema)
+    if len(batches) > 1:
+        raise ValueError(f"{len(batches)} different sets of options; read_batches keeps them apart")
+    return batches[0]
 
 
 def expand_variants(items: DataFrame, base_id: str = "base", keys: list[str] | None = None) -> DataFrame:

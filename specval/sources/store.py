@@ -73,9 +73,12 @@ def run_metadata(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def store_info(spark: SparkSession, root: str) -> dict:
-    """Metadata of the newest run, or ``has_data`` False."""
+    """Metadata of the newest run, or ``has_data`` False.
+
+    Run ids sort by age (time stamps, or batch numbers of a stream), so a batch that is written again stays in its place.
+    """
     table = run_metadata(spark, root)
-    newest = table.orderBy(F.col("timestamp").desc()).limit(1).collect() if table is not None else []
+    newest = table.orderBy(F.col("run_id").desc()).limit(1).collect() if table is not None else []
     return newest[0].asDict() if newest else {"has_data": False}
 
 

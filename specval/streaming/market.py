@@ -1,4 +1,4 @@
-"""A stream of market snapshots: each new file replaces the ranking."""
+"""A stream of market snapshots: each new one replaces the ranking."""
 
 from __future__ import annotations
 
@@ -8,8 +8,11 @@ from pyspark.sql import types as T
 from specval import config as C
 from specval.operators.features import prepare_features
 from specval.plans.cost_spec import cs_ratio, rank_rows
+from specval.session import clear_scratch, scratch_scope
 from specval.sources.store import save_rankings
 
+ANNOUNCEMENT = "snapshot_id string, path string"
+
 
 def rank_snapshot(rows: DataFrame, root: str, run_id: str, method: str = "fixed_rates", fee: str = "fee", key: str = "id") -> str:
     """Features, score, ranking and the stored tables of one snapshot."""
@@ -18,19 +21,31 @@ def rank_snapshot(rows: DataFrame, root: str, run_id: str, method: str = "fixed_
     return save_rankings(ranked, scored.cost_structure, root, scored.method, run_id=run_id)
 
 
+def announce(spark: SparkSession, folder: str, snapshot_id: str, path: str) -> None:
+    """Tells the stream that the files under ``path`` are complete: one small file in ``folder``."""
+    spark.createDataFrame([(snapshot_id, path)], ANNOUNCEMENT).coalesce(1).write.mode("append").json(folder)
+
+
 def rank_stream(spark: SparkSession, folder: str, root: str, checkpoint: str, method: str = "fixed_rates", fee: str = "fee",
-                schema: T.StructType = C.PLAN_SCHEMA, files_per_snapshot: int = 1, key: str = "id"):
-    """M1: one micro-batch per snapshot file (a ratio needs the whole market, so batches are not added up).
+                schema: T.StructType = C.PLAN_SCHEMA, key: str = "id"):
+    """M1: one micro-batch per announced snapshot, which may have any number of files (a ratio needs the whole market, so
+    snapshots are not added up).
 
-    A repeated batch writes the same run id again and replaces its tables.
+    Runs are numbered by batch, so a repeated batch replaces its own tables and doesn't become the newest. Its intermediate
+    tables are dropped once the run is stored.
     """
-    source = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_snapshot)
-        .option("multiLine", False).json(folder))
+    source = spark.readStream.schema(ANNOUNCEMENT).option("maxFilesPerTrigger", 1).json(folder)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            rank_snapshot(batch, root, f"batch-{batch_id:08d}", method, fee, key)
+        session = batch.sparkSession
+        for r in batch.collect():  # the announcements of one file
+            scope = f"market-{batch_id}"
+            scratch_scope(session, scope)
+            try:
+                rank_snapshot(session.read.schema(schema).json(r["path"]), root, f"batch-{batch_id:08d}-{r['snapshot_id']}", method, fee, key)
+            finally:
+                scratch_scope(session, "main")
+                clear_scratch(session, scope)
 
     return (
         source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

@@ -194,6 +194,8 @@ FLAGS_TABLE = f"flags AS (SELECT * FROM (VALUES {FLAG_ROWS}) AS t(feature, flag)
 ORACLES: dict[str, str] = {}
 
 # --- A -------------------------------------------------------------------------------------------------
+ORACLES["A1_tolerant_source"] = f"""WITH {PLANS} SELECT id, CAST(voice AS BIGINT) AS voice, id % 2 = 0 AS is_esim, 'c' || (id % 5) AS colour,
+  CASE WHEN (id // 100) % 2 = 0 THEN 'frontier' ELSE 'fixed_rates' END AS method FROM plans"""
 ORACLES["A1_batch_source"] = f"WITH {PLANS} SELECT {PLAN_VIEW}, 'frontier' AS method FROM plans"
 SCENARIOS = """
 part_base AS (SELECT * FROM part WHERE p_partkey = (SELECT MIN(p_partkey) FROM part)),

@@ -22,7 +22,7 @@ from specval.plans.cost_spec import (
 from specval.plans.marginal import marginal_frontier, whole_table_marginal_frontier
 from specval.session import materialize
 from specval.sources import plans as sources, store
-from specval.streaming.market import rank_stream
+from specval.streaming.market import announce, rank_stream
 from specval.suite.inputs import GIVEN_INTERCEPT, GIVEN_RATES, GivenFit, features, folder_for, items, once, plans, rounded, scored
 
 CORE = list(C.CORE_CONTINUOUS)
@@ -98,6 +98,24 @@ def a1(spark, d):
     return batch.rows.select(*PLAN_VIEW, F.lit(batch.options["method"]).alias("method"))
 
 
+def a1_tolerant(spark, d):
+    """Numbers as text, fractions, 0/1 flags and unknown fields, in envelopes with different options."""
+    folder = folder_for(spark, "mixed-envelopes")
+    one = F.concat(
+        F.lit('{"id": '), F.col("id").cast("string"), F.lit(', "voice": '),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit('"'), F.col("voice").cast("string"), F.lit('"'))).when(F.col("id") % 3 == 1, F.concat(F.col("voice").cast("string"), F.lit(".5")))
+        .otherwise(F.col("voice").cast("string")), F.lit(', "is_esim": '), F.when(F.col("id") % 2 == 0, F.lit("1")).otherwise(F.lit("false")),
+        F.lit(', "colour": "c'), (F.col("id") % 5).cast("string"), F.lit('"}'))
+    batches = plans(spark, d).withColumn("batch", F.floor(F.col("id") / 100)).groupBy("batch").agg(F.array_join(F.collect_list(one), ", ").alias("list"))
+    method = F.when(F.col("batch") % 2 == 0, "frontier").otherwise("fixed_rates")
+    batches.select(F.concat(F.lit('{"options": {"method": "'), method, F.lit('"}, "data": ['), F.col("list"), F.lit("]}")).alias("value")).write.text(folder)
+    out = None
+    for batch in sources.read_batches(spark, folder):
+        rows = batch.rows.select("id", "voice", "is_esim", F.col("extra")["colour"].alias("colour"), F.lit(batch.options["method"]).alias("method"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _scenarios(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
     first = part.agg(F.min("p_partkey")).scalar()
@@ -678,7 +696,9 @@ def l6(spark, d):
 
 def m1(spark, d):
     source, root = folder_for(spark, "snapshots"), folder_for(spark, "market")
-    plans(spark, d).coalesce(1).write.json(source)  # a snapshot is one file of the stand-in market
+    market = folder_for(spark, "market-files")
+    plans(spark, d).repartition(3).write.json(market)  # the stand-in market as a snapshot of several files
+    announce(spark, source, "stand-in", market)
     query = rank_stream(spark, source, root, folder_for(spark, "stream"), "frontier")
     query.awaitTermination()
     if query.exception() is not None:
@@ -687,7 +707,7 @@ def m1(spark, d):
 
 
 QUERIES = {
-    "A1_batch_source": a1, "A2_variant_expansion": a2, "A3_type_normalisation": a3, "A4_csv_source": a4, "A5_format_dispatch": a5,
+    "A1_batch_source": a1, "A1_tolerant_source": a1_tolerant, "A2_variant_expansion": a2, "A3_type_normalisation": a3, "A4_csv_source": a4, "A5_format_dispatch": a5,
     "A6_fill_missing": a6, "A7_raw_snapshot": a7, "A8_processed_snapshot": a8, "A9_ranking_store": a9, "A10_stored_cost_structure": a10,
     "A11_run_metadata": a11, "A12_response": a12,
     **{name: _b(columns) for name, columns in B_COLUMNS.items()},

@@ -10,7 +10,7 @@ from specval.operators.features import prepare_features
 from specval.plans import explain
 from specval.plans.process import process
 from specval.sources import plans as sources, store
-from specval.streaming.market import rank_stream
+from specval.streaming.market import announce, rank_stream
 
 
 def write(path, value):
@@ -23,7 +23,7 @@ PLANS = [{"id": i, "plan_name": f"p{i}", "network": "5G" if i % 2 else "LTE", "m
 
 
 def test_batch_array_and_envelope(spark, tmp_path):
-    batch = sources.read_batch(spark, write(tmp_path / "a.json", PLANS))
+    batch = sources.read_batch(spark, write(tmp_path / "a.json", PLANS), lines=False)
     assert batch.rows.count() == 39 and batch.options == C.DEFAULT_OPTIONS
     envelope = sources.read_batch(spark, write(tmp_path / "b.json", {"options": {"method": "frontier", "includeComparison": True}, "data": PLANS[:5]}))
     assert envelope.rows.count() == 5 and envelope.options["method"] == "frontier" and envelope.options["feeColumn"] == "fee"
@@ -31,6 +31,22 @@ def test_batch_array_and_envelope(spark, tmp_path):
     assert [r["basic_data"] for r in mixed.orderBy("id").collect()] == ["5", "999"]
 
 
+def test_tolerant_batches(spark, tmp_path):
+    path = tmp_path / "m.json"
+    lines = [{"options": {"method": "frontier"}, "data": [{"id": 1, "voice": "200", "is_esim": 1, "color": "red"}, {"id": "2", "voice": 100.5, "is_esim": "false"}]},
+             {"options": {"method": "fixed_rates"}, "data": [{"id": 3, "voice": None, "is_esim": 0, "deep": {"a": [1]}}]}, {"id": 4, "voice": "n/a"}, {"foo": 1}, {"data": []}]
+    path.write_text("\n".join([*map(json.dumps, lines), "not json", ""]))
+    found = {b.options["method"]: b for b in sources.read_batches(spark, str(path))}
+    assert C.DEFAULT_OPTIONS["method"] == "fixed_rates"
+    assert {m: sorted(r["id"] for r in b.rows.collect()) for m, b in found.items()} == {"frontier": [1, 2], "fixed_rates": [3, 4]}
+    rows = {r["id"]: r for b in sources.read_batches(spark, str(path)) for r in b.rows.collect()}
+    assert [rows[i]["voice"] for i in (1, 2, 3, 4)] == [200, 100, None, None] and [rows[i]["is_esim"] for i in (1, 2, 3, 4)] == [True, False, False, None]
+    assert rows[1]["extra"] == {"color": "red"} and rows[3]["extra"] == {"deep": '{"a":[1]}'}
+    assert sorted(r["reason"] for r in found["frontier"].rejects.collect()) == ["no plans in it", "not a plan"]
+    with pytest.raises(ValueError):
+        sources.read_batch(spark, str(path))
+
+
 @pytest.mark.parametrize("content", ["[]", '{"foo": 1}', "not json", '{"options": {}, "data": []}'])
 def test_batch_rejects(spark, tmp_path, content):
     path = tmp_path / "bad.json"
@@ -80,8 +96,12 @@ def test_process_and_stream(spark, tmp_path):
     assert result.ranked.count() == 39 and result.top.count() == 10 and store.has_rankings(spark, str(tmp_path / "out"))
     source, root = tmp_path / "snapshots", str(tmp_path / "market")
     source.mkdir()
-    for name, rows in (("1.json", PLANS[:20]), ("2.json", PLANS)):
-        (source / name).write_text("\n".join(json.dumps(p) for p in rows))
+    for name, rows in (("1", PLANS[:20]), ("2", PLANS)):
+        files = tmp_path / f"files-{name}"
+        files.mkdir()
+        for k in range(3):
+            (files / f"{k}.json").write_text("\n".join(json.dumps(p) for p in rows[k::3]))
+        announce(spark, str(source), name, str(files))
         query = rank_stream(spark, str(source), root, str(tmp_path / "checkpoint"), "frontier")
         query.awaitTermination()
         assert query.exception() is None and store.load_rankings(spark, root).rankings.count() == len(rows)
