@@ -469,6 +469,37 @@ h AS (SELECT SUM(l_quantity * l_quantity) AS h11, SUM(l_quantity * l_discount) A
   FROM items, moments WHERE ABS((original_fee - m) / sd) <= 3 AND fee > 0),
 {two_bounded('0.0::DOUBLE', '0.0::DOUBLE')}
 SELECT '1' AS feature, 0.0::DOUBLE AS coefficient UNION ALL SELECT 'l_quantity', {r('b1', 'coefficient')} FROM best_way UNION ALL SELECT 'l_discount', {r('b2', 'coefficient')} FROM best_way"""
+EFFICIENT_TWO = f"""{ITEMS},
+vectors AS (SELECT l_quantity, l_discount, MIN(original_fee) AS original_fee FROM items GROUP BY ALL),
+best AS (SELECT * FROM vectors v WHERE NOT EXISTS (SELECT 1 FROM vectors o WHERE o.l_quantity >= v.l_quantity AND o.l_discount >= v.l_discount
+  AND o.original_fee <= v.original_fee AND (o.l_quantity > v.l_quantity OR o.l_discount > v.l_discount OR o.original_fee < v.original_fee))),
+efficient AS (SELECT i.* FROM items i SEMI JOIN best USING (l_quantity, l_discount, original_fee))"""
+RIDGE_TWO = f"""{EFFICIENT_TWO}, {SUMS.format(source='efficient')}, h AS (SELECT s11 + 1 AS h11, s12 AS h12, s22 + 1 AS h22, s1y AS g1, s2y AS g2 FROM s),
+{two_bounded('0.1::DOUBLE', '0.1::DOUBLE')},
+free AS (SELECT (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS u1, (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS u2 FROM h),
+line AS (SELECT my - m1 * b1 - m2 * b2 AS b0, * FROM s, best_way, free)"""
+
+
+def _fit_row(feature: str, b: str, u: str, low: str, base: str, used: str, rows: str, method: str, source: str) -> str:
+    return f"""SELECT '{feature}' AS feature, {r(b, 'coefficient')}, {low}::DOUBLE AS lower, true AS within_bounds, {r(u, 'unconstrained')},
+  {r(f'{b} - {u}', 'adjustment')}, {r(base, 'base_cost')}, {used} AS rows_used, {rows} AS rows_total, '{method}' AS method FROM {source}"""
+
+
+ORACLES["H6_fixed_rates_items"] = f"""WITH {RIDGE_TWO}
+SELECT {ITEM_KEY}, {r('fee')}, {r('b0 + b1 * l_quantity + b2 * l_discount', 'B')}, {r('(b0 + b1 * l_quantity + b2 * l_discount) / fee', 'CS')} FROM items, line"""
+ORACLES["I7_price_fit_items"] = f"""WITH {RIDGE_TWO} """ + " UNION ALL ".join(
+    _fit_row(f, b, u, "0.1", "b0", "n", "(SELECT COUNT(*) FROM items)", "efficient_bounded", "line") for f, b, u in (("l_quantity", "b1", "u1"), ("l_discount", "b2", "u2")))
+ORACLES["I8_coefficient_table_items"] = f"""WITH {ITEMS}, moments AS (SELECT AVG(original_fee) AS m, STDDEV_SAMP(original_fee) AS sd FROM items),
+h AS (SELECT COUNT(*) AS n, SUM(l_quantity * l_quantity) AS h11, SUM(l_quantity * l_discount) AS h12, SUM(l_discount * l_discount) AS h22, SUM(l_quantity * fee) AS g1,
+  SUM(l_discount * fee) AS g2 FROM items, moments WHERE ABS((original_fee - m) / sd) <= 3 AND fee > 0),
+{two_bounded('0.0::DOUBLE', '0.0::DOUBLE')},
+line AS (SELECT *, (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS u1, (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS u2 FROM h, best_way)
+""" + " UNION ALL ".join(_fit_row(f, b, u, "0.0", "0.0::DOUBLE", "n", "n", "whole_table_bounded", "line") for f, b, u in (("l_quantity", "b1", "u1"), ("l_discount", "b2", "u2")))
+_loss = "syy - 2 * ({b1} * s1y + {b2} * s2y) + {b1} * {b1} * s11 + 2 * {b1} * {b2} * s12 + {b2} * {b2} * s22 + {b1} * {b1} + {b2} * {b2} + n * POWER({b0} - (my - m1 * {b1} - m2 * {b2}), 2)"
+ORACLES["L1_objective_items"] = f"""WITH {RIDGE_TWO}, fits AS (
+  SELECT *, b0 AS c0, b1 AS c1, b2 AS c2, 'bounded' AS solver FROM line UNION ALL SELECT *, b0, b1, b2, 'from_upper' FROM line
+  UNION ALL SELECT *, my - m1 * u1 - m2 * u2, GREATEST(u1, 0.1::DOUBLE), GREATEST(u2, 0.1::DOUBLE), 'projected' FROM line)
+SELECT solver, {r('c0', 'intercept', 2)}, {r('c1', 'l_quantity', 2)}, {r('c2', 'l_discount', 2)}, {r(_loss.format(b0='c0', b1='c1', b2='c2'), 'objective', 2)} FROM fits"""
 ORACLES["I9_simple_redistribution"] = f"""WITH {FEATURES}, c AS ({_corr}), given AS (SELECT * FROM (VALUES {', '.join(f"('{f}', {v}::DOUBLE)" for f, v in GIVEN_RATES.items())}) AS t(feature, value)),
 pairs AS (SELECT f1, f2, ABS(corr) AS corr FROM c WHERE NOT isnan(corr) AND ABS(corr) > 0.8), both_ways AS (SELECT * FROM pairs UNION ALL SELECT f2, f1, corr FROM pairs)
 SELECT f1 AS feature, f2 AS paired_with, {r('corr', 'correlation', 6)}, {r('a.value', 'original_value', 6)}, {r('b.value', 'partner_original_value', 6)}, {r('a.value + b.value', 'total_value', 6)},

@@ -486,6 +486,31 @@ def i4_items(spark, d):
     return _line(spark, fit.intercept, fit.beta, TWO)
 
 
+def h6_items(spark, d):
+    """The default method from the rows to the score: efficient rows, bounded ridge, B and CS."""
+    return rounded(cs_ratio(items(spark, d), "fixed_rates", features=TWO).rows.select(*ITEM_KEY, "fee", "B", "CS"))
+
+
+FIT_COLUMNS = ["feature", "coefficient", "lower", "within_bounds", "unconstrained", "adjustment", "base_cost", "rows_used", "rows_total", "method"]
+
+
+def i7_items(spark, d):
+    return rounded(R.fit_prices(items(spark, d), TWO).table(spark).select(*FIT_COLUMNS))
+
+
+def i8_items(spark, d):
+    return rounded(R.fit_whole_table(items(spark, d), TWO).table(spark).select(*FIT_COLUMNS))
+
+
+def l1_items(spark, d):
+    """The objective that all solvers of the efficient-row fit should reach, and that of the clipped solution."""
+    g = gram(efficient_rows(items(spark, d), TWO, PRICE), TWO, PRICE)
+    bounds = [C.efficiency_bounds(f) for f in TWO]
+    rows = [(name, *(lambda b0, b: (float(b0), *map(float, b), solve.objective(g, b, b0, 1.0)))(*fit)) for name, fit in (
+        ("bounded", solve.bounded(g, bounds, 1.0, True)), ("from_upper", solve.bounded(g, bounds, 1.0, True, start=[1e6, 1e6])), ("projected", solve.projected(g, bounds, 1.0)))]
+    return rounded(spark.createDataFrame(rows, "solver string, intercept double, l_quantity double, l_discount double, objective double"), 2)
+
+
 def i10_items(spark, d):
     g = gram(items(spark, d), TWO, PRICE)
     out = commonality.redistribute(_two_fits(spark, d), TWO, [300.0, 40.0], g.correlation(), partner="first")
@@ -746,6 +771,7 @@ QUERIES = {
     "K4_matrix_ranges": k4_ranges,
     "L1_optimiser_consistency": l1, "L2_economic_checks": l2, "L3_cross_validation": l3, "L4_residual_checks": l4, "L4_residual_quartiles": l4_quartiles,
     "L5_score": l5, "L6_full_report": l6,
+    "H6_fixed_rates_items": h6_items, "I7_price_fit_items": i7_items, "I8_coefficient_table_items": i8_items, "L1_objective_items": l1_items,
     "I1_bounded_ridge_items": i1_items, "I4_whole_table_items": i4_items, "I10_redistribution_items": i10_items, "I11_subset_r2_items": i11_items,
     "J4_two_segments": j4_two, "J8_given_rates": j8_given, "L3_one_feature": l3_one,
     "I14_collinearity_report": i14_pairs, "M1_snapshot_stream": m1,
