@@ -5,7 +5,7 @@ from __future__ import annotations
 from specval import config as C
 from specval.fixtures import ITEM_FEATURES, ITEM_FLAGS, PLANS_SQL, PRICED_ITEMS_SQL
 from specval.suite.inputs import GIVEN_INTERCEPT, GIVEN_RATES
-from specval.suite.queries import B_COLUMNS, BREAKS, CORE, FIVE
+from specval.suite.queries import B_COLUMNS, BREAKS, CORE, FIVE, TWO_PLAN
 
 CONTINUOUS = C.continuous(C.BASIC_FEATURES, C.UNLIMITED_FLAGS)
 PLAN_VIEW = "id, plan_name, network, basic_data, CAST(daily_data AS VARCHAR) AS daily_data, voice, agreement, fee, original_fee"
@@ -485,6 +485,21 @@ def _fit_row(feature: str, b: str, u: str, low: str, base: str, used: str, rows:
   {r(f'{b} - {u}', 'adjustment')}, {r(base, 'base_cost')}, {used} AS rows_used, {rows} AS rows_total, '{method}' AS method FROM {source}"""
 
 
+_on_two = " OR ".join(
+    f"(EXISTS (SELECT 1 FROM front WHERE front.feature = '{f}' AND front.value = p.{f} AND front.cost = p.original_fee)"
+    + (f" AND {C.UNLIMITED_FLAGS[f]} = 0" if f in C.UNLIMITED_FLAGS else "") + ")" for f in TWO_PLAN)
+FRONTIER_TWO = f"""{FEATURES},{frontier('features', 'id', TWO_PLAN, C.UNLIMITED_FLAGS)},
+chosen AS (SELECT ARG_MIN(id, (cost, id)) AS id FROM lng WHERE unlimited AND cost IS NOT NULL GROUP BY feature),
+valued AS (SELECT *, COALESCE(CASE WHEN voice_unlimited = 1 THEN 2 * (SELECT MAX(voice_clean) FROM features) ELSE voice_clean END, 0) AS x1, COALESCE(tethering_gb, 0) AS x2 FROM features),
+frows AS (SELECT p.* FROM valued p WHERE {_on_two} OR p.id IN (SELECT id FROM chosen)),
+h AS (SELECT COUNT(*) AS n, SUM(x1 * x1) AS h11, SUM(x1 * x2) AS h12, SUM(x2 * x2) AS h22, SUM(x1 * original_fee) AS g1, SUM(x2 * original_fee) AS g2,
+  ABS(CORR(x1, x2)) > 0.8 AS alike FROM frows WHERE original_fee IS NOT NULL),
+{two_bounded('0.1::DOUBLE', '0.1::DOUBLE')},
+rates AS (SELECT n, CASE WHEN alike THEN (b1 + b2) / 2 ELSE b1 END AS c1, CASE WHEN alike THEN (b1 + b2) / 2 ELSE b2 END AS c2 FROM h, best_way)"""
+ORACLES["I6_frontier_row_fit_items"] = f"""WITH {FRONTIER_TWO} SELECT 'voice_clean' AS feature, {r('c1', 'coefficient')}, n AS rows_used FROM rates
+UNION ALL SELECT 'tethering_gb', {r('c2', 'coefficient')}, n FROM rates"""
+ORACLES["H6_multi_frontier_items"] = f"""WITH {FRONTIER_TWO}, based AS (SELECT id, fee, c1 * x1 + c2 * x2 AS B FROM valued, rates)
+SELECT id, {r('B')}, {r("CASE WHEN fee <> 0 THEN B / fee WHEN B > 0 THEN CAST('Infinity' AS DOUBLE) WHEN B < 0 THEN CAST('-Infinity' AS DOUBLE) END", 'CS')} FROM based"""
 ORACLES["H6_fixed_rates_items"] = f"""WITH {RIDGE_TWO}
 SELECT {ITEM_KEY}, {r('fee')}, {r('b0 + b1 * l_quantity + b2 * l_discount', 'B')}, {r('(b0 + b1 * l_quantity + b2 * l_discount) / fee', 'CS')} FROM items, line"""
 ORACLES["I7_price_fit_items"] = f"""WITH {RIDGE_TWO} """ + " UNION ALL ".join(

@@ -502,6 +502,17 @@ def i8_items(spark, d):
     return rounded(R.fit_whole_table(items(spark, d), TWO).table(spark).select(*FIT_COLUMNS))
 
 
+TWO_PLAN = ["voice_clean", "tethering_gb"]  # one with an unlimited flag
+
+
+def i6_items(spark, d):
+    return rounded(R.fit_frontier_rows(features(spark, d), TWO_PLAN).table(spark).select("feature", "coefficient", "rows_used"))
+
+
+def h6_multi_items(spark, d):
+    return rounded(cs_ratio(features(spark, d), "multi_frontier", features=TWO_PLAN).rows.select("id", "B", "CS"))
+
+
 def l1_items(spark, d):
     """The objective that all solvers of the efficient-row fit should reach, and that of the clipped solution."""
     g = gram(efficient_rows(items(spark, d), TWO, PRICE), TWO, PRICE)
@@ -771,7 +782,7 @@ QUERIES = {
     "K4_matrix_ranges": k4_ranges,
     "L1_optimiser_consistency": l1, "L2_economic_checks": l2, "L3_cross_validation": l3, "L4_residual_checks": l4, "L4_residual_quartiles": l4_quartiles,
     "L5_score": l5, "L6_full_report": l6,
-    "H6_fixed_rates_items": h6_items, "I7_price_fit_items": i7_items, "I8_coefficient_table_items": i8_items, "L1_objective_items": l1_items,
+    "H6_fixed_rates_items": h6_items, "H6_multi_frontier_items": h6_multi_items, "I6_frontier_row_fit_items": i6_items, "I7_price_fit_items": i7_items, "I8_coefficient_table_items": i8_items, "L1_objective_items": l1_items,
     "I1_bounded_ridge_items": i1_items, "I4_whole_table_items": i4_items, "I10_redistribution_items": i10_items, "I11_subset_r2_items": i11_items,
     "J4_two_segments": j4_two, "J8_given_rates": j8_given, "L3_one_feature": l3_one,
     "I14_collinearity_report": i14_pairs, "M1_snapshot_stream": m1,
