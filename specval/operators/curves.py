@@ -118,7 +118,9 @@ def _price_by_join(df, points, columns, mode, prefix, rows_per_bucket) -> DataFr
                          .when(F.col("lower").isNull(), below).when(F.col("upper").isNull(), above)
                          .otherwise(line("lower", "upper")).alias("cost"))
     priced = materialize(priced, "curve-prices")
-    for f in names:
-        one = priced.filter(F.col("feature") == f).select(F.col("value").alias(f"__x_{f}"), F.col("cost").alias(f"{prefix}{f}"))
-        df = join_measured(df, one, [f"__x_{f}"], "left")
-    return df.drop(*[f"__x_{f}" for f in names])
+    # one long join for all features, then one row per row again: the wide rows are shuffled once, not once per feature
+    df = materialize(df.withColumn("__rid", F.monotonically_increasing_id()), "curve-rows")
+    long = unpivot(df.select("__rid", *[F.col(f"__x_{f}").cast("double").alias(f) for f in names]), ["__rid"], names).filter("value IS NOT NULL")
+    costs = join_measured(long, priced, ["feature", "value"], "inner")
+    back = costs.groupBy("__rid").agg(*[F.max(F.when(F.col("feature") == f, F.col("cost"))).alias(f"{prefix}{f}") for f in names])
+    return df.join(back, "__rid", "left").drop("__rid", *[f"__x_{f}" for f in names])

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specval.config import UNLIMITED_FLAGS, continuous
-from specval.functions.numeric import known
+from specval.functions.numeric import known, unpivot
 from specval.operators.curves import CURVE_POINTS, curve_table, is_point, locate
 from specval.operators.frontier import LIMITED, feature_frontiers, limited_value
 from specval.operators.joins import join_measured
+from specval.session import materialize
 
 
 def on_frontier(df: DataFrame, points: DataFrame, features, flags, cost: str = "original_fee", limit: int = CURVE_POINTS) -> DataFrame:
@@ -21,12 +22,13 @@ def on_frontier(df: DataFrame, points: DataFrame, features, flags, cost: str = "
     price = known(df, cost)
     curves = curve_table(points, limit)
     if curves is None:
-        out = df.withColumn("__y", price)
-        for f in names:
-            marks = points.filter(F.col("feature") == f).select(
-                F.col("value").alias("__x"), F.col("cost").alias("__y"), F.lit(True).alias(f"on_{f}")).distinct()
-            out = join_measured(out.withColumn("__x", columns[f]), marks, ["__x", "__y"], "left").drop("__x")
-        return out.drop("__y").withColumns({f"on_{f}": F.coalesce(f"on_{f}", F.lit(False)) for f in names})
+        rows = materialize(df.withColumn("__rid", F.monotonically_increasing_id()), "frontier-rows")
+        values = {f: limited_value(rows, f, flags).alias(f) for f in names}
+        long = unpivot(rows.select("__rid", known(rows, cost).alias("__y"), *values.values()), ["__rid", "__y"], names).filter("value IS NOT NULL")
+        marks = points.filter(F.col("feature").isin(names)).select("feature", "value", F.col("cost").alias("__y")).distinct()
+        hits = join_measured(long, marks, ["feature", "value", "__y"], "left_semi")
+        back = hits.groupBy("__rid").agg(*[F.max(F.col("feature") == f).alias(f"on_{f}") for f in names])
+        return rows.join(back, "__rid", "left").drop("__rid").withColumns({f"on_{f}": F.coalesce(f"on_{f}", F.lit(False)) for f in names})
     located = locate(df, curves, columns)
     marks = {f"on_{f}": is_point(curves[f], f, price) if f in curves else F.lit(False) for f in names}
     return located.withColumns(marks).drop(*[f"__x_{f}" for f in names], *[f"__i_{f}" for f in names])

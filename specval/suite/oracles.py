@@ -206,6 +206,8 @@ variants AS (
     CAST(CASE WHEN p.p_partkey % 3 = 0 THEN p.p_size ELSE b.p_size END AS DOUBLE) AS size
   FROM part p CROSS JOIN part_base b)"""
 ORACLES["A2_variant_expansion"] = f"WITH {SCENARIOS} SELECT * FROM variants"
+ORACLES["A2_variant_maps"] = f"""WITH {SCENARIOS} """ + " UNION ALL ".join(
+    f"SELECT id, name, '{k}' AS feature, CAST({k} AS DOUBLE) AS value FROM variants WHERE {k} IS NOT NULL" for k in ("extra", "fee", "price", "size"))
 ORACLES["C6_base_variants"] = ORACLES["A2_variant_expansion"]
 ORACLES["A3_type_normalisation"] = """
 SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS is_5g, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS has_usim,
@@ -365,6 +367,8 @@ LEFT JOIN cands c ON c.feature = l.feature AND c.value = l.value AND c.cost = l.
 ORACLES["F3_dummy_columns"] = f"""WITH {PLANS} SELECT id, CASE WHEN mno = 'M1' THEN 1 ELSE 0 END AS mno_M1, CASE WHEN mno = 'M2' THEN 1 ELSE 0 END AS mno_M2,
   CASE WHEN network = 'LTE' THEN 1 ELSE 0 END AS network_LTE FROM plans"""
 ORACLES["J10_dummy_encoding"] = ORACLES["F3_dummy_columns"]
+ORACLES["J10_dummy_entries"] = f"WITH {PLANS} " + " UNION ALL ".join(
+    f"SELECT id, '{c}' AS \"column\", {c} AS level FROM plans WHERE {c} > (SELECT MIN({c}) FROM plans)" for c in ("mno", "network", "mvno"))
 
 
 def commas(expr: str) -> str:

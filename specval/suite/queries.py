@@ -133,6 +133,12 @@ def a2(spark, d):
     return sources.expand_variants(_scenarios(spark, d))
 
 
+def a2_maps(spark, d):
+    """Map form, for any number of features."""
+    maps = sources.variant_maps(_scenarios(spark, d))
+    return maps.select("id", "name", F.explode("features").alias("feature", "value"))
+
+
 def a3(spark, d):
     raw = spark.read.parquet(f"{d}/part.parquet").selectExpr(
         "p_partkey AS id", "CASE p_partkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'False' END AS is_5g", "CASE WHEN p_partkey % 2 = 0 THEN true END AS has_usim",
@@ -638,6 +644,11 @@ def j9(spark, d):
     return rounded(out.select("id", *[f"segment_cost_{c}" for c in CORE], "intercept_cost", "total_cost"))
 
 
+def j10_entries(spark, d):
+    """Long form, for any number of levels."""
+    return encode.dummy_entries(plans(spark, d).select("id", "mno", "network", "mvno"), ["mno", "network", "mvno"], "id")
+
+
 def j10(spark, d):
     out = encode.dummy_columns(plans(spark, d).select("id", "mno", "network"), ["mno", "network"])
     return out.select("id", "mno_M1", "mno_M2", "network_LTE")
@@ -743,7 +754,7 @@ def m1(spark, d):
 
 
 QUERIES = {
-    "A1_batch_source": a1, "A1_tolerant_source": a1_tolerant, "A2_variant_expansion": a2, "A3_type_normalisation": a3, "A4_csv_source": a4, "A5_format_dispatch": a5,
+    "A1_batch_source": a1, "A1_tolerant_source": a1_tolerant, "A2_variant_expansion": a2, "A2_variant_maps": a2_maps, "A3_type_normalisation": a3, "A4_csv_source": a4, "A5_format_dispatch": a5,
     "A6_fill_missing": a6, "A7_raw_snapshot": a7, "A8_processed_snapshot": a8, "A9_ranking_store": a9, "A10_stored_cost_structure": a10,
     "A11_run_metadata": a11, "A12_response": a12,
     **{name: _b(columns) for name, columns in B_COLUMNS.items()},
@@ -774,7 +785,7 @@ QUERIES = {
     "I9_simple_redistribution": i9, "I10_commonality_redistribution": i10, "I11_subset_r2": i11, "I12_effects": i12, "I13_variance_decomposition": i13,
     "I14_commonality_report": i14, "I14_economic_clip": i14_clip,
     "J1_segment_lines": j1, "J2_robust_segments": j2, "J3_segment_features": j3, "J4_piecewise_prediction": j4, "J5_marginal_lookup": j5,
-    "J6_cumulative_cost": j6, "J7_marginal_frontier": j7, "J8_whole_table_frontier": j8, "J9_bundle_cost": j9, "J10_dummy_encoding": j10,
+    "J6_cumulative_cost": j6, "J7_marginal_frontier": j7, "J8_whole_table_frontier": j8, "J9_bundle_cost": j9, "J10_dummy_encoding": j10, "J10_dummy_entries": j10_entries,
     "J11_premium_encoding": j11, "J12_mixed_encoding": j12, "J13_segments": j13, "J14_categorical_costs": j14, "J15_encoding_dispatch": j15,
     "K1_frontier_points": lambda s, d: explain.frontier_points(features(s, d), CORE),
     "K2_residual_table": lambda s, d: rounded(explain.residual_table(features(s, d), CORE)),

@@ -87,6 +87,17 @@ def test_reading_a_curve_by_literal_and_by_join(spark, mode, want, limit):
     assert {r["cost_none"] for r in rows} == {None}
 
 
+@pytest.mark.parametrize("mode", [CLAMP, EXTEND])
+def test_both_ways_give_the_same_doubles(spark, mode):
+    draw = random.Random(8)
+    xs = sorted(draw.sample(range(1, 500), 40))
+    curve = spark.createDataFrame([(f, x / 7, draw.random() * 1000) for f in "fg" for x in xs], "feature string, value double, cost double")
+    df = spark.createDataFrame([(i, draw.random() * 90 - 8, draw.random() * 90 - 8) for i in range(2000)], "id bigint, f double, g double")
+    columns = {"f": F.col("f"), "g": F.col("g")}
+    a, b = ({r["id"]: (r["cost_f"], r["cost_g"]) for r in price_values(df, curve, columns, mode, limit=n).collect()} for n in (10_000, 1))
+    assert a == b
+
+
 def test_frontier_rows_by_literal_and_by_join(spark):
     draw = random.Random(4)
     rows = [(i, float(draw.randrange(40)), int(draw.random() < 0.1), float(draw.randrange(9)), float(draw.randrange(500))) for i in range(400)]
