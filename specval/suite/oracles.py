@@ -287,6 +287,8 @@ _on = {f: f"EXISTS (SELECT 1 FROM front WHERE front.feature = '{f}' AND front.va
        + (f" AND {ITEM_FLAGS[f]} = 0" if f in ITEM_FLAGS else "") for f in ITEM_FEATURES}
 ORACLES["C4_frontier_semi_join"] = f"""WITH {ITEM_FRONTIER}, marked AS (SELECT {ITEM_KEY}, original_fee, {', '.join(f'({e}) AS on_{f}' for f, e in _on.items())} FROM items i)
 SELECT * FROM marked WHERE {' OR '.join(f'on_{f}' for f in ITEM_FEATURES)}"""
+for _name in ("C2_interpolation", "C3_extrapolation", "C4_frontier_semi_join"):
+    ORACLES[f"{_name}_joined"] = ORACLES[_name]
 ORACLES["C5_method_columns"] = f"""WITH {SCORED}, multi AS (SELECT *, {MULTI} AS bm FROM scored)
 SELECT id, {r('bm', 'B')}, {r(ratio_of('bm'), 'CS')}, {r('B', 'B_frontier')}, {r('CS', 'CS_frontier')} FROM multi"""
 

@@ -9,7 +9,7 @@ from specval.fixtures import ITEM_FEATURES, ITEM_FLAGS
 from specval.functions import text
 from specval.functions.numeric import known
 from specval.operators import commonality, encode, features as B, piecewise as P, redistribute, solve, stats, validate
-from specval.operators.curves import CLAMP, EXTEND, price_values
+from specval.operators.curves import CLAMP, CURVE_POINTS, EXTEND, price_values
 from specval.operators.frontier import LIMITED, UNLIMITED, candidates, feature_frontiers, min_increments
 from specval.operators.frontier_rows import cheapest_unlimited, frontier_rows, frontier_summary, on_frontier
 from specval.operators.gram import correlations, gram, high_correlations, sufficient_statistics
@@ -260,19 +260,19 @@ def c1_blocks(spark, d):
     return efficient_rows(rows, list(FIVE), "price", 100).select(*ITEM_KEY, *FIVE, "price")
 
 
-def _interpolated(mode, shift):
+def _interpolated(mode, shift, limit=CURVE_POINTS):
     def run(spark, d):
         df = items(spark, d)
         curve = item_frontier(spark, d).filter(F.col("kind") == LIMITED)
-        out = price_values(df, curve, {f: known(df, f) * shift for f in ITEM_FEATURES}, mode)
+        out = price_values(df, curve, {f: known(df, f) * shift for f in ITEM_FEATURES}, mode, limit=limit)
         return rounded(out.select(*ITEM_KEY, *ITEM_FEATURES, *[f"cost_{f}" for f in ITEM_FEATURES]))
 
     return run
 
 
-def c4(spark, d):
+def c4(spark, d, limit=CURVE_POINTS):
     curve = item_frontier(spark, d).filter(F.col("kind") == LIMITED)
-    marked = on_frontier(items(spark, d), curve, ITEM_FEATURES, ITEM_FLAGS, PRICE)
+    marked = on_frontier(items(spark, d), curve, ITEM_FEATURES, ITEM_FLAGS, PRICE, limit)
     return marked.filter("on_l_quantity OR on_l_discount OR on_l_tax").select(*ITEM_KEY, PRICE, "on_l_quantity", "on_l_discount", "on_l_tax")
 
 
@@ -762,7 +762,8 @@ QUERIES = {
     "B12_boolean_flags": b12, "B18_median_imputation": b18, "B19_key_statistics": lambda s, d: rounded(B.key_statistics(features(s, d))),
     "B20_feature_selection": b20, "B21_upstream_columns": b21,
     "C1_efficient_rows": c1, "C1_efficient_rows_five_features": c1_blocks, "C1_efficiency_ratio": c1_ratio, "C2_interpolation": _interpolated(CLAMP, 1.07), "C3_extrapolation": _interpolated(EXTEND, 1.3),
-    "C4_frontier_semi_join": c4, "C5_method_columns": c5, "C6_base_variants": a2,
+    "C2_interpolation_joined": _interpolated(CLAMP, 1.07, 1), "C3_extrapolation_joined": _interpolated(EXTEND, 1.3, 1),
+    "C4_frontier_semi_join": c4, "C4_frontier_semi_join_joined": lambda s, d: c4(s, d, 1), "C5_method_columns": c5, "C6_base_variants": a2,
     "D1_frontier_candidates": d1, "D2_cheapest_unlimited": d2, "D3_cheapest_unlimited_named": d3, "D4_level_table": d4, "D5_min_increment": d5,
     "D6_ranking_statistics": lambda s, d: rounded(stats.ranking_statistics(scored(s, d))),
     "D7_ratio_summary": lambda s, d: rounded(stats.ratio_summary(scored(s, d))),
