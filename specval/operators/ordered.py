@@ -1,10 +1,10 @@
 """Order-dependent operators that do not put a whole ordering into one task.
 
 A plain ``Window.orderBy`` sorts its partition in one task. That is used here only up to ``ROWS_PER_BUCKET`` rows.
-Larger inputs are cut into value ranges. Range limits come from ``percentile_approx`` and are literals, so the bucket
-of a row depends only on the row and stays the same when a lost task is repeated. A value so frequent that it fills a
-range by itself is cut again by the next ordering column. Totals per bucket form a small table that carries counts,
-minima, ... from one bucket to the next.
+Larger inputs are cut into value ranges. Range limits come from a random sample of a few values per range and are literals, so the
+bucket of a row depends only on the row and stays the same when a lost task is repeated. A value so frequent that it fills a
+range by itself is cut again by the next ordering column, a text first by its next six bytes. Totals per bucket form a small table that
+carries counts, minima, ... from one bucket to the next.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from pyspark.sql import types as T
 from specval.session import materialize
 
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 20_000
+MAX_BUCKETS = 100_000  # 2 * 10**11 rows; one literal limit each
+SAMPLED = 3_000_000  # values that the driver sees at most, as long as that is 20 per range
+TEXT_BYTES = 6  # as many as a double holds exactly
 LARGEST = sys.float_info.max
 
 
@@ -34,12 +36,19 @@ class Key:
     name: str
     descending: bool = False
 
+    def lengths(self, df: DataFrame) -> int:
+        """How many codes the longest value needs."""
+        if not isinstance(df.schema[self.name].dataType, T.StringType):
+            return 1
+        longest = df.agg(F.max(F.octet_length(self.name))).first()[0] or 0
+        return max(1, math.ceil(longest / TEXT_BYTES))
+
     def sort(self) -> Column:
         col = F.col(self.name)
         return col.desc_nulls_last() if self.descending else col.asc_nulls_last()
 
-    def code(self, df: DataFrame) -> Column:
-        """An order-preserving double (equal codes only for values that sort next to each other)."""
+    def code(self, df: DataFrame, skip: int = 0) -> Column:
+        """An order-preserving double (equal codes only for values that sort next to each other); of a text the bytes after ``skip``."""
         kind = df.schema[self.name].dataType
         col = F.col(self.name)
         if isinstance(kind, (T.NumericType, T.BooleanType)):
@@ -48,7 +57,7 @@ class Key:
             return F.when(number == math.inf, LARGEST).when(number == -math.inf, -LARGEST).otherwise(number)
         if isinstance(kind, (T.DateType, T.TimestampType)):
             return F.unix_micros(col.cast("timestamp")).cast("double")
-        head = F.rpad(F.hex(F.substring(F.encode(col.cast("string"), "utf-8"), 1, 6)), 12, "0")
+        head = F.rpad(F.hex(F.substring(F.encode(col.cast("string"), "utf-8"), skip + 1, TEXT_BYTES)), 2 * TEXT_BYTES, "0")
         return F.conv(head, 16, 10).cast("double")
 
 
@@ -105,36 +114,43 @@ def layout(df: DataFrame, group, order, rows_per_bucket: int = ROWS_PER_BUCKET,
         return plan
     n = min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket))
     dense = F.lit(True)  # rows whose bucket is still a single value at the previous level
-    for level, k in enumerate(keys):
-        code, name = f"__code{level}", f"__b{level}"
-        plan.df = plan.df.withColumn(code, F.when(dense, k.code(df)))
-        splits, heavy, gaps = _splits(plan.df.filter(dense).select(code), code, n, rows)
-        cut = Bucketizer(splits=splits, inputCol=code, outputCol=name, handleInvalid="keep")
-        number = F.col(name).cast("int")
-        if k.descending:
-            number = -number
-        plan.df = cut.transform(plan.df).withColumn(name, F.coalesce(number, F.when(dense, F.lit(len(splits) + 2)).otherwise(0)))
-        plan.buckets.append(name)
+    level = 0
+    for k in keys:
+        part = 0
+        while True:
+            code, name = f"__code{level}", f"__b{level}"
+            plan.df = plan.df.withColumn(code, F.when(dense, k.code(df, part * TEXT_BYTES)))
+            splits, heavy, gaps = _splits(plan.df.filter(dense).select(code), code, n, rows)
+            cut = Bucketizer(splits=splits, inputCol=code, outputCol=name, handleInvalid="keep")
+            number = F.col(name).cast("int")
+            if k.descending:
+                number = -number
+            plan.df = cut.transform(plan.df).withColumn(name, F.coalesce(number, F.when(dense, F.lit(len(splits) + 2)).otherwise(0)))
+            plan.buckets.append(name)
+            dense = dense & (F.col(code).isin(heavy) | F.col(code).isNull() | F.isnan(code))
+            level, part = level + 1, part + 1
+            if not heavy or part >= k.lengths(df):
+                break
         if not heavy and not gaps:
             break
-        dense = dense & (F.col(code).isin(heavy) | F.col(code).isNull() | F.isnan(code))
-    plan.df = plan.df.drop(*[f"__code{i}" for i in range(len(keys))])
+    plan.df = plan.df.drop(*[f"__code{i}" for i in range(level)])
     return plan
 
 
 def _splits(codes: DataFrame, code: str, n: int, rows: int) -> tuple[list[float], list[float], bool]:
     """Range limits for about n equal ranges; a value seen at two limits in a row gets a range of its own.
 
-    Also says whether the missing values alone would fill a range.
+    Also says whether the missing values alone would fill a range. One scan that keeps a random sample; no sketch is merged.
     """
-    probs = [i / n for i in range(1, n)]
-    number = F.nanvl(code, F.lit(None).cast("double"))
-    row = codes.agg(
-        F.percentile_approx(number, probs, max(10_000, 20 * n)).alias("p"), F.count_if(number.isNull()).alias("gaps")).first()
-    limits = row["p"] or []
+    each = max(20, min(200, SAMPLED // n))
+    share = min(1.0, each * n / max(rows, 1))
+    seen = [r[0] for r in (codes.sample(share, seed=1) if share < 1 else codes).collect()]
+    values = sorted(v for v in seen if v is not None and not math.isnan(v))
+    step = each if share < 1 else max(1, rows // n)
+    limits = values[step::step]
     heavy = sorted({a for a, b in zip(limits, limits[1:]) if a == b})
     inner = set(limits) | {math.nextafter(v, math.inf) for v in heavy}
-    return [-math.inf, *sorted(x for x in inner if math.isfinite(x)), math.inf], heavy, row["gaps"] * n > rows
+    return [-math.inf, *sorted(x for x in inner if math.isfinite(x)), math.inf], heavy, len(seen) - len(values) > step
 
 
 def row_numbers(df: DataFrame, order, name: str, group=(), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:

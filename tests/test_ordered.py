@@ -129,6 +129,16 @@ def test_sequential_equals_one_pass(spark, chunk):
     assert got == want
 
 
+def test_buckets_stay_small_with_ties_and_shared_prefixes(spark):
+    df = spark.range(40_000).select(
+        F.lit(1.0).alias("v"), F.concat(F.lit("Customer#0000"), F.lpad(((F.col("id") * 7919) % 40_000).cast("string"), 9, "0")).alias("name"))
+    plan = layout(df, [], ["-v", "name"], 1000)
+    counts = [r["count"] for r in plan.df.groupBy(*plan.buckets).count().collect()]
+    assert sum(counts) == 40_000 and max(counts) <= 2000
+    out = row_numbers(df, ["-v", "name"], "n", rows_per_bucket=1000)
+    assert out.filter(F.col("n") - 1 != F.substring("name", 14, 9).cast("int")).count() == 0
+
+
 @pytest.mark.parametrize("chunk", [1, 2, 3, 5])
 def test_sequential_with_gaps_and_empty_chunks(spark, chunk):
     rows = [("a", p, 0.0) for p in (1, 2, 8, 9, 12, 40, 47, 48, 56)] + [("b", p, 0.0) for p in (3, 30)]
