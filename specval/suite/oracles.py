@@ -313,7 +313,7 @@ ORACLES["D8_outlier_counts"] = f"WITH {KEPT} SELECT (SELECT COUNT(*) FROM items)
 _names = [*ITEM_FEATURES, "original_fee"]
 _pairs = [("1", "1"), *[("1", c) for c in _names], *[(a, b) for i, a in enumerate(_names) for b in _names[i:]]]
 ORACLES["D9_sufficient_statistics"] = f"WITH {ITEMS} " + " UNION ALL ".join(
-    f"SELECT '{a}' AS f1, '{b}' AS f2, ROUND(CAST(SUM(CAST({a} AS DOUBLE) * {b}) AS DOUBLE), 0) + 0.0 AS sum_product FROM items" for a, b in _pairs)
+    f"SELECT '{a}' AS f1, '{b}' AS f2, ROUND(CAST(SUM(CAST({a} AS DOUBLE) * {b}) AS DOUBLE), {-3 if a == b == 'original_fee' else 0}) + 0.0 AS sum_product FROM items" for a, b in _pairs)
 _basic_pairs = [(a, b) for i, a in enumerate(C.BASIC_FEATURES) for b in C.BASIC_FEATURES[i + 1:]]
 _corr = " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, CORR({a}, {b}) AS corr FROM features" for a, b in _basic_pairs)
 ORACLES["D10_correlations"] = f"WITH {FEATURES}, c AS ({_corr}) SELECT f1, f2, {r('CASE WHEN isnan(corr) THEN NULL ELSE corr END', 'corr', 8)} FROM c"
