@@ -89,10 +89,11 @@ def _template_table(spark: SparkSession, templates: dict[str, str], width: int)
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None,
          containment: float = CONTAINMENT, collision: float = COLLISION) -> DataFrame:
-    """One row per row of ``docs`` and license found: the id, ``license``, ``containment`` and ``first_word`` (of the first window).
+    """One row per row of ``docs`` and license found: the id, ``license``, ``containment`` and ``first_word``.
 
-    Words are runs of ASCII letters and digits, in lower case. A window holds a piece of a template when ``containment`` of its
-    shingles are in the window, and a text holds the template when its pieces found so have ``containment`` of its shingles.
+    Words are runs of ASCII letters and digits, in lower case. A text holds a template when ``containment`` of the template's
+    shingles are in the text, wherever they are. Pieces and bands only find the templates to count for a text: one shared shingle
+    is enough. ``first_word`` starts the first window with ``containment`` of a piece, or with any shingle if there is none.
     Missing, empty and short texts hold nothing; an empty table gives an empty result; repeated rows are rows of their own.
 
     Windows that share no shingle with any template cannot meet one in a band, so signatures are made for the others only. The
@@ -136,17 +137,19 @@ def _verified(found: DataFrame, pieces: DataFrame, width: int, containment: floa
     own = F.transform(F.sequence(F.lit(0), F.size("__words") - width), lambda k: F.array_join(F.slice("__words", (k + 1).cast("int"), width), " "))
     windows = found.withColumn("__own", F.array_distinct(own))
     code = lambda column: F.transform(column, lambda s: F.xxhash64(s))
-    banded = windows.select("__row", "__start", F.posexplode(_signature(code("__own"), bands)).alias("__band", "__value"))
-    targets = pieces.select("license", "__piece", F.posexplode(_signature(code("__wanted"), bands)).alias("__band", "__value"))
-    met = banded.join(F.broadcast(targets), ["__band", "__value"]).select("__row", "__start", "license", "__piece").distinct()
-    pairs = met.join(windows.select("__row", "__id", "__start", "__own"), ["__row", "__start"]).join(F.broadcast(pieces), ["license", "__piece"])
-    common = F.array_intersect("__own", "__wanted")
-    held = pairs.withColumn("__common", common).filter(F.size("__common") >= containment * F.size("__wanted"))
-    each = held.select("__row", "__id", "license", "__start", "__total", F.explode("__common").alias("__shingle"))
-    once = each.groupBy("__row", "__id", "license", "__total", "__shingle").agg(F.min("__start").alias("__start"))
-    whole = once.groupBy("__row", "__id", "license", "__total").agg(F.count(F.lit(1)).alias("__n"), F.min("__start").alias("first_word"))
+    banded = windows.select("__row", F.posexplode(_signature(code("__own"), bands)).alias("__band", "__value"))
+    targets = pieces.select("license", F.posexplode(_signature(code("__wanted"), bands)).alias("__band", "__value"))
+    met = banded.join(F.broadcast(targets), ["__band", "__value"]).select("__row", "license").distinct()
+    whole = pieces.groupBy("license", "__total").agg(F.array_distinct(F.flatten(F.collect_list("__wanted"))).alias("__all"), F.collect_list("__wanted").alias("__pieces"))
+    pairs = met.join(windows.select("__row", "__id", "__start", "__own"), "__row").join(F.broadcast(whole), "license")
+    hits = pairs.withColumn("__common", F.array_intersect("__own", "__all")).filter(F.size("__common") > 0)
+    piece = F.exists("__pieces", lambda p: F.size(F.array_intersect("__common", p)) >= containment * F.size(p))
+    each = hits.select("__row", "__id", "license", "__total", "__start", F.when(piece, F.col("__start")).alias("__held"), F.explode("__common").alias("__shingle"))
+    once = each.groupBy("__row", "__id", "license", "__total", "__shingle").agg(F.min("__start").alias("__start"), F.min("__held").alias("__held"))
+    counted = once.groupBy("__row", "__id", "license", "__total").agg(
+        F.count(F.lit(1)).alias("__n"), F.coalesce(F.min("__held"), F.min("__start")).alias("first_word"))
     share = F.col("__n") / F.col("__total")
-    return whole.filter(share >= containment).select("__id", "license", share.alias("containment"), F.col("first_word").cast("long"))
+    return counted.filter(share >= containment).select("__id", "license", share.alias("containment"), F.col("first_word").cast("long"))
 
 
 def scan_sql(templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> str:
