@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -99,7 +100,8 @@ def measure(text: str | None, pieces: WordPieces, words: list[str]) -> tuple:
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
              vocabulary: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``__id``, ``__group`` (the language, else the script), counts and fertility measures."""
+    """One row per row of ``docs``: ``__id``, ``__group`` (the language, else the script), ``__words`` (a hash of the words in order), counts
+    and fertility measures."""
     vocabulary = vocabulary or default_vocabulary()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -111,11 +113,13 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             pieces.learn([w for ws in words for w in ws])
             columns = list(zip(*[measure(t, pieces, ws) for t, ws in zip(texts, words)]))
             group = [x if x is not None else f"script {script_of(t or '')}" for x, t in zip(batch.column(2).to_pylist(), texts)]
+            same = [hashlib.blake2b(" ".join(ws).encode("utf-8", "surrogatepass"), digest_size=16).digest() for ws in words]
             kinds = [pa.int64()] * len(names) + [pa.float64()] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(group, pa.string()), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                                             names=["__id", "__group", *names, *MEASURES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(group, pa.string()), pa.array(same, pa.binary()),
+                                              *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                                             names=["__id", "__group", "__words", *names, *MEASURES])
 
-    schema = T.StructType([T.StructField("__id", docs.schema[id_col].dataType), T.StructField("__group", T.StringType()),
+    schema = T.StructType([T.StructField("__id", docs.schema[id_col].dataType), T.StructField("__group", T.StringType()), T.StructField("__words", T.BinaryType()),
                            *[T.StructField(n, T.LongType()) for n in names], *[T.StructField(n, T.DoubleType()) for n in MEASURES]])
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     return docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), lang.alias("__lang")).mapInArrow(run, schema)
@@ -128,9 +132,10 @@ def scale(name: str):
 def bands(measured: DataFrame, spreads: float = SPREADS) -> DataFrame:
     """Per group and measure: the ``_mid`` and how far below (``_low``) and above (``_high``) it a scaled measure may lie; null: any distance.
 
-    From all texts of the group that pass the base rules, by sketches that merge, so a group with a third of the rows is no hot spot.
+    From the different texts of the group that pass the base rules: copies (also with other white space) count once, so they do not draw
+    the quartiles together. Partial sums and sketches that merge, so a group or a text with a third of the rows is no hot spot.
     """
-    sound = measured.filter(~base_failed())
+    sound = measured.filter(~base_failed()).groupBy("__group", "__words").agg(*[F.first(c).alias(c) for c in ("n_words", *MEASURES)])
     mids = sound.groupBy("__group").agg(*[F.percentile_approx(m, 0.5, 10_000).alias(f"{m}_mid") for m in MEASURES])
     away = join_checked(sound, mids, ["__group"], "inner").groupBy("__group").agg(
         *[F.first(f"{m}_mid").alias(f"{m}_mid") for m in MEASURES],
