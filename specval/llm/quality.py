@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from specval.llm.text import _hash_bytes, slices
+from specval.llm.text import _IS_WHITE, _hash_bytes, slices
 
 PASSAGE_WORDS = 64
-MAX_PASSAGES = 256  # longer documents get longer passages, so that the whole text is read
+MAX_PASSAGES = 256  # when training, longer documents get longer passages, so that the driver's part is bounded and the whole text is read
 TRAIN_ROWS = 4000  # the bound of the labelled sample the model is fitted on
 HIDDEN, ATTENTION = 16, 8
 THRESHOLD = 0.3
 SLICE = 1_000_000  # bytes handled at once
+LONG_CHARS = 2 * PASSAGE_WORDS * MAX_PASSAGES - 2  # a shorter text has no more than MAX_PASSAGES passages
 
 #: Kinds of bytes. Letters of other scripts are bytes above 127.
 _KINDS = [(b"\n", 1), (b" \t\x0b\x0c\r", 2), (b"0123456789", 3), (b".", 4), (b",;:", 5), (b"!", 6), (b"?", 7), (b"#$%&*", 8),
@@ -51,18 +52,37 @@ def encode_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encode(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
-    ends = np.cumsum([len(p) + 1 for p in parts])
+    return _encode_bytes(np.frombuffer(b"\n".join(parts) + b"\n", np.uint8), np.cumsum([len(p) + 1 for p in parts]), MAX_PASSAGES)
+
+
+def passage_slices(text: str | None) -> Iterator[np.ndarray]:
+    """Features of the passages of one text, all of 64 words but the last, for about ``SLICE`` bytes at a time."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass") + b"\n", np.uint8)
+    at, size = 0, SLICE
+    while len(raw) - at > size:
+        white = _IS_WHITE[raw[at:at + size]]
+        starts = np.flatnonzero(~white & np.concatenate(([True], white[:-1])))
+        n = (len(starts) - 1) // PASSAGE_WORDS * PASSAGE_WORDS  # whole passages, up to the first word of the next one
+        if n <= 0:
+            size *= 2
+            continue
+        end = at + int(starts[n])
+        yield _encode_bytes(raw[at:end], np.array([end - at]))[1]
+        at, size = end, SLICE
+    yield _encode_bytes(raw[at:], np.array([len(raw) - at]))[1]
+
+
+def _encode_bytes(raw: np.ndarray, ends: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     words, starts = _hash_bytes(raw)
     n_words = np.diff(np.searchsorted(starts, ends), prepend=0)
-    long = np.maximum(PASSAGE_WORDS, -(-n_words // MAX_PASSAGES))
+    long = np.maximum(PASSAGE_WORDS, -(-n_words // most) if most else np.zeros_like(n_words))
     n_passages = np.maximum(1, -(-n_words // long))
     first_passage = np.cumsum(n_passages) - n_passages
     total = int(n_passages.sum())
     out = np.zeros((total, WIDTH))
     if not len(starts):
         return n_passages, out
-    doc = np.repeat(np.arange(len(parts)), n_words)
+    doc = np.repeat(np.arange(len(ends)), n_words)
     place = np.arange(len(words)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
     passage = first_passage[doc] + place // long[doc]
     following = np.append(starts[1:], len(raw))
@@ -108,13 +128,38 @@ class Model:
         x = np.clip((x - self.mean) / self.scale, -6, 6)
         return 1 / (1 + np.exp(-np.clip(_forward(self.weights, counts, x)["logit"], -40, 40)))
 
+    def score_texts(self, texts: list[str | None]) -> np.ndarray:
+        """Scores by passages of 64 words at every size: sums of long texts are merged slice by slice."""
+        short = [len(t or "") <= LONG_CHARS for t in texts]
+        scores = np.zeros(len(texts))
+        scores[short] = self.score(*encode_passages([t for t, s in zip(texts, short) if s])) if any(short) else []
+        for k in np.flatnonzero(~np.array(short, bool)):
+            scores[k] = self._score_long(texts[k])
+        return scores
 
-def _forward(w: dict[str, np.ndarray], counts: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
-    at = np.cumsum(counts) - counts
+    def _score_long(self, text: str) -> float:
+        if self.constant is not None:
+            return self.constant
+        top, total, sums = -np.inf, 0.0, np.zeros(HIDDEN)
+        for x in passage_slices(text):
+            h, _, _, a = _attend(self.weights, np.clip((x - self.mean) / self.scale, -6, 6))
+            best = max(top, a.max())
+            e, before = np.exp(a - best), np.exp(top - best)
+            top, total, sums = best, total * before + e.sum(), sums * before + e @ h
+        logit = (sums / total) @ self.weights["c"] + self.weights["b"][0]
+        return float(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
+
+
+def _attend(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     h = np.tanh(x @ w["E"] + w["e"])
     t = np.tanh(h @ w["V"])
     g = 1 / (1 + np.exp(-(h @ w["U"])))
-    a = (t * g) @ w["a"]
+    return h, t, g, (t * g) @ w["a"]
+
+
+def _forward(w: dict[str, np.ndarray], counts: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+    at = np.cumsum(counts) - counts
+    h, t, g, a = _attend(w, x)
     a = np.exp(a - np.repeat(np.maximum.reduceat(a, at), counts))
     a /= np.repeat(np.add.reduceat(a, at), counts)
     z = np.add.reduceat(a[:, None] * h, at)
@@ -194,7 +239,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            scores = model.score(*encode_passages(part.column(part.num_columns - 1).to_pylist()))
+            scores = model.score_texts(part.column(part.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], names=[*carry, "__score"])
 
     schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField("__score", T.DoubleType())])
