@@ -52,9 +52,10 @@ def compare(df, con, sql: str) -> tuple[bool, str]:
 
 
 if __name__ == "__main__":
+    import __spark_entry__
     from specval.session import get_spark
-    from specval.suite.oracles import ORACLES
-    from specval.suite.queries import QUERIES
+
+    QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:] or list(QUERIES)
