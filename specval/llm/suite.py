@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specval.llm import exact, html, licenses, mixing, ngram_join, packing, quality, rules, sharding, substring
+from specval.llm import caps, collocations, exact, html, licenses, mixing, ngram_join, packing, quality, rules, sharding, substring, whitening
 from specval.llm.common import join_checked
 
 
@@ -62,6 +62,22 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return caps.similar_vectors(table(spark, folder, "embeddings")).select(
+        F.col("__id").alias("vec_id"), F.col("__n_links").alias("n_links"), F.col("__component").alias("component_id"),
+        F.col("__id").eqNullSafe(F.col("__component")).alias("kept"))
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings")).select(
+        F.col("__id").alias("vec_id"), F.col("__component").alias("component"), F.col("__n").alias("n"), F.col("__deviation").cast("long").alias("deviation"),
+        F.col("__whitened").alias("whitened"), F.col("__explained").alias("explained"), F.col("__identity_error").alias("identity_error"))
+
+
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -73,6 +89,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_html_extraction": op10_html_extraction,
+    "op11_embedding_near_dedup": op11_embedding_near_dedup,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 OP1 = r"""
@@ -176,4 +195,70 @@ SELECT t.doc_id, CAST(coalesce(k.n_words, 0) AS BIGINT) AS n_words, CAST(coalesc
 FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
 """
 
-ORACLES = {"op1_mixing": OP1, "op3_ngram_join": OP3, "op4_license_scan": licenses.scan_sql(), "op6_exact_dedup": OP6, "op8_substring_dedup": OP8}
+OP11 = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), sized AS (
+  SELECT *, sqrt(list_dot_product(v, v)) AS norm FROM good
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sized a JOIN sized b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93
+), reached AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION
+  SELECT r.vec_id, l.b FROM reached r JOIN links l ON r.other = l.a
+), parts AS (
+  SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id
+), counted AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT p.vec_id, coalesce(c.n, 0) AS n_links, p.component_id, p.vec_id = p.component_id AS kept FROM parts p LEFT JOIN counted c ON p.vec_id = c.vec_id
+"""
+
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+         string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p
+  FROM documents
+), numbered AS (
+  SELECT lang, d, unnest(range(len(p))) AS k, unnest(p) AS piece FROM pieces
+), split AS (
+  SELECT lang, d, k, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM numbered
+), words AS (
+  SELECT lang, d, k, unnest(range(len(w))) AS pos, unnest(w) AS w0 FROM split
+), next AS (
+  SELECT lang, w0, lead(w0) OVER here AS w1, lead(w0, 2) OVER here AS w2 FROM words WINDOW here AS (PARTITION BY d, k ORDER BY pos)
+), one AS (
+  SELECT lang, w0, count(*) AS a FROM next GROUP BY ALL
+), two AS (
+  SELECT lang, w0, w1, count(*) AS a FROM next WHERE w1 IS NOT NULL GROUP BY ALL
+), three AS (
+  SELECT lang, w0, w1, w2, count(*) AS a FROM next WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), pairs AS (
+  SELECT t.lang, t.w0, t.w1, t.a, x.a AS l, y.a AS r, CAST(1000000 * CAST(t.a AS HUGEINT) * t.a // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM two t JOIN one x ON t.lang = x.lang AND t.w0 = x.w0 JOIN one y ON t.lang = y.lang AND t.w1 = y.w0 WHERE t.a >= 10
+), cuts AS (
+  SELECT t.lang, t.w0, t.w1, t.w2, t.a, x.a AS l1, yz.a AS r1, xy.a AS l2, z.a AS r2,
+         CAST(1000000 * CAST(t.a AS HUGEINT) * t.a // (CAST(x.a AS HUGEINT) * yz.a) AS BIGINT) AS s1,
+         CAST(1000000 * CAST(t.a AS HUGEINT) * t.a // (CAST(xy.a AS HUGEINT) * z.a) AS BIGINT) AS s2
+  FROM three t JOIN one x ON t.lang = x.lang AND t.w0 = x.w0 JOIN two yz ON t.lang = yz.lang AND t.w1 = yz.w0 AND t.w2 = yz.w1
+  JOIN two xy ON t.lang = xy.lang AND t.w0 = xy.w0 AND t.w1 = xy.w1 JOIN one z ON t.lang = z.lang AND t.w2 = z.w0
+), held AS (
+  SELECT lang, u, v, max(a) AS most FROM (SELECT lang, w0 AS u, w1 AS v, a FROM three UNION ALL SELECT lang, w1, w2, a FROM three) GROUP BY ALL
+), kept AS (
+  SELECT p.lang, p.w0 || ' ' || p.w1 AS phrase, p.a, p.l, p.r, p.score FROM pairs p LEFT JOIN held h ON p.lang = h.lang AND p.w0 = h.u AND p.w1 = h.v
+  WHERE h.most IS NULL OR 100 * h.most < 50 * p.a
+  UNION ALL
+  SELECT lang, w0 || ' ' || w1 || ' ' || w2, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM cuts
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+), sizes AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM one GROUP BY lang
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, s.n, r.score FROM ranked r JOIN sizes s ON r.lang = s.lang WHERE r.rank <= 2000
+"""
+
+ORACLES = {"op1_mixing": OP1, "op3_ngram_join": OP3, "op4_license_scan": licenses.scan_sql(), "op6_exact_dedup": OP6, "op8_substring_dedup": OP8,
+           "op11_embedding_near_dedup": OP11, "op13_phrase_collocations": OP13}
