@@ -1,7 +1,7 @@
 """Frequent phrases and how strongly their parts belong together.
 
-Level by level: a phrase can only be frequent if its parts are, so the candidates of a level are the phrases in the text whose parts are frequent and
-whose hash bucket holds enough occurrences. Candidates go to all tasks as double-array tries of bounded size. Numpy moves the states of all
+Level by level: a phrase can only be frequent if its parts are, so the candidates of a level are the phrases whose parts are frequent, as far as
+the text has enough of them. Candidates go to all tasks as double-array tries of bounded size. Numpy moves the states of all
 text positions through a trie at once, one symbol at a time, and counts the accepting states; the counts of all tasks are added up.
 """
 
@@ -21,10 +21,14 @@ from specval.session import materialize
 MAX_WORDS = 3
 LEAST = 10
 TOP = 2000
-RUN_BYTES = 6_000_000  # text that a task treats at a time, about a million words
-TRIE_PHRASES = 1_000_000  # of one trie, some 40 MB
+RUN_BYTES = 3_000_000  # text whose words a task holds at a time, about half a million
+SLICE_BYTES = 500_000  # text whose bytes are treated at a time
+RUN_WORDS = 30_000  # keys of a row, or more up to the next end of a piece; values below half a megabyte are light on the JVM's collector
+HELD_KEYS = 1_000_000  # keys that are sorted and counted together
+STEP_POSITIONS = 250_000  # text positions whose states move together
+TRIE_PHRASES = 500_000  # of one trie, some 25 MB
+BROADCAST_KEYS = 4_000_000  # of 8 bytes
 FLAG_BITS = 27  # 16 MB
-ROUND_BUCKETS = 1 << 30  # hash buckets of one round of candidates
 
 _SPACE, _BREAK, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
 _SPACE[[0x20, 0x09]] = True
@@ -38,9 +42,9 @@ _VALUE[[0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x09]] = 0
 # --- words
 
 
-def words_of(texts: list[bytes], langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, starts, ends, bytes): the words of all texts in order as 64-bit hashes of language and word, 0 where a piece ends, with
-    their places in the lower-cased bytes. The hash 0 is never a word's."""
+def words_of(texts: list[bytes], langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, starts, ends, texts, bytes): the words of all texts in order as 64-bit hashes of language and word, 0 where a piece ends, with
+    their places in the lower-cased bytes and the numbers of their texts. The hash 0 is never a word's."""
     raw = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
     gap = _SPACE[raw] | _BREAK[raw]
     inside = ~gap
@@ -48,7 +52,7 @@ def words_of(texts: list[bytes], langs: np.ndarray) -> tuple[np.ndarray, np.ndar
     ends = np.flatnonzero(gap & np.concatenate(([False], inside[:-1])))
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, raw
+        return np.zeros(0, np.uint64), none, none, none, raw
     reach = np.diff(np.append(starts, len(raw)))
     place = np.arange(starts[0], len(raw)) - np.repeat(starts, reach)
     values = np.where(gap[starts[0]:], np.uint64(0), _VALUE[raw[starts[0]:]] * powers(int(reach.max()))[place])
@@ -57,13 +61,11 @@ def words_of(texts: list[bytes], langs: np.ndarray) -> tuple[np.ndarray, np.ndar
     keys = np.maximum(mix(hashes ^ langs[text]), np.uint64(1))
     pieces = np.cumsum(_BREAK[raw])[starts]
     cut = np.flatnonzero(np.diff(pieces)) + 1
-    order = np.insert(np.arange(len(keys)), cut, -1)
-    spaced = np.where(order < 0, np.uint64(0), keys[order])
-    at = np.where(order < 0, 0, starts[order])
-    return spaced, at, np.where(order < 0, 0, ends[order]), raw
+    spaced, first, last, own = (np.insert(x, cut, 0) for x in (keys, starts, ends, text))
+    return spaced, first, last, own, raw
 
 
-def _cut(text: bytes, size: int) -> Iterator[bytes]:
+def _cut(text: bytes, size: int = SLICE_BYTES) -> Iterator[bytes]:
     """A long text in parts that end where a piece ends, so that no phrase is cut."""
     at = 0
     while len(text) - at > size:
@@ -89,44 +91,68 @@ def _lang_hash(lang: str, seed: int) -> int:
 
 
 def _tokens(docs: DataFrame, text_col: str, lang_col: str, seed: int, run_bytes: int) -> DataFrame:
-    """Rows of some texts each: ``run`` (their words as keys, 8 bytes each, 0 where a piece ends) and, once per different word in the row,
-    ``words`` (key, lang, word, count)."""
-    shape = pa.struct([("key", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("count", pa.int64())])
+    """Some texts at a time: rows with ``run`` (their words as keys, 8 bytes each, 0 where a piece ends), then a row for each different word among
+    them (``key``, ``lang``, ``word``, ``count``)."""
+    kinds = [("run", pa.binary()), ("key", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("count", pa.int64())]
+
+    def batch(size: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(n, pa.nulls(size, t)) for n, t in kinds], names=[n for n, _ in kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[str, tuple[int, int]] = {}
+        parts: list[tuple] = []
         texts: list[bytes] = []
         langs: list[str] = []
-        held = 0
+        size = held = 0
 
-        def flush() -> pa.RecordBatch:
+        def hash_slice() -> None:
             names, which = np.unique(np.array(langs, object), return_inverse=True)
-            codes = np.array([_lang_hash(name, seed) for name in names], np.uint64)
-            keys, starts, ends, raw = words_of(texts, codes[which])
-            text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+            for name in names:
+                codes.setdefault(name, (len(codes), _lang_hash(name, seed)))
+            keys, starts, ends, own, raw = words_of(texts, np.array([codes[name][1] for name in names], np.uint64)[which])
+            offset = sum(len(p[4]) for p in parts)
+            places = np.array([codes[name][0] for name in names])[which]
+            # a slice ends where a piece ends
+            parts.append((np.append(keys, np.uint64(0)), np.append(starts + offset, 0), np.append(ends + offset, 0), np.append(places[own], 0), raw))
+            texts.clear(), langs.clear()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, starts, ends, own, raw = (np.concatenate(p) for p in zip(*parts))
+            parts.clear()
+            ends_of_pieces = np.flatnonzero(keys == 0) + 1
+            cuts = np.unique(ends_of_pieces[np.searchsorted(ends_of_pieces, np.arange(RUN_WORDS, len(keys), RUN_WORDS))])
+            runs = [r.tobytes() for r in np.split(keys, cuts) if len(r)]
+            yield batch(len(runs), run=pa.array(runs, pa.binary()))
             full = np.flatnonzero(keys)
             different, first, counts = np.unique(keys[full], return_index=True, return_counts=True)
             first = full[first]
             words = _strings(raw, starts[first], ends[first])
-            own = pa.array(names, pa.string()).take(pa.array(which[text[first]]))
-            found = pa.StructArray.from_arrays([pa.array(different.astype(np.int64)), own, words, pa.array(counts)], fields=list(shape))
-            lists = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)
-            texts.clear(), langs.clear()
-            return pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), lists], names=["run", "words"])
+            lang = pa.array(list(codes), pa.string()).take(pa.array(own[first]))
+            codes.clear()
+            for at in range(0, len(different), 50_000):
+                piece = slice(at, at + 50_000)
+                yield batch(len(different[piece]), key=pa.array(different[piece].astype(np.int64)), lang=lang[piece], word=words[piece],
+                            count=pa.array(counts[piece]))
 
         for part in slices(batches):
             for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                for body in _cut(text.encode("utf-8", "surrogatepass"), run_bytes):
+                for body in _cut(text.encode("utf-8", "surrogatepass")):
                     texts.append(body)
                     langs.append(lang)
-                    held += len(body)
+                    size += len(body) + 1
+                    if size >= min(SLICE_BYTES, run_bytes):
+                        hash_slice()
+                        held, size = held + size, 0
                     if held >= run_bytes:
-                        yield flush()
+                        yield from flush()
                         held = 0
         if texts:
-            yield flush()
+            hash_slice()
+        if parts:
+            yield from flush()
 
     read = docs.select(text_of(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    return read.mapInArrow(run, "run binary, words array<struct<key:long,lang:string,word:string,count:long>>")
+    return read.mapInArrow(run, "run binary, key long, lang string, word string, count long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -135,6 +161,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield np.frombuffer(blob.as_buffer(), np.uint64)
 
 
+def _together(arrays: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Short arrays joined to some of ``HELD_KEYS`` rows, so that what repeats is found together."""
+    held: list[np.ndarray] = []
+    for array in arrays:
+        held.append(array)
+        if sum(map(len, held)) >= HELD_KEYS:
+            yield np.concatenate(held)
+            held.clear()
+    if held:
+        yield np.concatenate(held)
+
+
 # --- flags: which keys may be frequent
 
 
@@ -171,18 +209,17 @@ def _flags(hashes: DataFrame, column: str, bits: int) -> Flags:
     return Flags(bits, out)
 
 
-def _windows(run: np.ndarray, length: int, flags: Flags) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, keys) of the phrases of ``length`` words whose two parts of ``length - 1`` words are flagged."""
+def _windows(run: np.ndarray, length: int, flags: Flags) -> np.ndarray:
+    """Starts of the phrases of ``length`` words whose two parts of ``length - 1`` words are flagged."""
     n = len(run) - length + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64)
     ok = np.ones(n, bool)
     for k in range(length):
         ok &= run[k:k + n] != 0
     part = fold([run[k:len(run) - length + 2 + k] for k in range(length - 1)])
     safe = flags.has(mix(part))
-    at = np.flatnonzero(ok & safe[:n] & safe[1:n + 1])
-    return at, fold([run[at + k] for k in range(length)])
+    return np.flatnonzero(ok & safe[:n] & safe[1:n + 1])
 
 
 # --- tries
@@ -241,8 +278,8 @@ class Trie:
                 within = np.arange(len(group)) - np.repeat(np.cumsum(sizes[left]) - sizes[left], sizes[left])
                 slot = tried[group] + symbols[starts[left][group] + within]
                 bad = self.check[slot] >= 0
-                claim = np.full(len(self.check), len(left), np.int64)
-                np.minimum.at(claim, slot[~bad], group[~bad])
+                claim = np.full(len(self.check), len(left), np.int32)
+                np.minimum.at(claim, slot[~bad], group[~bad].astype(np.int32))
                 bad |= claim[slot] != group
                 failed = np.zeros(len(left), bool)
                 failed[group[bad]] = True
@@ -283,19 +320,24 @@ class Phrases:
         ids = np.searchsorted(self.words, keys)
         self.length = keys.shape[1]
         symbols = np.concatenate([self._symbols(ids[:, k]) for k in range(self.length)], axis=1)
-        order = np.lexsort(symbols.T[::-1])
-        self.keys = keys[order]
-        self.trie = Trie(symbols[order])
+        self.order = np.lexsort(symbols.T[::-1])  # the rows of ``keys`` in the order of the counts
+        self.trie = Trie(symbols[self.order])
 
     def _symbols(self, ids: np.ndarray) -> np.ndarray:
         return np.stack([(ids >> (8 * d)) & 255 for d in reversed(range(self.digits))], axis=1).astype(np.uint8)
 
     def counts(self, run: np.ndarray) -> np.ndarray:
-        """Occurrences of each phrase: the states of all positions go down together."""
-        total = np.zeros(len(self.keys), np.int64)
+        """Occurrences of each phrase."""
+        total = np.zeros(self.trie.phrases, np.int64)
+        for at in range(0, len(run), STEP_POSITIONS):
+            total += self._counts(run[at:at + STEP_POSITIONS + self.length - 1])
+        return total
+
+    def _counts(self, run: np.ndarray) -> np.ndarray:
+        """The states of all positions go down together."""
         n = len(run) - self.length + 1
         if n < 1:
-            return total
+            return np.zeros(self.trie.phrases, np.int64)
         ids = np.searchsorted(self.words, run)
         ids[ids == len(self.words)] = 0
         ids = np.where(self.words[ids] == run, ids, -1)
@@ -310,7 +352,7 @@ class Phrases:
                 alive = states >= 0
                 at, states, here = at[alive], states[alive], here[alive]
         leaf = self.trie.leaf[states]
-        return np.bincount(leaf[leaf >= 0], minlength=len(self.keys))
+        return np.bincount(leaf[leaf >= 0], minlength=self.trie.phrases)
 
 
 # --- levels
@@ -320,44 +362,28 @@ def _phrase_columns(length: int) -> list[str]:
     return [f"w{k}" for k in range(length)]
 
 
-def _candidates(tokens: DataFrame, length: int, flags, least: int, positions: int, round_buckets: int, flag_bits: int) -> DataFrame:
-    """Phrases in the text whose parts are flagged and whose hash bucket holds ``least`` such phrases, repeats counted.
+def _candidates(tokens: DataFrame, length: int, flags, least: int) -> DataFrame:
+    """Phrases in the text whose parts are flagged and which all tasks together saw ``least`` times or more.
 
-    Buckets are as many as the positions or more, so few unfrequent phrases get through; so many buckets that their flags would outgrow a broadcast are
-    treated in rounds by ranges of the hash.
+    A task sends each phrase of some of its text once, with how often it is there, so a phrase that a third of all texts hold is
+    a row per task.
     """
-    spark = tokens.sparkSession
-    bits = max(flag_bits, int(np.ceil(np.log2(max(positions, 2)))))
-    rounds = max(1, (1 << bits) // round_buckets)
-    found = None
-    for turn in range(rounds):
-        def mine(keys: np.ndarray, turn=turn) -> np.ndarray:
-            return keys % np.uint64(rounds) == np.uint64(turn)
-
-        def tally(batches: Iterator[pa.RecordBatch], mine=mine) -> Iterator[pa.RecordBatch]:
-            for run in _runs(batches):
-                keys = mix(_windows(run, length, flags.value)[1])
-                buckets, counts = np.unique(keys[mine(keys)] >> np.uint64(64 - bits) << np.uint64(64 - bits), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(counts)], names=["bucket", "n"])
+    names = _phrase_columns(length)
 
-        sums = tokens.select("run").mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-        heavy = spark.sparkContext.broadcast(_flags(sums.filter(F.col("n") >= least), "bucket", flag_bits))
-
-        def seen(batches: Iterator[pa.RecordBatch], mine=mine, heavy=heavy) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def phrases() -> Iterator[np.ndarray]:
             for run in _runs(batches):
-                at, keys = _windows(run, length, flags.value)
-                keys = mix(keys)
-                chosen = mine(keys) & heavy.value.has(keys)
-                _, first = np.unique(keys[chosen], return_index=True)
-                at = at[chosen][first]
-                yield pa.RecordBatch.from_arrays([pa.array(run[at + k].astype(np.int64)) for k in range(length)], names=_phrase_columns(length))
+                at = _windows(run, length, flags.value)
+                yield np.stack([run[at + k] for k in range(length)], axis=1)
+
+        for seen in _together(phrases()):
+            _, first, counts = np.unique(mix(fold(list(seen.T))), return_index=True, return_counts=True)
+            columns = [pa.array(seen[first, k].astype(np.int64)) for k in range(length)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names=[*names, "seen"])
 
-        names = _phrase_columns(length)
-        part = tokens.select("run").mapInArrow(seen, ", ".join(f"{c} long" for c in names)).distinct()
-        part = materialize(part, f"phrases{length}-candidates{turn}")
-        heavy.destroy()
-        found = part if found is None else found.union(part)
-    return found
+    found = tokens.mapInArrow(tally, ", ".join(f"{c} long" for c in names) + ", seen long")
+    found = found.groupBy(*names).agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= least).drop("seen")
+    return materialize(found, f"phrases{length}-candidates")
 
 
 def _counted(tokens: DataFrame, candidates: DataFrame, length: int, least: int, trie_phrases: int) -> DataFrame:
@@ -369,25 +395,28 @@ def _counted(tokens: DataFrame, candidates: DataFrame, length: int, least: int,
         mine = candidates.filter(F.pmod(F.xxhash64(*names), F.lit(shards)) == shard).toArrow()  # about ``trie_phrases`` rows
         if not mine.num_rows:
             continue
-        phrases = Phrases(np.stack([mine.column(c).to_numpy().astype(np.uint64) for c in names], axis=1))
-        shared = spark.sparkContext.broadcast(phrases)
+        keys = np.stack([mine.column(c).to_numpy().astype(np.uint64) for c in names], axis=1)
+        phrases = Phrases(keys)
+        keys, phrases.order = keys[phrases.order], None
+        shared, named = spark.sparkContext.broadcast(phrases), spark.sparkContext.broadcast(keys)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(shared.value.keys), np.int64)
+            total = np.zeros(shared.value.trie.phrases, np.int64)
             for keys in _runs(batches):
                 total += shared.value.counts(keys)
             hit = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["phrase", "a"])
 
-        sums = tokens.select("run").mapInArrow(run, "phrase long, a long").groupBy("phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
+        sums = tokens.mapInArrow(run, "phrase long, a long").groupBy("phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
 
-        def name(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def name(batches: Iterator[pa.RecordBatch], named=named) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = shared.value.keys[batch.column(0).to_numpy()].astype(np.int64)
+                own = named.value[batch.column(0).to_numpy()].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*[pa.array(own[:, k]) for k in range(length)], batch.column(1)], names=[*names, "a"])
 
         part = materialize(sums.mapInArrow(name, ", ".join(f"{c} long" for c in names) + ", a long"), f"phrases{length}-{shard}")
         shared.destroy()
+        named.destroy()
         result = part if result is None else result.union(part)
     if result is None:
         return spark.createDataFrame([], ", ".join(f"{c} long" for c in names) + ", a long")
@@ -395,7 +424,7 @@ def _counted(tokens: DataFrame, candidates: DataFrame, length: int, least: int,
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, least: int = LEAST, top: int = TOP,
-                 trie_phrases: int = TRIE_PHRASES, round_buckets: int = ROUND_BUCKETS, flag_bits: int = FLAG_BITS, run_bytes: int = RUN_BYTES) -> DataFrame:
+                 trie_phrases: int = TRIE_PHRASES, flag_bits: int = FLAG_BITS, run_bytes: int = RUN_BYTES) -> DataFrame:
     """Each language's best phrases of 2 to ``max_words`` words: ``lang``, ``rank``, ``phrase``, ``a`` (occurrences), ``l``, ``r`` (those of
     the two parts of its weakest cut), ``n`` (words of the language) and ``score`` (floor of 1000000 a a / (l r)).
 
@@ -408,21 +437,22 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     spark = docs.sparkSession
     seed = 0
     while True:
-        tokens = materialize(_tokens(docs, text_col, lang_col, seed, run_bytes), "phrases-text")
-        words = tokens.select(F.explode("words").alias("w")).select("w.*").groupBy("key").agg(
-            F.sum("count").alias("a"), F.min("lang").alias("lang"), F.max("lang").alias("lang2"), F.min("word").alias("word"), F.max("word").alias("word2"))
-        words = materialize(words, "phrases-words")
-        if words.filter("lang <> lang2 OR word <> word2").isEmpty():
+        table = materialize(_tokens(docs, text_col, lang_col, seed, run_bytes), "phrases-text")
+        words, tokens = table.filter("key IS NOT NULL"), table.filter("run IS NOT NULL").select("run")
+        frequent = words.groupBy(F.col("key").alias("w0")).agg(F.sum("count").alias("a")).filter(F.col("a") >= least)
+        frequent = materialize(frequent, "phrases-words")
+        keys = frequent.select(F.col("w0").alias("key"))
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+        names = materialize(words.join(keys, "key", "left_semi").select("key", "lang", "word").distinct(), "phrases-names")
+        if names.groupBy("key").count().filter("count > 1").isEmpty():
             break
         seed += 1
-    sizes = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    positions = words.agg(F.sum("a")).first()[0] or 0
-    frequent = words.filter(F.col("a") >= least).select(F.col("key").alias("w0"), "a")
+    sizes = words.groupBy("lang").agg(F.sum("count").alias("n"))
     levels = {1: frequent}
     for length in range(2, max_words + 1):
         parts = levels[length - 1]
         flags = spark.sparkContext.broadcast(_flags(_with_fold(parts, length - 1), "fold", flag_bits))
-        candidates = _candidates(tokens, length, flags, least, positions, round_buckets, flag_bits)
+        candidates = _candidates(tokens, length, flags, least)
         levels[length] = _counted(tokens, candidates, length, least, trie_phrases)
         flags.destroy()
     scored = [_scored(levels, length) for length in range(2, max_words + 1)]
@@ -430,19 +460,18 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     for length, rows in zip(range(2, max_words + 1), scored):
         longer = [levels[m].select(*[F.col(f"w{k + at}").alias(f"w{k}") for k in range(length)], F.col("a").alias("b"))
                   for m in range(length + 1, max_words + 1) for at in range(m - length + 1)]
-        names = _phrase_columns(length)
+        phrase = _phrase_columns(length)
         if longer:
             held = longer[0]
             for more in longer[1:]:
                 held = held.union(more)
-            held = held.groupBy(*names).agg(F.max("b").alias("b"))
-            rows = rows.join(held, names, "left").filter("b IS NULL OR 2 * b < a").drop("b")
-        kept.append(rows.select(F.array(*names).alias("words"), "a", "l", "r", "score"))
+            held = held.groupBy(*phrase).agg(F.max("b").alias("b"))
+            rows = rows.join(held, phrase, "left").filter("b IS NULL OR 2 * b < a").drop("b")
+        kept.append(rows.select(F.array(*phrase).alias("words"), "a", "l", "r", "score"))
     all_rows = kept[0]
     for more in kept[1:]:
         all_rows = all_rows.union(more)
     spelled = materialize(all_rows.withColumn("id", F.monotonically_increasing_id()), "phrases-scored")
-    names = frequent.select(F.col("w0").alias("key")).join(words.select("key", "lang", "word"), "key")
     text = spelled.select("id", F.posexplode("words").alias("k", "key")).join(names, "key").groupBy("id").agg(
         F.first("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda p: p["word"]), " ").alias("phrase"))
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
