@@ -1,21 +1,17 @@
 """Order-dependent operators that do not put a whole ordering into one task.
 
-A plain ``Window.orderBy`` sorts its partition in one task. That is used here only up to ``ROWS_PER_BUCKET`` rows.
-Larger inputs are cut into value ranges. Range limits come from a random sample of a few values per range and are literals, so the
-bucket of a row depends only on the row and stays the same when a lost task is repeated. A value so frequent that it fills a
-range by itself is cut again by the next ordering column, a text first by its next six bytes. Totals per bucket form a small table that
-carries counts, minima, ... from one bucket to the next.
+A plain ``Window.orderBy`` sorts its partition in one task. That is used here only up to ``ROWS_PER_BUCKET`` rows. Larger inputs go through Spark's
+range exchange on all ordering columns and are written once, each row with the number of its partition: the bucket. As the table is written, a
+repeated task cannot move a row. Totals per bucket form a small table that carries counts, minima, ... from one bucket to the next.
 """
 
 from __future__ import annotations
 
 import math
-import sys
 from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +19,8 @@ from pyspark.sql import types as T
 from specval.session import materialize
 
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 100_000  # 2 * 10**11 rows; one literal limit each
-SAMPLED = 3_000_000  # values that the driver sees at most, as long as that is 20 per range
-TEXT_BYTES = 6  # as many as a double holds exactly
-LARGEST = sys.float_info.max
+BROADCAST_TOTALS = 500_000  # rows of totals per group and bucket that may be broadcast
+BUCKET = "__bucket"
 
 
 @dataclass(frozen=True)
@@ -36,30 +30,10 @@ class Key:
     name: str
     descending: bool = False
 
-    def lengths(self, df: DataFrame) -> int:
-        """How many codes the longest value needs."""
-        if not isinstance(df.schema[self.name].dataType, T.StringType):
-            return 1
-        longest = df.agg(F.max(F.octet_length(self.name))).first()[0] or 0
-        return max(1, math.ceil(longest / TEXT_BYTES))
-
     def sort(self) -> Column:
         col = F.col(self.name)
         return col.desc_nulls_last() if self.descending else col.asc_nulls_last()
 
-    def code(self, df: DataFrame, skip: int = 0) -> Column:
-        """An order-preserving double (equal codes only for values that sort next to each other); of a text the bytes after ``skip``."""
-        kind = df.schema[self.name].dataType
-        col = F.col(self.name)
-        if isinstance(kind, (T.NumericType, T.BooleanType)):
-            number = col.cast("double")
-            # infinities get the outermost finite codes, so that they can have a range of their own
-            return F.when(number == math.inf, LARGEST).when(number == -math.inf, -LARGEST).otherwise(number)
-        if isinstance(kind, (T.DateType, T.TimestampType)):
-            return F.unix_micros(col.cast("timestamp")).cast("double")
-        head = F.rpad(F.hex(F.substring(F.encode(col.cast("string"), "utf-8"), skip + 1, TEXT_BYTES)), 2 * TEXT_BYTES, "0")
-        return F.conv(head, 16, 10).cast("double")
-
 
 def key(spec) -> Key:
     if isinstance(spec, Key):
@@ -92,8 +66,9 @@ class Layout:
         return table.select(*self.group, *self.buckets, *[c.alias(n) for n, c in carried.items()])
 
     def attach(self, table: DataFrame) -> DataFrame:
-        # at most MAX_BUCKETS rows per group and level, so broadcasting it is bounded
-        table = F.broadcast(table.withColumnsRenamed({c: f"__j_{c}" for c in self.group + self.buckets}))
+        table = materialize(table.withColumnsRenamed({c: f"__j_{c}" for c in self.group + self.buckets}), "bucket-totals")
+        if table.count() <= BROADCAST_TOTALS:
+            table = F.broadcast(table)
         match = reduce(
             lambda a, b: a & b,
             [F.col(c).eqNullSafe(F.col(f"__j_{c}")) for c in self.group + self.buckets],
@@ -105,6 +80,11 @@ class Layout:
 
 
 def layout(df: DataFrame, group, order, rows_per_bucket: int = ROWS_PER_BUCKET, rows: int | None = None) -> Layout:
+    """``df`` as it is if it has at most ``rows_per_bucket`` rows, else in buckets of about as many, in the order of group and keys.
+
+    Spark's range exchange picks the limits. Rows that tie in all keys are told apart by a hash of their other columns, so a tie is as many
+    buckets as it needs; only rows that are equal in every column stay together.
+    """
     keys = [key(k) for k in order]
     group = list(group)
     if rows is None:
@@ -112,47 +92,14 @@ def layout(df: DataFrame, group, order, rows_per_bucket: int = ROWS_PER_BUCKET,
     plan = Layout(df, group, keys, rows)
     if rows <= rows_per_bucket:
         return plan
-    n = min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket))
-    dense = F.lit(True)  # rows whose bucket is still a single value at the previous level
-    level = 0
-    for k in keys:
-        part = 0
-        while True:
-            code, name = f"__code{level}", f"__b{level}"
-            plan.df = plan.df.withColumn(code, F.when(dense, k.code(df, part * TEXT_BYTES)))
-            splits, heavy, gaps = _splits(plan.df.filter(dense).select(code), code, n, rows)
-            cut = Bucketizer(splits=splits, inputCol=code, outputCol=name, handleInvalid="keep")
-            number = F.col(name).cast("int")
-            if k.descending:
-                number = -number
-            plan.df = cut.transform(plan.df).withColumn(name, F.coalesce(number, F.when(dense, F.lit(len(splits) + 2)).otherwise(0)))
-            plan.buckets.append(name)
-            dense = dense & (F.col(code).isin(heavy) | F.col(code).isNull() | F.isnan(code))
-            level, part = level + 1, part + 1
-            if not heavy or part >= k.lengths(df):
-                break
-        if not heavy and not gaps:
-            break
-    plan.df = plan.df.drop(*[f"__code{i}" for i in range(level)])
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    rest = [c for c in df.columns if not isinstance(kinds[c], (T.MapType, T.VariantType))]
+    limits = [*[F.col(c) for c in group], *[k.sort() for k in keys], F.xxhash64(*rest)]
+    ranged = df.repartitionByRange(math.ceil(rows / rows_per_bucket), *limits).withColumn(BUCKET, F.spark_partition_id())
+    plan.df, plan.buckets = materialize(ranged, "ordered"), [BUCKET]
     return plan
 
 
-def _splits(codes: DataFrame, code: str, n: int, rows: int) -> tuple[list[float], list[float], bool]:
-    """Range limits for about n equal ranges; a value seen at two limits in a row gets a range of its own.
-
-    Also says whether the missing values alone would fill a range. One scan that keeps a random sample; no sketch is merged.
-    """
-    each = max(20, min(200, SAMPLED // n))
-    share = min(1.0, each * n / max(rows, 1))
-    seen = [r[0] for r in (codes.sample(share, seed=1) if share < 1 else codes).collect()]
-    values = sorted(v for v in seen if v is not None and not math.isnan(v))
-    step = each if share < 1 else max(1, rows // n)
-    limits = values[step::step]
-    heavy = sorted({a for a, b in zip(limits, limits[1:]) if a == b})
-    inner = set(limits) | {math.nextafter(v, math.inf) for v in heavy}
-    return [-math.inf, *sorted(x for x in inner if math.isfinite(x)), math.inf], heavy, len(seen) - len(values) > step
-
-
 def row_numbers(df: DataFrame, order, name: str, group=(), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Position 1..n within ``group`` by ``order`` (a leading ``-`` means descending)."""
     plan = layout(df, group, order, rows_per_bucket)
@@ -169,7 +116,8 @@ def min_ranks(df: DataFrame, value: str, descending: bool, rank: str, display_ra
               digits: int = 10, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Competition ranks: ``rank`` by the raw value; ``display_rank`` and the number of ``ties`` by the rounded value.
 
-    A value that fills a bucket alone needs no sort: all its rows share the rank that follows the rows before it.
+    A value can go over several buckets. Only the first and the last value of a bucket can have begun before it or go on after it;
+    the bucket totals say where such a value starts and how often it occurs, every other value is ranked within its bucket.
     """
     raw, rounded = Key(value, descending), Key("__round", descending)
     df = df.withColumn("__round", F.round(F.col(value), digits))
@@ -181,36 +129,49 @@ def min_ranks(df: DataFrame, value: str, descending: bool, rank: str, display_ra
             "*", F.rank().over(by_raw).cast("bigint").alias(rank), F.rank().over(by_round).cast("bigint").alias(display_rank),
             F.count(F.lit(1)).over(Window.partitionBy("__round")).alias(ties),
         ).drop("__round")
-    first = plan.buckets[0]
-    before = plan.across().rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(first)
-    # one row per bucket; a bucket is flat when it holds one value only
-    table = plan.carry(
-        {"__n": F.count(F.lit(1)), "__lo": F.min("__round"), "__hi": F.max("__round"),
-         "__rlo": F.min(value), "__rhi": F.max(value)},
-        {"__before": F.coalesce(F.sum("__n").over(before), F.lit(0)), "__n": F.col("__n"),
-         "__lo": F.col("__lo"), "__hi": F.col("__hi"), "__rlo": F.col("__rlo"), "__rhi": F.col("__rhi")},
-    ).withColumns({
-        "__first": F.min("__before").over(whole),
-        "__size": F.sum("__n").over(whole),
-        "__flat": F.min("__lo").over(whole).eqNullSafe(F.max("__hi").over(whole)),
-        "__rflat": F.col("__rlo").eqNullSafe(F.col("__rhi")),
-    }).drop("__n", "__lo", "__hi", "__rlo", "__rhi")
-    joined = plan.attach(table).withColumn("__flat", F.coalesce("__flat", F.lit(False)))
-    flat = joined.filter("__flat AND __rflat").withColumns({
-        rank: F.col("__before") + 1, display_rank: F.col("__first") + 1, ties: F.col("__size"),
-    })
-    rest = joined.filter("NOT (__flat AND __rflat)")
-    cells = Window.partitionBy(*plan.buckets)
-    rest = rest.withColumns({
-        rank: F.col("__before") + F.rank().over(cells.orderBy(raw.sort())),
-        display_rank: F.when(F.col("__flat"), F.col("__first") + 1)
-        .otherwise(F.col("__before") + F.rank().over(cells.orderBy(rounded.sort()))),
-        ties: F.when(F.col("__flat"), F.col("__size"))
-        .otherwise(F.count(F.lit(1)).over(Window.partitionBy(*plan.buckets, "__round"))),
+    local = plan.window()
+    whole = Window.partitionBy(BUCKET)
+    edges = plan.df.select(
+        BUCKET, F.struct("__round", F.col(value).alias("raw")).alias("v"), F.row_number().over(local).alias("k"),
+        F.count(F.lit(1)).over(whole).alias("n"), F.rank().over(local).alias("starts"),
+        F.rank().over(Window.partitionBy(BUCKET).orderBy(rounded.sort())).alias("round_starts"))
+    # one row per bucket: its size, first and last value, and where the last one starts within it
+    at_first, at_last = F.col("k") == 1, F.col("k") == F.col("n")
+    table = materialize(edges.groupBy(BUCKET).agg(
+        F.first("n").alias("n"), F.max(F.when(at_first, F.col("v"))).alias("first"), F.max(F.when(at_last, F.col("v"))).alias("last"),
+        F.max(F.when(at_last, F.col("starts"))).alias("starts"), F.max(F.when(at_last, F.col("round_starts"))).alias("round_starts")), "bucket-edges")
+    order = Window.orderBy(BUCKET)
+    table = table.withColumns({
+        "before": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "previous": F.lag("last").over(order)})
+    for name, part, starts in (("raw", lambda c: F.col(c), "starts"), ("round", lambda c: F.col(f"{c}.__round"), "round_starts")):
+        goes_on = F.col("previous").isNotNull() & part("first").eqNullSafe(part("previous"))
+        alone = goes_on & part("first").eqNullSafe(part("last"))  # the bucket is inside one value that began earlier
+        table = table.withColumn(f"__began_{name}", F.when(~alone, F.col("before") + F.col(starts)))
+        earlier = F.last(f"__began_{name}", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        table = table.withColumn(f"__first_{name}", F.when(goes_on, earlier).otherwise(F.col("before") + 1))
+    table = table.select(BUCKET, F.col("before").alias("__before"), F.col("first").alias("__first"), F.col("last").alias("__last"), "__first_raw", "__first_round")
+    joined = plan.attach(table)
+    first_raw = F.col("__round").eqNullSafe(F.col("__first.__round")) & F.col(value).eqNullSafe(F.col("__first.raw"))
+    first_round = F.col("__round").eqNullSafe(F.col("__first.__round"))
+    edge = first_round | F.col("__round").eqNullSafe(F.col("__last.__round"))
+    cell = Window.partitionBy(BUCKET, "__round")
+    ranked = joined.withColumns({
+        rank: F.when(first_raw, F.col("__first_raw")).otherwise(F.col("__before") + F.rank().over(local)),
+        display_rank: F.when(first_round, F.col("__first_round")).otherwise(
+            F.col("__before") + F.rank().over(Window.partitionBy(BUCKET).orderBy(rounded.sort()))),
+        "__here": F.count(F.lit(1)).over(cell), "__edge": edge,
     })
-    both = flat.unionByName(rest).drop("__before", "__first", "__size", "__flat", "__rflat", "__round")
-    return plan.clean(both)
+    # values at the edges of buckets, at most two a bucket, are counted over all buckets
+    totals = plan.df.join(F.broadcast(_edge_values(table)), F.col("__round").eqNullSafe(F.col("__value")), "left_semi") \
+        .groupBy(F.col("__round").alias("__value")).agg(F.count(F.lit(1)).alias("__all"))
+    out = ranked.join(F.broadcast(totals), F.col("__edge") & F.col("__round").eqNullSafe(F.col("__value")), "left")
+    out = out.withColumn(ties, F.coalesce("__all", "__here"))
+    return plan.clean(out.drop("__round", "__before", "__first", "__last", "__first_raw", "__first_round", "__here", "__edge", "__value", "__all"))
+
+
+def _edge_values(table: DataFrame) -> DataFrame:
+    return table.select(F.explode(F.array("__first.__round", "__last.__round")).alias("__value")).distinct()
 
 
 AGGREGATES = {"min": F.min, "max": F.max, "sum": F.sum}

@@ -177,3 +177,36 @@ def test_exact_quantiles(spark, limit):
     got = exact_quantiles(df, {"v": probs}, limit)["v"]
     assert np.allclose(got, np.quantile(values, probs), rtol=0, atol=1e-9)
     assert exact_quantiles(df.filter("id < 0"), {"v": [0.5]}, limit) == {"v": [None]}
+
+
+@pytest.mark.parametrize("value", [3.0, None, float("nan"), float("-inf")])
+def test_one_value_in_many_buckets(spark, value):
+    rows = [(i, value) for i in range(300)] + [(300 + i, float(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "id bigint, v double")
+    plan = layout(df, [], ["v"], 40)
+    assert plan.df.groupBy(*plan.buckets).count().agg(F.max("count")).first()[0] < 120  # the other column divides the tie
+    for descending in (True, False):
+        one = {r["id"]: r[2:] for r in min_ranks(df, "v", descending, "a", "b", "c").select("id", "v", "a", "b", "c").collect()}
+        many = {r["id"]: r[2:] for r in min_ranks(df, "v", descending, "a", "b", "c", rows_per_bucket=40).select("id", "v", "a", "b", "c").collect()}
+        assert many == one
+
+
+def test_numbers_within_many_groups_join_their_totals_by_shuffle(spark, monkeypatch):
+    from specval.operators import ordered
+
+    monkeypatch.setattr(ordered, "BROADCAST_TOTALS", 0)
+    df = spark.range(3000).select("id", F.when(F.col("id") % 7 > 0, (F.col("id") % 40).cast("string")).alias("g"), (F.col("id") * 37 % 1009).alias("v"))
+    got = {(r["g"], r["id"]): r["n"] for r in row_numbers(df, ["-v", "id"], "n", ["g"], rows_per_bucket=100).collect()}
+    pdf = df.toPandas().sort_values(["v", "id"], ascending=[False, True])
+    pdf["n"] = pdf.groupby("g", dropna=False).cumcount() + 1
+    assert got == {(None if pd.isna(g) else g, i): n for g, i, n in zip(pdf.g, pdf.id, pdf.n)}
+
+
+def test_the_range_exchange_is_sparks_own(spark):
+    jobs = "ordered-jobs"
+    spark.sparkContext.setJobGroup(jobs, "")
+    plan = layout(spark.range(5000), [], ["-id"], 1000)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    counts = sorted((r[plan.buckets[0]], r["n"], r["hi"]) for r in plan.df.groupBy(*plan.buckets).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("hi")).collect())
+    assert len(counts) == 5 and sum(n for _, n, _ in counts) == 5000 and max(n for _, n, _ in counts) < 2000
+    assert [hi for _, _, hi in counts] == sorted((hi for _, _, hi in counts), reverse=True)
