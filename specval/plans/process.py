@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from specval.operators.features import prepare_features
 from specval.plans.cost_spec import Scored, cs_ratio, rank_rows
 from specval.sources.plans import Batch, read_batch, read_batches
-from specval.sources.store import response, save_rankings, save_raw, stamp
+from specval.sources.store import load_rankings, response, save_rankings, save_raw, stamp
 
 RESPONSE_TOP = 10
 
@@ -42,6 +42,6 @@ def process_batch(batch: Batch, root: str, key: str = "id") -> Result:
     scored = cs_ratio(features, options["method"], options["featureSet"], options["feeColumn"], key=key)
     ranked = rank_rows(scored.rows, ("-CS", key))
     run_id = save_rankings(ranked, scored.cost_structure, root, scored.method)
-    stored = spark.read.parquet(f"{root}/runs/{run_id}/rankings")
+    stored = load_rankings(spark, root, run_id).rankings
     top = response(stored.orderBy("rank_number").limit(RESPONSE_TOP), bool(options["includeComparison"]))
     return Result(stored, scored, run_id, top)

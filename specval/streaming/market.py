@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -9,7 +11,7 @@ from specval import config as C
 from specval.operators.features import prepare_features
 from specval.plans.cost_spec import cs_ratio, rank_rows
 from specval.session import clear_scratch, scratch_scope
-from specval.sources.store import save_rankings
+from specval.sources.store import committed, save_rankings
 
 ANNOUNCEMENT = "snapshot_id string, path string"
 
@@ -31,18 +33,24 @@ def rank_stream(spark: SparkSession, folder: str, root: str, checkpoint: str, me
     """M1: one micro-batch per announced snapshot, which may have any number of files (a ratio needs the whole market, so
     snapshots are not added up).
 
-    Runs are numbered by batch, so a repeated batch replaces its own tables and doesn't become the newest. Its intermediate
-    tables are dropped once the run is stored.
+    Runs are named after the stream, which lives as long as its checkpoint, the batch and the place in it. A run of a repeated batch that is
+    in the store already is left alone; the store's log orders all runs, those of other streams and of batch jobs too, by completion.
+    Several announcements in one file are treated in their order. Intermediate tables are dropped once a run is stored.
     """
     source = spark.readStream.schema(ANNOUNCEMENT).option("maxFilesPerTrigger", 1).json(folder)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        for r in batch.collect():  # the announcements of one file
-            scope = f"market-{batch_id}"
+        stream = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+        for k, r in enumerate(batch.collect()):  # the announcements of one file
+            name = re.sub(r"[^A-Za-z0-9_.-]", "_", r["snapshot_id"] or "")[:80]
+            run_id = f"{stream}-{batch_id:08d}-{k:03d}-{name}"
+            if committed(session, root, run_id) is not None:
+                continue
+            scope = f"market-{stream}-{batch_id}"
             scratch_scope(session, scope)
             try:
-                rank_snapshot(session.read.schema(schema).json(r["path"]), root, f"batch-{batch_id:08d}-{r['snapshot_id']}", method, fee, key)
+                rank_snapshot(session.read.schema(schema).json(r["path"]), root, run_id, method, fee, key)
             finally:
                 scratch_scope(session, "main")
                 clear_scratch(session, scope)
