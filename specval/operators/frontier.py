@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from specval.config import UNLIMITED_FLAGS, continuous
 from specval.functions.numeric import known, numbers, unpivot
 from specval.operators.ordered import ROWS_PER_BUCKET, running
+from specval.operators.quantiles import sketched_quantiles
 from specval.session import materialize
 
 LIMITED, UNLIMITED = "limited", "unlimited"
 DENSE_VALUES = 50_000  # distinct values among the sample rows above which a column is thinned first
 RANGES = 1_000
+SKETCH = 4 * RANGES  # size of the sketch that gives their limits
 POINT = ["kind", "feature", "value", "cost"]
 
 
@@ -79,9 +81,9 @@ def cheapest_levels(df: DataFrame, features, flags=None, cost: str = "original_f
 
 
 def _thinned(wide: DataFrame, dense: list[str]) -> DataFrame:
-    """Blanks values that a row in a higher value range beats. Three scans, none of which shuffles more than a few sketches."""
+    """Blanks values that a row in a higher value range beats. Three scans, none of which shuffles more than a sketch per task."""
     probs = [i / RANGES for i in range(1, RANGES)]
-    limits = wide.agg(*[F.percentile_approx(f, probs, 10 * RANGES).alias(f) for f in dense]).first()
+    limits = sketched_quantiles(wide, {f: (F.col(f), probs) for f in dense}, SKETCH)
     cut = Bucketizer(
         splitsArray=[[-math.inf, *sorted({v for v in limits[f] if math.isfinite(v)}), math.inf] for f in dense],
         inputCols=dense, outputCols=[f"__r_{f}" for f in dense], handleInvalid="keep")
