@@ -232,12 +232,15 @@ def neighbours(df: DataFrame, group, position: str, outputs: dict[str, tuple[str
 
 
 def sequential(df: DataFrame, group: str, position: str, kernel, needed: list[str],
-               chunk_rows: int = ROWS_PER_BUCKET, rows: int | None = None, label: str = "sequential") -> DataFrame:
+               chunk_rows: int = ROWS_PER_BUCKET, rows: int | None = None, label: str = "sequential",
+               summary: dict[str, Column] | None = None, passes_by=None) -> DataFrame:
     """Keep rows by a rule that depends on the row kept last, in order of ``position`` within ``group``.
 
     ``kernel(pdf, state) -> (mask, state)`` treats one chunk. Chunks run in parallel from an assumed incoming state;
     the passes repeat until the state leaving every chunk equals the one its successor assumed, which then is the
-    in-order result. Rules of this kind forget their start quickly, so two or three passes are usual.
+    in-order result. Rules of this kind forget their start quickly, so two or three passes are usual. A state that chunks can't
+    change would wander on by one chunk a pass: ``passes_by(state, totals)`` says from a chunk's ``summary`` (aggregates, by name) that
+    no row of it is kept, and such chunks are passed at once.
     """
     schema = df.schema
     if rows is None:
@@ -251,30 +254,43 @@ def sequential(df: DataFrame, group: str, position: str, kernel, needed: list[st
         return df.groupBy(group).applyInPandas(whole, schema)
 
     data = materialize(df.withColumn("__chunk", F.floor((F.col(position) - 1) / chunk_rows)), label)
+    totals = {}
+    if summary:
+        found = data.groupBy(F.col(group).cast("string").alias("__g"), "__chunk").agg(*[c.alias(n) for n, c in summary.items()]).collect()  # a row per chunk
+        totals = {(r["__g"], r["__chunk"]): r for r in found}
+    narrow = data.select(*dict.fromkeys([group, position, "__chunk", *needed]))
     entry: dict[tuple, tuple] = {}
-
-    def leaving(entering: dict) -> dict:
-        def run(key, pdf):
-            pdf = pdf.sort_values(position, kind="stable")
-            state = kernel(pdf, entering.get((key[0], int(key[1]))))[1]
-            return pd.DataFrame({"g": [str(key[0])], "c": [int(key[1])], "s": [list(state) if state is not None else None]})
-
-        out = data.select(*dict.fromkeys([group, position, "__chunk", *needed])).groupBy(group, "__chunk").applyInPandas(
-            run, "g string, c bigint, s array<double>")
-        return {(r["g"], r["c"]): (tuple(r["s"]) if r["s"] is not None else None) for r in out.collect()}
-
     while True:
-        states = leaving(entry)
-        # a chunk hands its state to the next one of its group that has rows
-        places = sorted(states)
-        following = {b: states[a] for a, b in zip(places, places[1:]) if a[0] == b[0] and states[a] is not None}
+        leaving = _chunk_states(narrow, group, position, kernel, entry)
+        following: dict[tuple, tuple] = {}
+        state, before = None, None
+        for place in sorted(leaving):  # a chunk hands its state to the next one of its group that has rows
+            if before is None or before[0] != place[0]:
+                state = None
+            if state is not None:
+                following[place] = state
+            if state is None or passes_by is None or not passes_by(state, totals[place]):
+                state = leaving[place] if leaving[place] is not None else state
+            before = place
         if following == entry:
             break
         entry = following
 
     def keep(key, pdf):
         pdf = pdf.sort_values(position, kind="stable")
-        mask, _ = kernel(pdf, entry.get((key[0], int(key[1]))))
+        mask, _ = kernel(pdf, entry.get((str(key[0]), int(key[1]))))
         return pdf[mask].drop(columns="__chunk")
 
     return data.groupBy(group, "__chunk").applyInPandas(keep, schema)
+
+
+def _chunk_states(data: DataFrame, group: str, position: str, kernel, entering: dict[tuple, tuple]) -> dict[tuple, tuple | None]:
+    """The state that leaves each chunk, given the states that enter."""
+
+    def run(key, pdf):
+        pdf = pdf.sort_values(position, kind="stable")
+        state = kernel(pdf, entering.get((str(key[0]), int(key[1]))))[1]
+        return pd.DataFrame({"g": [str(key[0])], "c": [int(key[1])], "s": [list(state) if state is not None else None]})
+
+    out = data.groupBy(group, "__chunk").applyInPandas(run, "g string, c bigint, s array<double>")
+    return {(r["g"], r["c"]): (tuple(r["s"]) if r["s"] is not None else None) for r in out.collect()}

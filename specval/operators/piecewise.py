@@ -193,9 +193,33 @@ def _plausible(coefficients: dict[str, float]):
 
 
 def without_price_jumps(placed: DataFrame, coefficients: dict[str, float], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Drop a level that costs less than 0.8 of the level kept before, or rises over 10 times the coefficient."""
+    """Drop a level that costs less than 0.8 of the level kept before, or rises over 10 times the coefficient.
+
+    With ``slack = cost - limit * value``, a level rises too steeply from the one kept before iff its slack is greater. Where no level costs
+    less than 0.8 of any lower one, as after ``without_cost_drops``, only that counts, so the level kept last is the one of
+    least slack so far: a running minimum, and no pass depends on another. Other tables go chunk by chunk; a state that all levels
+    of a chunk are too cheap or too steep for passes it at once.
+    """
     wanted = placed.filter(F.col("feature").isin(list(coefficients)))
-    return sequential(wanted, "feature", "pos", _plausible(coefficients), ["feature", "value", "cost"], rows_per_bucket, label="price-jumps")
+    limits = F.create_map(*[F.lit(x) for f, c in coefficients.items() for x in (f, STEEPNESS * c)])
+    slack = F.col("cost") - limits[F.col("feature")] * F.col("value")
+    seen = running(wanted, ["feature"], ["pos"], {
+        "highest": ("max", F.col("cost")),
+        "last": ("min", F.struct(slack.alias("slack"), (-F.col("pos")).alias("late"), F.col("value").alias("v"), F.col("cost").alias("c")))}, "before", rows_per_bucket)
+    seen = materialize(seen, "price-jumps-seen")
+    if seen.filter(F.col("cost") < COST_DROP * F.col("highest")).isEmpty():
+        steep = (F.col("cost") - F.col("last.c")) / (F.col("value") - F.col("last.v")) > limits[F.col("feature")]
+        return seen.filter(F.col("last").isNull() | ~steep).drop("highest", "last")
+
+    def passes_by(state, chunk) -> bool:
+        value, cost = state
+        limit = STEEPNESS * coefficients[chunk["feature"]]
+        spare = 1e-9 * (abs(cost) + abs(limit * value) + abs(chunk["least_slack"]))  # rounding never lets a chunk with a kept level pass
+        return chunk["most"] < cost * COST_DROP or chunk["least_slack"] > cost - limit * value + spare
+
+    return sequential(
+        wanted, "feature", "pos", _plausible(coefficients), ["feature", "value", "cost"], rows_per_bucket, label="price-jumps",
+        summary={"feature": F.first("feature"), "most": F.max("cost"), "least_slack": F.min(slack)}, passes_by=passes_by)
 
 
 # --- granular segments ------------------------------------------------------------------------------
