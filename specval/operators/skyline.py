@@ -10,6 +10,7 @@ Nothing is dropped or capped. If nearly all vectors are efficient, step 3 stays
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,34 +138,36 @@ def _without_clearly_dominated(points: DataFrame, numeric: list[str]) -> DataFra
 
 
 class Boxes:
-    """A k-d tree that cuts at medians of a sample; ``place`` gives the box of each row."""
+    """A k-d tree that cuts the largest box at the median of its part of a sample; ``place`` gives the box of each row.
+
+    Every cut costs time in proportion to its box, so a tree costs the sample times the logarithm of the boxes.
+    """
 
     def __init__(self, sample: np.ndarray, boxes: int):
         self.dim, self.cut, self.child = [-1], [0.0], [(0, 0)]
         spread = np.ptp(sample, axis=0) if len(sample) else np.ones(sample.shape[1])
         spread = np.where(np.isfinite(spread) & (spread > 0), spread, 1.0)
-        leaves = [(len(sample), 0, sample)]
-        while leaves and len(leaves) < boxes:
-            leaves.sort(key=lambda leaf: leaf[0])
-            size, node, rows = leaves.pop()
-            width = np.ptp(rows, axis=0) / spread if size else np.zeros(sample.shape[1])
+        heap, count = [(-len(sample), 0, sample)], 1  # largest box first; its number breaks ties, so rows are never compared
+        while heap and count < boxes:
+            _, node, rows = heapq.heappop(heap)
+            width = np.ptp(rows, axis=0) / spread if len(rows) else np.zeros(sample.shape[1])
             width = np.where(np.isfinite(width), width, 0)
             dim = int(np.argmax(width))
-            if not size or width[dim] <= 0:
-                leaves.append((0, node, rows))
-                if all(leaf[0] == 0 for leaf in leaves):
-                    break
-                continue
-            values = np.sort(rows[:, dim])
-            cut = float(values[(size - 1) // 2])
-            if cut == values[-1]:
+            if width[dim] <= 0:
+                continue  # one point only: can't be cut
+            values = rows[:, dim]
+            middle = (len(values) - 1) // 2
+            cut = float(np.partition(values, middle)[middle])
+            if cut == values.max():
                 cut = float(values[values < cut].max())
-            low = rows[:, dim] <= cut
+            low = values <= cut
             self.dim[node], self.cut[node], self.child[node] = dim, cut, (len(self.dim), len(self.dim) + 1)
             self.dim += [-1, -1]
             self.cut += [0.0, 0.0]
             self.child += [(0, 0), (0, 0)]
-            leaves += [(int(low.sum()), self.child[node][0], rows[low]), (int((~low).sum()), self.child[node][1], rows[~low])]
+            for child, part in zip(self.child[node], (rows[low], rows[~low])):
+                heapq.heappush(heap, (-len(part), child, part))
+            count += 1
         self.arrays = np.array(self.dim), np.array(self.cut), np.array(self.child)
 
     def place(self, points: np.ndarray) -> np.ndarray:
