@@ -15,10 +15,12 @@ from specval.llm.text import slices
 
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object canvas select noframes".split())
+RAW = frozenset("script style title textarea".split())  # text up to the end tag, or the end of the page
+UNSEEN = frozenset("noscript template iframe svg math object canvas select noframes".split())  # left out if they have an end tag
+CHOICES = frozenset("option optgroup".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
                    "strong sub sup time tt u var wbr".split())
-ASIDE = frozenset("nav footer aside form dialog button menu fieldset head".split())
+ASIDE = frozenset("nav footer aside form dialog button menu fieldset head option optgroup".split())
 WHOLE = frozenset("html body article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol dl".split())
@@ -29,9 +31,15 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 BESIDE = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion sidebar menu nav navbar navigation
     footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share
     sharing social related recommended comment comments disqus reply replies respond breadcrumb breadcrumbs pagination pager toolbar widget hidden""".split())
-FOR = frozenset("article content main post entry story text body page with has no".split())
+NOT = frozenset("no has with without overflow".split())  # has-sidebar, no-comments, overflow-hidden: about something else
+TOPS = frozenset("header masthead".split())  # an article's own, if the name says so
+FOR = frozenset("article content main post entry story".split())
+#: Headings of reader comments.
+COMMENTS = re.compile(r"(?:\d+ )?(?:(?:reader|user|your) )?(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?)(?: ?\(\d+\))?:?|"
+                      r"(?:leave|post|write) a (?:reply|comment)|join the (?:discussion|conversation)", re.I)
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|[!?][^>]*+(?:>|\Z))""", re.S)
+END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW | UNSEEN}
 ATTRIBUTE = re.compile(r"""([^\s"'=/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 COMMAS = re.compile("[,،、，]")
 LEVELS = 5  # ancestors that get points
@@ -39,12 +47,14 @@ FAR_SHARE, LINKS = 0.2, 0.8
 
 
 class Node:
-    __slots__ = ("tag", "parent", "score", "out", "chars", "links", "order")
+    __slots__ = ("tag", "parent", "score", "out", "chars", "links", "order", "seen", "menu", "inside", "side")
 
     def __init__(self, tag: str, parent: "Node | None", out: bool, order: int):
         self.tag, self.parent, self.out, self.order = tag, parent, out, order
         self.score = 0.0
         self.chars = self.links = 0
+        self.seen = self.menu = self.inside = False
+        self.side = None
 
 
 def beside(tag: str, attributes: str, in_article: bool) -> bool:
@@ -63,7 +73,8 @@ def beside(tag: str, attributes: str, in_article: bool) -> bool:
     for name in f"{found.get('class', '')} {found.get('id', '')}".split():
         words = set(re.split(r"[-_:.\d]+|(?<=[a-z])(?=[A-Z])", name))
         words = {w.lower() for w in words}
-        if words & BESIDE and not words & FOR:
+        named = words & BESIDE
+        if named and not words & NOT and not (named <= TOPS and words & FOR):
             return True
     return False
 
@@ -76,6 +87,7 @@ def blocks_of(html: str) -> list[tuple[str, int, Node]]:
     link_parts: list[str] = []
     links, articles, order, at, n = 0, 0, 0, 0, len(html)
     holder = root
+    ends: dict[str, int] = {}  # where the next end tag of an unseen element ends, beyond the page if there is none
 
     def flush() -> None:
         if parts:
@@ -120,10 +132,18 @@ def blocks_of(html: str) -> list[tuple[str, int, Node]]:
                     holder = stack[-1]
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+            end = END[tag].search(html, at)
             at = end.end() if end else n
             add(" ")
             continue
+        if tag in UNSEEN:
+            if at > ends.get(tag, -1):
+                end = END[tag].search(html, at)
+                ends[tag] = n + 1 if end is None else end.end()
+            if ends[tag] <= n:  # without an end tag only the tag itself is left out
+                at = ends[tag]
+            add(" ")
+            continue
         if tag in INLINE:
             if tag == "br":
                 add(" ")
@@ -141,6 +161,13 @@ def blocks_of(html: str) -> list[tuple[str, int, Node]]:
             k -= 1
         if k and stack[k].tag == "p":
             pop_to(k)  # a block ends an open paragraph
+        if tag not in CHOICES:
+            k = len(stack) - 1
+            while k and stack[k].tag in INLINE:
+                k -= 1
+            while k and stack[k].tag in CHOICES:  # and an open choice
+                pop_to(k)
+                k -= 1
         if tag in CLOSES:
             same, within = CLOSES[tag]
             k = len(stack) - 1
@@ -159,21 +186,28 @@ def blocks_of(html: str) -> list[tuple[str, int, Node]]:
     return blocks
 
 
-def under(node: Node, top: Node) -> bool:
-    while node is not None and node.order >= top.order:
-        if node is top:
-            return True
-        node = node.parent
-    return False
+def _nodes(blocks: list[tuple[str, int, Node]]) -> list[Node]:
+    """All elements that hold a block, parents before children."""
+    found = []
+    for _, _, node in blocks:
+        while node is not None and not node.seen:
+            node.seen = True
+            found.append(node)
+            node = node.parent
+    return sorted(found, key=lambda node: node.order)
 
 
 def main_text(html: str | None) -> str:
     """The blocks of the best container and of its good siblings, one per line."""
     blocks = blocks_of(html or "")
+    nodes = _nodes(blocks)
     for text, linked, node in blocks:
-        for up in _ancestors(node, 64):
-            up.chars += len(text)
-            up.links += linked
+        node.chars += len(text)
+        node.links += linked
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.links += node.links
     scored: dict[int, Node] = {}
     for text, linked, node in blocks:
         if node.tag in HEADINGS:
@@ -188,25 +222,43 @@ def main_text(html: str | None) -> str:
     final = {k: v.score * (1 - v.links / max(v.chars, 1)) for k, v in scored.items()}
     best = scored[max(final, key=lambda k: (final[k], -k))]
     limit = FAR_SHARE * final[best.order]
-    for up in _ancestors(best, 64):
-        if up.tag in ("article", "main"):
-            best = up
-            break
+    up = best
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    best = up or best
+    for node in nodes:
+        parent = node.parent
+        node.menu = (parent is not None and parent.menu) or (node.tag in LISTS and node.links >= LINKS * node.chars)
+        node.inside = node is best or (parent is not None and parent.inside)
+        node.side = None if parent is None else node if parent is best.parent else parent.side
     kept = []
+    remarks: tuple[Node, str] | None = None  # the container and the level of the heading of reader comments that were reached
     for text, linked, node in blocks:
-        inside = under(node, best)
-        if not inside and best.parent is not None and under(node, best.parent):
-            side = node
-            while side.parent is not best.parent and side.parent is not None:
-                side = side.parent
+        if node.tag in HEADINGS:
+            if COMMENTS.fullmatch(text):
+                remarks = (node.parent, node.tag) if remarks is None or not _within(node, remarks[0]) else remarks
+            elif remarks is not None and node.parent is remarks[0] and node.tag <= remarks[1]:
+                remarks = None
+        if remarks is not None:
+            if _within(node, remarks[0]):
+                continue
+            remarks = None
+        inside = node.inside
+        if not inside and best.parent is not None and (node.side is not None or node is best.parent):
+            side = node.side or node
             inside = side.tag in HEADINGS or side is best.parent or (final.get(side.order, 0) >= limit > 0) or (
                 side.tag == "p" and linked < 0.25 * len(text) and len(text) >= 80)
-        menu = best.tag not in ("article", "main") and any(up.tag in LISTS and up.links >= LINKS * up.chars for up in _ancestors(node, 8))
-        if inside and not menu:
+        if inside and not (node.menu and best.tag not in ("article", "main")):
             kept.append(text)
     return "\n".join(kept)
 
 
+def _within(node: Node | None, top: Node) -> bool:
+    while node is not None and node.order > top.order:
+        node = node.parent
+    return node is top
+
+
 def _ancestors(node: Node | None, levels: int) -> Iterator[Node]:
     while node is not None and levels:
         yield node
@@ -216,7 +268,8 @@ def _ancestors(node: Node | None, levels: int) -> Iterator[Node]:
 def extract(pages: DataFrame, html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
     """The ``carry`` columns (default: all but the html) and ``__text``, one row per row of ``pages``.
 
-    A missing or empty page, and one without text, gives an empty text. Broken markup is read as far as it goes.
+    A missing or empty page, and one without text, gives an empty text. Unclosed elements end where their container ends; only an unclosed script,
+    style, title or textarea takes the rest of the page, as in browsers. Elements may be nested to any depth.
     """
     carry = [c for c in pages.columns if c != html_col] if carry is None else carry
 
