@@ -7,17 +7,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specval.llm.common import join_checked
-from specval.llm.text import slices, split_words
+from specval.llm.text import by_bytes, slices
 from specval.llm.tokens import WordBpe, loaded
 from specval.session import materialize
 
 LENGTH = 4096
+_PLAIN_SPACE = np.arange(256, dtype=np.uint8)
+_PLAIN_SPACE[9:14] = 32
+BATCH_BYTES = 4_000_000  # of text, or one text if that is longer
 END_ID = 2
 
 
@@ -27,20 +31,43 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _spaced(texts: pa.Array) -> pa.Array:
+    """The texts with a space for each white-space byte; missing ones are empty. In UTF-8 these bytes are never part of another character."""
+    texts = pc.fill_null(texts, "")
+    _, places, body = texts.buffers()
+    body = pa.py_buffer(_PLAIN_SPACE[np.frombuffer(body, np.uint8)].tobytes()) if body else body
+    return pa.StringArray.from_buffers(len(texts), places, body, offset=texts.offset)
+
+
+def _ids_of(bpe: WordBpe, texts: pa.Array, end_id: int) -> tuple[np.ndarray, pa.Array]:
+    """(numbers of ids, ids as bytes) of texts, each with its end. Only a batch's different words reach the tokenizer; Arrow and numpy do the rest."""
+    lists = pc.split_pattern(_spaced(texts), " ")  # spaces at an end or side by side make empty words, which have no ids
+    coded = lists.flatten().dictionary_encode()
+    counts, flat = bpe.streams(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+    first = np.cumsum(counts) - counts
+    word = coded.indices.to_numpy()
+    lengths = counts[word]
+    reach = np.concatenate(([0], np.cumsum(lengths)))
+    stream = flat[np.repeat(first[word] - reach[:-1], lengths) + np.arange(reach[-1])]
+    offsets = lists.offsets.to_numpy()
+    ends = reach[offsets[1:] - offsets[0]]
+    sizes = np.diff(ends, prepend=0) + 1
+    stream = np.insert(stream, ends, end_id).astype("<u2")
+    places = np.concatenate(([0], 2 * np.cumsum(sizes))).astype(np.int32)
+    return sizes.astype(np.int64), pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(places), pa.py_buffer(stream.tobytes())])
+
+
 def token_streams(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int) -> DataFrame:
     """``__id``, ``__tokens``, ``__ids`` (unsigned 16-bit), ``__part`` (the task) and ``__before`` (the task's ids before the row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part, before, end = loaded(WordBpe, vocabulary), TaskContext.get().partitionId(), 0, np.array([end_id], "<u2").tobytes()
-        for batch in slices(batches):
-            words = [split_words(t) for t in batch.column(1).to_pylist()]
-            bpe.learn([w for ws in words for w in ws])
-            ids = [bpe.ids(ws) + end for ws in words]
-            sizes = np.array([len(x) // 2 for x in ids], np.int64)
+        bpe, part, before = loaded(WordBpe, vocabulary), TaskContext.get().partitionId(), 0
+        for batch in by_bytes(batches, 1, BATCH_BYTES):
+            sizes, ids = _ids_of(bpe, batch.column(1), end_id)
             starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(ids, pa.binary()), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts)],
+                [batch.column(0), pa.array(sizes), ids, pa.array(np.full(len(ids), part, np.int32)), pa.array(starts)],
                 names=["__id", "__tokens", "__ids", "__part", "__before"])
 
     fields = [T.StructField("__id", docs.schema[id_col].dataType), T.StructField("__tokens", T.LongType()), T.StructField("__ids", T.BinaryType()),

@@ -13,12 +13,36 @@ CACHED_WORDS = 600_000
 GROUP = 1000
 
 
+class Recent:
+    """What was asked for of late: about ``limit`` entries and those of the batch at hand. The older half goes when the newer is full."""
+
+    def __init__(self, limit: int):
+        self.half, self.new, self.old = limit // 2, {}, {}
+
+    def missing(self, keys: list) -> list:
+        """The keys it doesn't hold; those of the older half move to the newer one."""
+        if len(self.new) > self.half:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        absent = [k for k in keys if k not in new]
+        known = [k for k in absent if k in old]
+        new.update(zip(known, map(old.__getitem__, known)))
+        return [k for k in absent if k not in old] if known else absent
+
+    def add(self, keys, values) -> None:
+        self.new.update(zip(keys, values))
+
+    def all(self, keys) -> list:
+        """Values of keys that ``missing`` was asked for and that were added since."""
+        return list(map(self.new.__getitem__, keys))
+
+
 class WordBpe:
     """Ids of a ``tokenizers`` vocabulary that drops white space and marks word ends, as ``encode`` gives them.
 
     As white space separates tokens for sure, the ids of a text are those of its words one after the other. Words made
     of Latin letters go to the vocabulary's model in groups, as normalising and splitting would leave them as they are in lower case;
-    all others go through the whole tokenizer. The cache is emptied when it is full.
+    all others go through the whole tokenizer. Words seen of late are kept.
     """
 
     def __init__(self, path: str):
@@ -36,13 +60,13 @@ class WordBpe:
             self.ends[number] = token.endswith("</w>")
         if self._whole(["a b c"])[0] != b"".join(self._whole(["a", "b", "c"])):
             raise ValueError("the vocabulary doesn't tokenize word by word")
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.words, self.cores, self.marks = Recent(CACHED_WORDS), Recent(CACHED_WORDS // 2), Recent(CACHED_WORDS // 10)
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _add_cores(self, cores: list[str]) -> None:
+    def _core_ids(self, cores: list[str]) -> list[bytes]:
+        out = []
         for at in range(0, len(cores), GROUP):
             group = cores[at:at + GROUP]
             ids = np.array(self.model.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u2")
@@ -50,30 +74,25 @@ class WordBpe:
             if len(cuts) != len(group):
                 raise ValueError("the vocabulary doesn't mark the ends of words")
             raw = ids.tobytes()
-            self.cores.update(zip(group, (raw[2 * a:2 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()))))
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.words) + len(self.cores) > CACHED_WORDS:
-            self.words, self.cores = {}, {"": b""}
-        new = set(words).difference(self.words)
-        if not new:
-            return
-        plain, other = [], []
-        for w in new:
-            m = PLAIN.match(w)
-            if m:
-                plain.append((w, m[1].lower(), m[2]))
-            else:
-                other.append(w)
-        self._add_cores(list({core for _, core, _ in plain}.difference(self.cores)))
-        marks = list({mark for _, _, mark in plain}.difference(self.cores))
-        self.cores.update(zip(marks, self._whole(marks)))
-        self.words.update((w, self.cores[core] + self.cores[mark]) for w, core, mark in plain)
-        self.words.update(zip(other, self._whole(other)))
-
-    def ids(self, words: list[str]) -> bytes:
-        """Ids of the words as unsigned little-endian 16-bit numbers. ``learn`` them first."""
-        return b"".join(map(self.words.__getitem__, words))
+            out += [raw[2 * a:2 * b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+        return out
+
+    def streams(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of ids of each word, ids of all of them one after the other) of different words."""
+        new = self.words.missing(words)
+        parts = list(map(PLAIN.match, new))
+        plain = [w for w, m in zip(new, parts) if m]
+        other = [w for w, m in zip(new, parts) if not m]
+        cores = [m[1].lower() for m in parts if m]
+        marks = [m[2] for m in parts if m]
+        del parts
+        for cache, keys, make in ((self.cores, cores, self._core_ids), (self.marks, marks, self._whole)):
+            fresh = cache.missing(list(dict.fromkeys(keys)))
+            cache.add(fresh, make(fresh))
+        self.words.add(plain, map(bytes.__add__, self.cores.all(cores), self.marks.all(marks)))
+        self.words.add(other, self._whole(other))
+        found = self.words.all(words)
+        return np.fromiter(map(len, found), np.int64, len(found)) // 2, np.frombuffer(b"".join(found), "<u2")
 
 
 class WordPieces:
