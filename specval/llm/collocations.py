@@ -22,9 +22,9 @@ MAX_WORDS = 3
 LEAST = 10
 TOP = 2000
 RUN_BYTES = 3_000_000  # text whose words a task holds at a time, about half a million
-SLICE_BYTES = 500_000  # text whose bytes are treated at a time
+SLICE_BYTES = 250_000  # text whose bytes are treated at a time
 RUN_WORDS = 30_000  # keys of a row, or more up to the next end of a piece; values below half a megabyte are light on the JVM's collector
-HELD_KEYS = 1_000_000  # keys that are sorted and counted together
+HELD_KEYS = 400_000  # keys that are sorted and counted together
 STEP_POSITIONS = 250_000  # text positions whose states move together
 TRIE_PHRASES = 500_000  # of one trie, some 25 MB
 BROADCAST_KEYS = 4_000_000  # of 8 bytes
