@@ -50,5 +50,5 @@ def test_run_and_registration(spark, folder):
     import __spark_entry__
 
     queries = __spark_entry__.queries()
-    assert "pipeline" in queries and sum(q.startswith("op") for q in queries) == 10
+    assert "pipeline" in queries and sum(q.startswith("op") for q in queries) == 13
     assert corpus_pipeline.run(spark, folder).count() > 0
