@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from specval import config as C
 from specval.session import materialize
+from specval.sources.arrays import read_json_values
 
 DEFAULT_PATH = "data/processed/latest_processed_data.csv"
 
@@ -66,11 +67,11 @@ def parse_records(raw: DataFrame, schema: T.StructType = C.PLAN_SCHEMA) -> DataF
 
 def read_batches(spark: SparkSession, path: str, lines: bool = True, schema: T.StructType = C.PLAN_SCHEMA) -> list[Batch]:
     """A1: one batch per set of options. ``lines`` reads one JSON value per line, which splits large files over tasks; without it
-    every file is one value.
+    every file is one value, and the objects of a long array are read by many tasks.
 
     The source is read once; the parsed plans are a written table that everything later reads.
     """
-    raw = spark.read.text(path, wholetext=not lines)
+    raw = spark.read.text(path) if lines else read_json_values(spark, path)
     parsed = materialize(parse_records(raw, schema), "plan-batch")
     rejects = parsed.filter("reason IS NOT NULL").select("record", "reason")
     rows = parsed.filter("reason IS NULL").drop("record", "reason")
