@@ -68,8 +68,8 @@ def diagonal_range(df: DataFrame, baseline: str = "B", fee: str = "fee") -> Data
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Type, missing values and distinct values of every column.
 
-    Exact distinct counts go through (column, value) groups, so no task holds all values of a column, but every value
-    is shuffled once. ``approximate`` uses sketches: one scan, no such shuffle.
+    Exact distinct counts go through (column, value) groups, so no task holds all values of a column. A value travels as the
+    128 bits of its MD5, never as text, and only once for each task that has it. ``approximate`` uses sketches: one scan, no such shuffle.
     """
     kinds = df.sparkSession.createDataFrame([(c, t) for c, t in df.dtypes], "column_name string, data_type string")
     if approximate:
@@ -78,7 +78,7 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
             for i, c in enumerate(df.columns)])
         cells = row.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(df.columns))])).alias("s")).select("s.*")
         return kinds.join(cells, "column_name")
-    texts = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    texts = df.select(*[F.unhex(F.md5(F.encode(F.col(c).cast("string"), "utf-8"))).alias(c) for c in df.columns])
     levels = texts.unpivot([], df.columns, "column_name", "value").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     counts = levels.groupBy("column_name").agg(
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
