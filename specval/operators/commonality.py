@@ -1,12 +1,14 @@
 """Variance decomposition over all subsets of the features.
 
-The rows are read once (sums of products). The 2^p - 1 subset fits are a Spark job of their own: a range of bit masks,
-each solved from the broadcast p x p sums.
+The rows are read once (sums of products). The 2^p - 1 subset fits are a Spark job of their own on the p x p sums: each
+task sweeps all subsets of the first features together, for its choices of the other ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -14,28 +16,62 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specval.config import economic_bounds, redistribution_bounds
-from specval.operators import solve
 from specval.operators.gram import Gram
 
 MAX_FEATURES = 62  # bits of the mask
+TAIL = 12  # features whose subsets are swept together; 2^12 small matrices are a few MB
+
+
+def sweep(system: np.ndarray, scale: np.ndarray, at: int = 0) -> np.ndarray:
+    """What is left of symmetric matrices (... x m x m) after the column ``at`` is taken out of the others.
+
+    A column that the ones taken before explain (up to rounding) adds nothing.
+    """
+    pivot = system[..., at, at]
+    usable = pivot > 1e-11 * scale
+    row = system[..., at, :]
+    factor = np.where(usable, 1.0 / np.where(usable, pivot, 1.0), 0.0)
+    return system - factor[..., None, None] * row[..., :, None] * row[..., None, :]
+
+
+def subset_residuals(centred: np.ndarray, taken: list[int], rest: list[int]) -> np.ndarray:
+    """Residual sums of squares of the fits on ``taken`` and each subset of ``rest``; bit i of the place stands for ``rest[i]``.
+
+    Each step doubles the matrices (with and without the next feature) and leaves out its column, so a subset costs a few
+    numbers instead of a fit of its own.
+    """
+    order = [*taken, *rest, len(centred) - 1]
+    spread = np.diag(centred)[order]
+    states = centred[np.ix_(order, order)][None]
+    for i in range(len(taken)):
+        states = sweep(states, spread[i])[:, 1:, 1:]
+    for i in range(len(taken), len(order) - 1):
+        states = np.concatenate([states[:, 1:, 1:], sweep(states, spread[i])[:, 1:, 1:]])
+    return states[:, 0, 0]
 
 
 def subset_fits(spark: SparkSession, g: Gram) -> DataFrame:
-    """(mask, size, r2) for every non-empty subset; bit i of the mask stands for feature i."""
+    """(mask, size, r2) for every non-empty subset; bit i of the mask stands for feature i.
+
+    A task row stands for a choice of the features beyond the first ``TAIL``; the subsets of those are swept together.
+    """
     if g.p > MAX_FEATURES:
         raise ValueError(f"{g.p} features have 2^{g.p} subsets; a mask has {MAX_FEATURES} bits")
-    shared = spark.sparkContext.broadcast(Gram(g.features, g.n, g.mean, g.centred))
+    centred, total = g.centred, g.total_ss()
+    tail = min(g.p, TAIL)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stats = shared.value
         for pdf in batches:
-            masks = pdf["id"].to_numpy()
-            r2 = [solve.subset_r2(stats, [i for i in range(stats.p) if (int(m) >> i) & 1]) for m in masks]
-            yield pd.DataFrame({"mask": masks, "r2": np.array(r2, dtype=float)})
+            for head in pdf["id"].tolist():
+                taken = [i for i in range(tail, len(centred) - 1) if (head >> (i - tail)) & 1]
+                left = subset_residuals(centred, taken, list(range(tail)))
+                r2 = np.maximum(0.0, 1.0 - left / total) if total > 0 else np.zeros(len(left))
+                masks = (head << tail) + np.arange(1 << tail, dtype=np.int64)
+                yield pd.DataFrame({"mask": masks, "r2": r2})[masks > 0]
 
-    masks = spark.range(1, 1 << g.p, numPartitions=max(1, min(1 << g.p, 8 * spark.sparkContext.defaultParallelism)))
-    fits = masks.mapInPandas(run, "mask bigint, r2 double")
-    return fits.withColumn("size", F.bit_count("mask"))
+    heads = 1 << (g.p - tail)
+    ids = spark.range(0, heads, numPartitions=max(1, min(heads, 8 * spark.sparkContext.defaultParallelism)))
+    return ids.mapInPandas(run, "mask bigint, r2 double").withColumn("size", F.bit_count("mask"))
 
 
 def _features(spark: SparkSession, features: list[str]) -> DataFrame:
@@ -72,14 +108,18 @@ def variance_decomposition(fits: DataFrame, features: list[str]) -> DataFrame:
     names = F.broadcast(_features(spark, features))
     full = (1 << len(features)) - 1
     total = fits.filter(F.col("mask") == full).select("r2").scalar()
-    members = fits.select("mask", "r2", "size", F.explode(F.array(*[F.lit(1 << i).cast("bigint") for i in range(len(features))])).alias("bit")) \
-        .filter(F.col("mask").bitwiseAND(F.col("bit")) != 0)
     own = fits.filter("size = 1").select(F.col("mask").alias("bit"), F.col("r2").alias("own"))
-    shared = (
-        members.filter("size > 1").join(F.broadcast(own), "bit")
-        .groupBy("mask", "r2", "size").agg(F.sum("own").alias("owned"))
-        .select("mask", (F.greatest(F.lit(0.0), F.col("r2") - F.col("owned")) / F.col("size")).alias("share")))
-    per_feature = members.select("mask", "bit").join(shared, "mask").groupBy("bit").agg(F.sum("share").alias("common"))
+    alone = {r["bit"]: r["own"] for r in own.collect()}  # a number for each feature
+
+    def holds(i: int) -> Column:
+        return F.col("mask").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
+
+    owned = reduce(add, [F.when(holds(i), F.lit(alone[1 << i])).otherwise(0.0) for i in range(len(features))])
+    share = F.greatest(F.lit(0.0), F.col("r2") - owned) / F.col("size")
+    sums = fits.filter("size > 1").select("mask", share.alias("share")).agg(  # one row leaves each task
+        *[F.sum(F.when(holds(i), F.col("share"))).alias(f"s{i}") for i in range(len(features))])
+    per_feature = sums.select(F.explode(F.array(*[
+        F.struct(F.lit(1 << i).cast("bigint").alias("bit"), F.col(f"s{i}").alias("common")) for i in range(len(features))])).alias("s")).select("s.*")
     common = F.coalesce("common", F.lit(0.0))
 
     def percent(part: Column) -> Column:
