@@ -1,20 +1,26 @@
 """Sums of products: all that the regressions need from the rows.
 
-One aggregate of p(p+1)/2 + ... sums, combined map-side; p is the number of features (about 15). Columns are shifted
-by their means first (a pass that adds up one number per column), which keeps the sums well scaled; what is left of the
-centring is done on the p x p result. No row prefix or sample has a say in the result.
+One aggregate of p(p+1)/2 + ... sums, combined map-side, for p features up to ``GENERATED`` columns (about 15 as a rule). More
+columns would pass the size of generated code: then numpy multiplies Arrow batches inside tasks and an aggregate keyed by matrix
+cell adds up what tasks found. Columns are shifted by their means first (a pass that adds up one number per column), which keeps
+the sums well scaled; what is left of the centring is done on the p x p result. No row prefix or sample has a say in the result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specval.functions.numeric import known
 
+GENERATED = 24  # columns whose sums of products are one generated aggregate
+BATCH_CELLS = 1_000_000  # numbers that are multiplied at once
+
 
 @dataclass
 class Gram:
@@ -72,6 +78,50 @@ def product_sums(m: int) -> list[Column]:
     return [F.expr(t) for t in texts]
 
 
+def cell_sums(rows: DataFrame, m: int, by: str | None = None) -> DataFrame:
+    """(group, cell, total) of the columns x0 .. x(m-1): cell i * (m + 1) + j, i <= j, of the products of the columns and a last one of ones.
+
+    A task returns one matrix per group; groups are few.
+    """
+    width = m + 1
+    upper = np.array([i * width + j for i in range(width) for j in range(i, width)], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str | None, np.ndarray] = {}
+        step = max(1, BATCH_CELLS // width)
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                x = np.column_stack([*(c.to_numpy(zero_copy_only=False) for c in part.columns[1:]), np.ones(part.num_rows)])
+                keys = part.column(0).dictionary_encode()
+                # a missing group is a group of its own
+                codes = keys.indices.fill_null(len(keys.dictionary)).to_numpy(zero_copy_only=False)
+                names = [*keys.dictionary.to_pylist(), None]
+                for code in np.unique(codes).tolist():
+                    own = x[codes == code]
+                    found[names[code]] = found.get(names[code], 0.0) + own.T @ own
+        for key, total in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(upper), pa.string()), pa.array(upper), pa.array(total.ravel()[upper])], names=["key", "cell", "total"])
+
+    group = F.col(by).cast("string") if by else F.lit("")
+    columns = rows.select(group.alias("key"), *[F.col(f"x{i}").cast("double") for i in range(m)])
+    return columns.mapInArrow(run, "key string, cell long, total double").groupBy("key", "cell").agg(F.sum("total").alias("total"))
+
+
+def _wide_rows(moved: DataFrame, m: int, by: str | None) -> list[dict]:
+    """As the rows of ``product_sums``, from ``cell_sums``."""
+    cells: dict[str | None, dict] = {}
+    for r in cell_sums(moved, m, by).collect():  # groups times columns squared
+        i, j = divmod(r["cell"], m + 1)
+        name = "n" if i == m else f"s{i}" if j == m else f"q{i}_{j}"
+        cells.setdefault(r["key"], {})[name] = r["total"]
+    if not by:
+        return [cells.get("", {"n": 0})]
+    kind = moved.schema["by"].dataType
+    named = moved.sparkSession.createDataFrame([(k,) for k in cells], "key string").select("key", F.col("key").cast(kind).alias("by")).collect() if cells else []
+    return [{**cells[r["key"]], "by": r["by"]} for r in named]
+
+
 def gram(df: DataFrame, features: list[str], target: str, by: str | None = None,
          values: dict[str, Column] | None = None) -> Gram:
     """D9 over rows with a target; missing features count as 0. ``by`` also keeps the sums per group (few groups)."""
@@ -87,7 +137,10 @@ def gram(df: DataFrame, features: list[str], target: str, by: str | None = None,
     shift = np.array([v if v is not None and np.isfinite(v) else 0.0 for v in first])
     keep = [F.col(by).alias("by")] if by else []
     moved = wide(df, *keep).select(*[(F.col(f"x{i}") - F.lit(float(shift[i]))).alias(f"x{i}") for i in range(m)], *(["by"] if by else []))
-    rows = (moved.groupBy("by") if by else moved.groupBy()).agg(*product_sums(m)).collect()  # one row per group
+    if m > GENERATED:
+        rows = _wide_rows(moved, m, "by" if by else None)
+    else:
+        rows = (moved.groupBy("by") if by else moved.groupBy()).agg(*product_sums(m)).collect()  # one row per group
     parts = {r["by"] if by else None: _from_sums(features, r, shift) for r in rows}
     whole = None
     for part in parts.values():
@@ -120,6 +173,13 @@ def sufficient_statistics(df: DataFrame, features: list[str], target: str) -> Da
     for i, (a, b) in enumerate(pairs):
         left = values.get(a, F.lit(1.0))
         sums[f"q{i}"] = F.sum(left * values.get(b, F.lit(1.0)))
+    if len(names) > GENERATED:
+        rows = df.filter(known(df, target).isNotNull()).select(*[values[c].alias(f"x{i}") for i, c in enumerate(names)])
+        at = {c: i for i, c in enumerate(names)} | {"1": len(names)}
+        named = [(min(at[a], at[b]) * (len(names) + 1) + max(at[a], at[b]), a, b) for a, b in pairs]
+        lookup = df.sparkSession.createDataFrame(named, "cell long, f1 string, f2 string")
+        found = cell_sums(rows, len(names)).select("cell", F.col("total").alias("sum_product"))
+        return F.broadcast(lookup).join(found, "cell", "left").select("f1", "f2", "sum_product")  # columns squared
     row = df.filter(known(df, target).isNotNull()).agg(*[c.alias(n) for n, c in sums.items()])
     cells = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"q{i}").alias("sum_product")) for i, (a, b) in enumerate(pairs)]
     return row.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
@@ -127,9 +187,14 @@ def sufficient_statistics(df: DataFrame, features: list[str], target: str) -> Da
 
 def correlations(df: DataFrame, features: list[str]) -> DataFrame:
     """Pearson correlation of every pair of features in one aggregate; missing for a constant column."""
+    if len(features) > GENERATED:
+        r = gram(df.withColumn("__one", F.lit(1.0)), features, "__one").correlation()
+        rows = [(a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(features) for j, b in enumerate(features) if i < j]
+        return df.sparkSession.createDataFrame(rows, "f1 string, f2 string, corr double")
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
     values = df.select(*[F.coalesce(known(df, f), F.lit(0.0)).alias(f) for f in features])
-    row = values.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    # corr() itself fails on a constant column in ANSI mode
+    row = values.agg(*[F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     cells = [
         F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.nanvl(F.col(f"r{i}"), F.lit(None).cast("double")).alias("corr"))
         for i, (a, b) in enumerate(pairs)
