@@ -18,6 +18,19 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def boxed(names: list[str]) -> Column:
+    """The columns as one struct ``__doc``, so that names used on the way can't clash with theirs."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in names]).alias("__doc")
+
+
+def unboxed(names: list[str]) -> list[Column]:
+    return [F.col(f"__doc.{quoted(c)}").alias(c) for c in names]
+
+
 def word_count(column: str) -> Column:
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specval.llm.common import BROADCAST_ROWS, WHITE, join_checked, text_of
+from specval.llm.common import BROADCAST_ROWS, WHITE, boxed, join_checked, quoted, text_of, unboxed
 from specval.session import materialize
 
 PREFIX = 256  # characters
@@ -15,10 +15,6 @@ def normalised(column: str) -> Column:
     return F.regexp_replace(text_of(column), WHITE, " ")
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _refined(docs: DataFrame, id_col: str, text_col: str, held: list[str], digest: bool, prefix: int,
              limit: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(every row: ``__row``, ``__id``, ``__sha`` with ``digest``, the ``held`` columns in ``__doc``; rows of a group of two or more: ``__row``,
@@ -30,16 +26,16 @@ def _refined(docs: DataFrame, id_col: str, text_col: str, held: list[str], diges
     def whole(column: str) -> Column:
         return F.sha2(F.encode(normalised(column), "utf-8"), 256).alias("__sha")
 
-    text = normalised(_quoted(text_col))
+    text = normalised(quoted(text_col))
     rows = materialize(docs.select(
-        F.struct(*[F.col(_quoted(c)).alias(c) for c in held]).alias("__doc"), F.col(_quoted(id_col)).alias("__id"),
+        boxed(held), F.col(quoted(id_col)).alias("__id"),
         F.length(text).alias("__n"), F.xxhash64(F.substring(text, 1, prefix)).alias("__p"),
-        *([whole(_quoted(text_col))] if digest else []), F.monotonically_increasing_id().alias("__row")), "exact-rows")
+        *([whole(quoted(text_col))] if digest else []), F.monotonically_increasing_id().alias("__row")), "exact-rows")
     keys = rows.select("__n", "__p")
     lengths = materialize(keys.groupBy("__n").count().filter("count > 1").select("__n"), "exact-lengths")
     repeated = join_checked(keys, lengths, ["__n"], "left_semi").groupBy("__n", "__p").count().filter("count > 1")
     repeated = materialize(repeated.select("__n", "__p"), "exact-prefixes")
-    narrow = ["__id", "__row", F.col("__sha") if digest else whole(f"__doc.{_quoted(text_col)}")]
+    narrow = ["__id", "__row", F.col("__sha") if digest else whole(f"__doc.{quoted(text_col)}")]
     if repeated.count() <= limit:
         hits = rows.join(F.broadcast(repeated), ["__n", "__p"], "left_semi").select(*narrow)
     else:
@@ -68,11 +64,11 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     carry = [id_col] if carry is None else carry
     held = carry if digest or text_col in carry else [*carry, text_col]
     rows, placed = _refined(docs, id_col, text_col, held, digest, prefix)
-    rows = rows.select("__row", "__id", F.struct(*[F.col(f"__doc.{_quoted(c)}").alias(c) for c in carry]).alias("__doc"), *(["__sha"] if digest else []))
+    rows = rows.select("__row", "__id", F.struct(*unboxed(carry)).alias("__doc"), *(["__sha"] if digest else []))
     joined = join_checked(rows, placed.drop("__sha") if digest else placed, ["__row"], "left")
     grouped = F.col("__size").isNotNull()
     return joined.select(
-        *[F.col(f"__doc.{_quoted(c)}").alias(c) for c in carry],
+        *unboxed(carry),
         F.when(grouped, F.col("__first.id")).otherwise(F.col("__id")).alias("__keep_id"),
         F.coalesce("__size", F.lit(1)).cast("long").alias("__group_size"),
         F.when(grouped, F.col("__first.row") == F.col("__row")).otherwise(True).alias("__kept"), "__sha")
@@ -86,4 +82,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows, placed = _refined(docs, id_col, text_col, docs.columns, False, PREFIX)
     gone = placed.filter(F.col("__first.row") != F.col("__row")).select("__row")
     kept = join_checked(rows.select("__row", "__doc"), gone, ["__row"], "left_anti")
-    return kept.select(*[F.col(f"__doc.{_quoted(c)}").alias(c) for c in docs.columns])
+    return kept.select(*unboxed(docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specval.llm.common import join_checked, word_count
+from specval.llm.common import boxed, join_checked, unboxed, word_count
 from specval.operators.ordered import row_numbers
 from specval.session import materialize
 
@@ -106,9 +106,9 @@ def times_taken() -> Column:
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
           weights=WEIGHTS, epochs: int = EPOCHS, budget: float = 1.0) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it: none, one or several times."""
+    """``docs`` with every row as often as the mix takes it: none, one or several times. Any column names are allowed."""
     _, plan = mix_sources(docs, id_col, source_col, text_col, weights, epochs, budget)
-    keyed = docs.withColumns({"__source": source_key(source_col), "__hash": hash_of(id_col, text_col)})
+    keyed = docs.select(boxed(docs.columns), source_key(source_col).alias("__source"), hash_of(id_col, text_col).alias("__hash"))
     taken = join_checked(keyed, plan.select("__source", "__times", "__upto"), ["__source"], "inner").withColumn("__taken", times_taken())
     copies = taken.filter("__taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__taken").cast("int"))))
-    return copies.select(*docs.columns)
+    return copies.select(*unboxed(docs.columns))

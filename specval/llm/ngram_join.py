@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from specval.llm.common import join_checked
+from specval.llm.common import boxed, join_checked, unboxed
 from specval.llm.graph import components
 from specval.llm.text import hash_words, mix, slices, window_hashes
 from specval.session import materialize
@@ -241,10 +241,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` with one row of each group of similar texts: that with the smallest id. Rows that repeat its id and text stay with it."""
+    """``docs`` with one row of each group of similar texts: that with the smallest id. Rows that repeat its id and text stay with it.
+
+    Any column names are allowed.
+    """
     rows = similar_groups(docs, id_col, text_col, **settings)
     this = F.struct(F.col("__id").isNull().alias("gap"), F.col("__id").alias("id"), F.col("__key").alias("key"))
     gone = rows.filter(~this.eqNullSafe(F.col("__group"))).select(
         F.coalesce(F.col("__id").cast("string"), F.lit("")).alias("__gone"), F.col("__id").isNull().alias("__gap"), "__key").distinct()
-    keyed = docs.withColumns({"__gone": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__gap": F.col(id_col).isNull(), "__key": text_key(text_col)})
-    return join_checked(keyed, materialize(gone, "join-gone"), ["__gone", "__gap", "__key"], "left_anti").select(*docs.columns)
+    keyed = docs.select(boxed(docs.columns), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__gone"),
+                        F.col(id_col).isNull().alias("__gap"), text_key(text_col).alias("__key"))
+    kept = join_checked(keyed, materialize(gone, "join-gone"), ["__gone", "__gap", "__key"], "left_anti")
+    return kept.select(*unboxed(docs.columns))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from specval.llm.common import boxed, unboxed
 from specval.llm.text import _IS_WHITE, _hash_bytes, slices
 
 PASSAGE_WORDS = 64
@@ -256,3 +257,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     carry = [id_col] if carry is None else carry
     return score(docs, model, text_col, carry).select(
         *carry, held_out(id_col).alias("__held_out"), "__score", (F.col("__score") >= threshold).cast("int").alias("__predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts; any column names are allowed."""
+    rows = docs.select(F.col(id_col), F.col(text_col), boxed(docs.columns))
+    judged = classify(rows, labels, id_col, text_col, carry=[id_col, "__doc"], **settings)
+    return judged.filter("__predicted = 1").select(*unboxed(docs.columns))
