@@ -33,7 +33,7 @@ def own_scratch(stage):
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It is fitted on those of ``docs`` that have a label and aren't held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.classify(docs, labels, carry=docs.columns).filter("__predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, labels)
 
 
 @own_scratch
