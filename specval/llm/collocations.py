@@ -1,8 +1,8 @@
 """Frequent phrases and how strongly their parts belong together.
 
-Level by level: a phrase can only be frequent if its parts are, so the candidates of a level are the phrases whose parts are frequent, as far as
-the text has enough of them. Candidates go to all tasks as double-array tries of bounded size. Numpy moves the states of all
-text positions through a trie at once, one symbol at a time, and counts the accepting states; the counts of all tasks are added up.
+Level by level: a phrase can only be frequent if its parts are, so the text is read once a level and its phrases whose parts are frequent are dealt
+to parts by their hash. A part makes double-array tries of bounded size of the phrases that may be frequent. Numpy moves the states of all
+phrases dealt to the part through a trie at once, one symbol at a time, and adds up what reaches the accepting states.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ RUN_BYTES = 3_000_000  # text whose words a task holds at a time, about half a m
 SLICE_BYTES = 250_000  # text whose bytes are treated at a time
 RUN_WORDS = 30_000  # keys of a row, or more up to the next end of a piece; values below half a megabyte are light on the JVM's collector
 HELD_KEYS = 400_000  # keys that are sorted and counted together
-STEP_POSITIONS = 250_000  # text positions whose states move together
+PART_WORDS = 500_000  # words of the text for each part that its phrases are dealt to
+STEP_POSITIONS = 250_000  # phrases whose states move together
+SUM_BITS = 20  # sums by hash that say which phrases of a part may be frequent
 TRIE_PHRASES = 500_000  # of one trie, some 25 MB
 BROADCAST_KEYS = 4_000_000  # of 8 bytes
 FLAG_BITS = 27  # 16 MB
@@ -327,32 +329,34 @@ class Phrases:
         return np.stack([(ids >> (8 * d)) & 255 for d in reversed(range(self.digits))], axis=1).astype(np.uint8)
 
     def counts(self, run: np.ndarray) -> np.ndarray:
-        """Occurrences of each phrase."""
+        """Occurrences of each phrase in a text."""
+        n = max(0, len(run) - self.length + 1)
+        return self.sums([run[k:k + n] for k in range(self.length)], np.ones(n, np.int64))
+
+    def sums(self, words: list[np.ndarray], seen: np.ndarray) -> np.ndarray:
+        """How often each phrase is there, given phrases by their first, second, ... words and how often each of them was seen."""
         total = np.zeros(self.trie.phrases, np.int64)
-        for at in range(0, len(run), STEP_POSITIONS):
-            total += self._counts(run[at:at + STEP_POSITIONS + self.length - 1])
+        for at in range(0, len(seen), STEP_POSITIONS):
+            step = slice(at, at + STEP_POSITIONS)
+            rows, leaf = self._leaves([w[step] for w in words])
+            np.add.at(total, leaf, seen[step][rows])
         return total
 
-    def _counts(self, run: np.ndarray) -> np.ndarray:
-        """The states of all positions go down together."""
-        n = len(run) - self.length + 1
-        if n < 1:
-            return np.zeros(self.trie.phrases, np.int64)
-        ids = np.searchsorted(self.words, run)
-        ids[ids == len(self.words)] = 0
-        ids = np.where(self.words[ids] == run, ids, -1)
-        at = np.flatnonzero(ids[:n] >= 0)
+    def _leaves(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that are phrases of the trie, and which ones. The states of all rows go down together."""
+        at = np.arange(len(words[0]))
         states = np.zeros(len(at), np.int32)
-        for k in range(self.length):
-            here = ids[at + k]
-            known = here >= 0
+        for word in words:
+            here = np.searchsorted(self.words, word[at])
+            here[here == len(self.words)] = 0
+            known = self.words[here] == word[at]
             at, states, here = at[known], states[known], here[known]
             for d in reversed(range(self.digits)):
                 states = self.trie.step(states, ((here >> (8 * d)) & 255).astype(np.int32))
                 alive = states >= 0
                 at, states, here = at[alive], states[alive], here[alive]
         leaf = self.trie.leaf[states]
-        return np.bincount(leaf[leaf >= 0], minlength=self.trie.phrases)
+        return at[leaf >= 0], leaf[leaf >= 0]
 
 
 # --- levels
@@ -362,13 +366,13 @@ def _phrase_columns(length: int) -> list[str]:
     return [f"w{k}" for k in range(length)]
 
 
-def _candidates(tokens: DataFrame, length: int, flags, least: int) -> DataFrame:
-    """Phrases in the text whose parts are flagged and which all tasks together saw ``least`` times or more.
+def _dealt(tokens: DataFrame, length: int, flags, parts: int) -> DataFrame:
+    """The phrases in the text whose parts are flagged, dealt to ``parts`` by their hash: rows of ``part`` and ``rows``, in which the first words
+    of some phrases are followed by their second words, ..., and by how often each was seen, 8 bytes each.
 
     A task sends each phrase of some of its text once, with how often it is there, so a phrase that a third of all texts hold is
-    a row per task.
+    a few bytes for some of its text.
     """
-    names = _phrase_columns(length)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def phrases() -> Iterator[np.ndarray]:
@@ -377,54 +381,53 @@ def _candidates(tokens: DataFrame, length: int, flags, least: int) -> DataFrame:
                 yield np.stack([run[at + k] for k in range(length)], axis=1)
 
         for seen in _together(phrases()):
-            _, first, counts = np.unique(mix(fold(list(seen.T))), return_index=True, return_counts=True)
-            columns = [pa.array(seen[first, k].astype(np.int64)) for k in range(length)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names=[*names, "seen"])
-
-    found = tokens.mapInArrow(tally, ", ".join(f"{c} long" for c in names) + ", seen long")
-    found = found.groupBy(*names).agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= least).drop("seen")
-    return materialize(found, f"phrases{length}-candidates")
-
-
-def _counted(tokens: DataFrame, candidates: DataFrame, length: int, least: int, trie_phrases: int) -> DataFrame:
-    """The candidates with their exact number of occurrences, as far as that is ``least`` or more. One trie at a time."""
-    spark, names = tokens.sparkSession, _phrase_columns(length)
-    shards = max(1, -(-candidates.count() // trie_phrases))
-    result = None
-    for shard in range(shards):
-        mine = candidates.filter(F.pmod(F.xxhash64(*names), F.lit(shards)) == shard).toArrow()  # about ``trie_phrases`` rows
-        if not mine.num_rows:
-            continue
-        keys = np.stack([mine.column(c).to_numpy().astype(np.uint64) for c in names], axis=1)
-        phrases = Phrases(keys)
-        keys, phrases.order = keys[phrases.order], None
-        shared, named = spark.sparkContext.broadcast(phrases), spark.sparkContext.broadcast(keys)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(shared.value.trie.phrases, np.int64)
-            for keys in _runs(batches):
-                total += shared.value.counts(keys)
-            hit = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["phrase", "a"])
-
-        sums = tokens.mapInArrow(run, "phrase long, a long").groupBy("phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
-
-        def name(batches: Iterator[pa.RecordBatch], named=named) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = named.value[batch.column(0).to_numpy()].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*[pa.array(own[:, k]) for k in range(length)], batch.column(1)], names=[*names, "a"])
-
-        part = materialize(sums.mapInArrow(name, ", ".join(f"{c} long" for c in names) + ", a long"), f"phrases{length}-{shard}")
-        shared.destroy()
-        named.destroy()
-        result = part if result is None else result.union(part)
-    if result is None:
-        return spark.createDataFrame([], ", ".join(f"{c} long" for c in names) + ", a long")
-    return result
+            hashes, first, counts = np.unique(mix(fold(list(seen.T))), return_index=True, return_counts=True)
+            part = _part(hashes, parts)  # in order, as the hashes are
+            table = np.column_stack((seen[first], counts.astype(np.uint64)))
+            starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))[:len(part)]
+            rows = [table[a:b].T.tobytes() for a, b in zip(starts, [*starts[1:], len(part)])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array(rows, pa.binary())], names=["part", "rows"])
+
+    return tokens.mapInArrow(tally, "part int, rows binary").repartitionById(parts, F.col("part"))
+
+
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a phrase, by the upper half of its hash."""
+    return (hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
+def _counted(tokens: DataFrame, length: int, flags, least: int, parts: int, trie_phrases: int) -> DataFrame:
+    """The phrases whose parts are flagged, with their exact number of occurrences, as far as that is ``least`` or more."""
+    names = _phrase_columns(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(blob.as_buffer(), np.uint64).reshape(length + 1, -1) for batch in batches for blob in batch.column(1)]
+        if not held:
+            return
+        table = np.concatenate(held, axis=1)
+        held.clear()
+        words, seen = list(table[:length]), table[length].astype(np.int64)
+        hashes = mix(fold(words))
+        bucket = (hashes & np.uint64((1 << SUM_BITS) - 1)).astype(np.int64)
+        enough = np.zeros(1 << SUM_BITS, np.int64)
+        np.add.at(enough, bucket, seen)
+        may = np.flatnonzero(enough[bucket] >= least)  # phrases that share a sum may come along, none is kept out
+        words, seen = [w[may] for w in words], seen[may]
+        _, first = np.unique(hashes[may], return_index=True)
+        for at in range(0, len(first), trie_phrases):
+            keys = np.stack([w[first[at:at + trie_phrases]] for w in words], axis=1)
+            phrases = Phrases(keys)
+            total = phrases.sums(words, seen)
+            often = np.flatnonzero(total >= least)
+            own = keys[phrases.order[often]].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*[pa.array(own[:, k]) for k in range(length)], pa.array(total[often])], names=[*names, "a"])
+
+    found = _dealt(tokens, length, flags, parts).mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", a long")
+    return materialize(found, f"phrases{length}")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, least: int = LEAST, top: int = TOP,
-                 trie_phrases: int = TRIE_PHRASES, flag_bits: int = FLAG_BITS, run_bytes: int = RUN_BYTES) -> DataFrame:
+                 trie_phrases: int = TRIE_PHRASES, flag_bits: int = FLAG_BITS, run_bytes: int = RUN_BYTES, part_words: int = PART_WORDS) -> DataFrame:
     """Each language's best phrases of 2 to ``max_words`` words: ``lang``, ``rank``, ``phrase``, ``a`` (occurrences), ``l``, ``r`` (those of
     the two parts of its weakest cut), ``n`` (words of the language) and ``score`` (floor of 1000000 a a / (l r)).
 
@@ -448,12 +451,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
             break
         seed += 1
     sizes = words.groupBy("lang").agg(F.sum("count").alias("n"))
+    parts = max(1, -(-(words.agg(F.sum("count")).first()[0] or 0) // part_words))
     levels = {1: frequent}
     for length in range(2, max_words + 1):
-        parts = levels[length - 1]
-        flags = spark.sparkContext.broadcast(_flags(_with_fold(parts, length - 1), "fold", flag_bits))
-        candidates = _candidates(tokens, length, flags, least)
-        levels[length] = _counted(tokens, candidates, length, least, trie_phrases)
+        flags = spark.sparkContext.broadcast(_flags(_with_fold(levels[length - 1], length - 1), "fold", flag_bits))
+        levels[length] = _counted(tokens, length, flags, least, parts, trie_phrases)
         flags.destroy()
     scored = [_scored(levels, length) for length in range(2, max_words + 1)]
     kept = []

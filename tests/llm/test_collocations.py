@@ -74,6 +74,39 @@ def test_many_tries_and_short_runs_give_the_same(spark):
     assert answer(col.collocations(docs, trie_phrases=400, flag_bits=12, run_bytes=2000)) == brute(rows)
 
 
+def test_a_level_reads_the_text_once_however_many_phrases(spark, monkeypatch):
+    rows = phrase_rows()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches, runs=col._runs):
+        for keys in runs(batches):
+            read.add(len(keys))
+            yield keys
+
+    monkeypatch.setattr(col, "_runs", counted)
+    passes = []
+    for tries in (400, 500_000):
+        before = read.value
+        assert answer(col.collocations(docs, trie_phrases=tries, part_words=10_000)) == brute(rows)
+        passes.append(read.value - before)
+    words = sum(len(re.findall("[^\x20\x09-\x0d.,;:!?]+", r[1] or "")) for r in rows)
+    assert passes[0] == passes[1] and words < passes[0] / 2 < 2 * words  # words and ends of pieces, at two levels
+
+
+def test_sums_of_phrases_seen_several_times():
+    rng = np.random.default_rng(2)
+    words = rng.integers(1, 2**63, 300, dtype=np.uint64)
+    rows = words[rng.integers(0, 300, (20_000, 2))]
+    seen = rng.integers(1, 2**40, len(rows))
+    made = col.Phrases(np.unique(rows[:9000], axis=0))
+    keys = np.unique(rows[:9000], axis=0)[made.order]
+    want = Counter()
+    for row, n in zip(map(tuple, rows.tolist()), seen.tolist()):
+        want[row] += n
+    assert made.sums(list(rows.T), seen).tolist() == [want[tuple(k)] for k in keys.tolist()]
+
+
 def test_texts_of_several_slices_stay_apart(spark):
     docs = spark.createDataFrame([(i, "alpha beta " * 2000, "en" if i % 2 else "fr") for i in range(60)], "doc_id long, text string, lang string").coalesce(1)
     got = {(r["lang"], r["phrase"]): r["a"] for r in col.collocations(docs, max_words=2).collect()}
