@@ -1,6 +1,7 @@
 """Order-dependent operators that do not put a whole ordering into one task.
 
-A plain ``Window.orderBy`` sorts its partition in one task. That is used here only up to ``ROWS_PER_BUCKET`` rows. Larger inputs go through Spark's
+A plain ``Window.orderBy`` sorts its partition in one task. That is used here only up to ``ROWS_PER_BUCKET`` rows, or as many of a wide table as
+make ``CELLS_PER_BUCKET`` values, as whole rows are sorted. Larger inputs go through Spark's
 range exchange on all ordering columns and are written once, each row with the number of its partition: the bucket. As the table is written, a
 repeated task cannot move a row. Totals per bucket form a small table that carries counts, minima, ... from one bucket to the next.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from specval.session import materialize
 
 ROWS_PER_BUCKET = 2_000_000
+CELLS_PER_BUCKET = 8_000_000  # rows times columns; some 130 MB of a sorting task
 BROADCAST_TOTALS = 500_000  # rows of totals per group and bucket that may be broadcast
 BUCKET = "__bucket"
 
@@ -80,7 +82,7 @@ class Layout:
 
 
 def layout(df: DataFrame, group, order, rows_per_bucket: int = ROWS_PER_BUCKET, rows: int | None = None) -> Layout:
-    """``df`` as it is if it has at most ``rows_per_bucket`` rows, else in buckets of about as many, in the order of group and keys.
+    """``df`` as it is if it has at most ``rows_per_bucket`` rows (fewer if they are wide), else in buckets of about as many, in the order of group and keys.
 
     Spark's range exchange picks the limits. Rows that tie in all keys are told apart by a hash of their other columns, so a tie is as many
     buckets as it needs; only rows that are equal in every column stay together.
@@ -89,6 +91,7 @@ def layout(df: DataFrame, group, order, rows_per_bucket: int = ROWS_PER_BUCKET,
     group = list(group)
     if rows is None:
         rows = df.count()
+    rows_per_bucket = min(rows_per_bucket, max(1, CELLS_PER_BUCKET // len(df.columns)))
     plan = Layout(df, group, keys, rows)
     if rows <= rows_per_bucket:
         return plan

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from specval.operators import ordered
 from specval.operators.ordered import layout, min_ranks, neighbours, row_numbers, running, sequential
 from specval.operators.quantiles import exact_quantiles
 
@@ -210,3 +211,17 @@ def test_the_range_exchange_is_sparks_own(spark):
     counts = sorted((r[plan.buckets[0]], r["n"], r["hi"]) for r in plan.df.groupBy(*plan.buckets).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("hi")).collect())
     assert len(counts) == 5 and sum(n for _, n, _ in counts) == 5000 and max(n for _, n, _ in counts) < 2000
     assert [hi for _, _, hi in counts] == sorted((hi for _, _, hi in counts), reverse=True)
+
+
+def test_wide_rows_go_to_more_buckets(spark, monkeypatch):
+    pdf = table(2000)
+    wide = frame(spark, pdf).withColumns({f"c{i}": F.col("id") * i for i in range(37)})  # 40 columns
+    monkeypatch.setattr(ordered, "CELLS_PER_BUCKET", 10_000)
+    plan = layout(wide, [], ["-v", "id"])
+    sizes = [r["count"] for r in plan.df.groupBy(*plan.buckets).count().collect()]
+    assert not plan.single and sum(sizes) == 2000 and max(sizes) <= 500 and layout(wide.select("id", "v"), [], ["v"]).single
+    got = {r["id"]: r["pos"] for r in row_numbers(wide, ["-v", "id"], "pos").collect()}
+    order = sorted(((i, v) for i, _, v in pdf.itertuples(index=False)), key=sort_key(True))
+    assert got == {i: k + 1 for k, (i, _) in enumerate(order)}
+    ranked = min_ranks(wide, "v", True, "r", "d", "ties")
+    assert ranked.columns == [*wide.columns, "r", "d", "ties"] and ranked.count() == 2000
