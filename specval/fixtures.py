@@ -37,8 +37,19 @@ ITEM_FEATURES = ["l_quantity", "l_discount", "l_tax"]
 ITEM_FLAGS = {"l_quantity": "quantity_unlimited"}
 
 
+ROWS_PER_TASK = 100_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows in more partitions where a narrow file of few splits or row groups would give them to a few tasks: what is derived from a row
+    costs far more than reading it."""
+    tasks = -(-df.count() // ROWS_PER_TASK)
+    return df.repartition(tasks) if tasks > df.rdd.getNumPartitions() else df
+
+
 def plans(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.sql(PLANS_SQL.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{folder}/part.parquet"))
+    part = spread(spark.read.parquet(f"{folder}/part.parquet"))
+    return spark.sql(PLANS_SQL.replace("FROM part", "FROM {part}"), part=part)
 
 
 def priced_items(spark: SparkSession, folder: str) -> DataFrame:

@@ -186,20 +186,23 @@ def sufficient_statistics(df: DataFrame, features: list[str], target: str) -> Da
 
 
 def correlations(df: DataFrame, features: list[str]) -> DataFrame:
-    """Pearson correlation of every pair of features in one aggregate; missing for a constant column."""
-    if len(features) > GENERATED:
-        r = gram(df.withColumn("__one", F.lit(1.0)), features, "__one").correlation()
-        rows = [(a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(features) for j, b in enumerate(features) if i < j]
-        return df.sparkSession.createDataFrame(rows, "f1 string, f2 string, corr double")
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    values = df.select(*[F.coalesce(known(df, f), F.lit(0.0)).alias(f) for f in features])
-    # corr() itself fails on a constant column in ANSI mode
-    row = values.agg(*[F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [
-        F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.nanvl(F.col(f"r{i}"), F.lit(None).cast("double")).alias("corr"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return row.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+    """Pearson correlation of every pair of features; missing for a constant column.
+
+    One pass for means and limits, one of sums of products by numpy inside tasks, whatever the number of features: a generated aggregate
+    of a covariance and two deviations per pair is too long to be compiled.
+    """
+    m = len(features)
+    rows = df.select(*[F.coalesce(known(df, f), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)])
+    first = rows.agg(F.count(F.lit(1)).alias("n"), *[F.expr(f"{a}(x{i}) AS {a}{i}") for i in range(m) for a in ("avg", "min", "max")]).first()
+    shift = np.array([first[f"avg{i}"] if first[f"avg{i}"] is not None and np.isfinite(first[f"avg{i}"]) else 0.0 for i in range(m)])
+    sums = _wide_rows(rows.select(*[(F.col(f"x{i}") - F.lit(float(shift[i]))).alias(f"x{i}") for i in range(m)]), m, None)[0]
+    constant = np.array([first[f"min{i}"] == first[f"max{i}"] for i in range(m)], bool)
+    with np.errstate(all="ignore"):
+        s = _from_sums(features[:-1], sums, shift).centred
+        spread = np.where(constant, np.nan, np.sqrt(np.clip(np.diag(s), 0, None)))
+        r = s / spread[:, None] / spread[None, :]
+    pairs = [(a, b, float(r[i, j]) if np.isfinite(r[i, j]) else None) for i, a in enumerate(features) for j, b in enumerate(features) if i < j]
+    return df.sparkSession.createDataFrame(pairs, "f1 string, f2 string, corr double")
 
 
 def high_correlations(df: DataFrame, features: list[str], threshold: float = 0.8) -> DataFrame:

@@ -135,3 +135,16 @@ def test_encodings(spark):
     assert "voice_clean_unlimited_premium" in encode.apply_encoding(df, "premium_encoding", flags).columns
     with pytest.raises(ValueError):
         encode.apply_encoding(df, "nope")
+
+
+def test_plans_of_a_file_with_one_row_group_go_to_many_tasks(spark, tmp_path, folder, monkeypatch):
+    from specval import fixtures
+
+    rows = spark.read.parquet(f"{folder}/part.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    want = sorted(map(str, fixtures.plans(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(fixtures, "ROWS_PER_TASK", 30)
+    dealt = fixtures.plans(spark, str(tmp_path))
+    sizes = [len(p) for p in dealt.select("id").rdd.glom().collect()]
+    assert len(sizes) == -(-rows.count() // 30) and max(sizes) <= 40
+    assert sorted(map(str, dealt.collect())) == want

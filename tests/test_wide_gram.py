@@ -53,3 +53,31 @@ def test_tables_of_products_and_correlations(table, monkeypatch):
         assert got.keys() == calls[f.__name__].keys()
         assert all(got[k] == (pytest.approx(v, rel=1e-9, abs=1e-9) if v is not None else None) for k, v in calls[f.__name__].items())
     assert len(G.high_correlations(df.withColumn("twin", F.col("f3") * 2), ["f3", "twin", "f9"]).collect()) == 1
+
+
+def test_correlations_of_few_features_are_sums_of_products(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    x = draw.normal(0, 1, (4000, 15)) + 1e7
+    x[:, 4] = x[:, 3] * -2 + 5
+    x[:, 6] = 0.1
+    rows = [tuple(map(float, r)) for r in x]
+    names = [f"f{i}" for i in range(15)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(5)
+    passes = []
+    monkeypatch.setattr(G, "cell_sums", lambda *a, real=G.cell_sums: passes.append(a) or real(*a))
+    got = {(r["f1"], r["f2"]): r["corr"] for r in G.correlations(df, names).collect()}
+    with np.errstate(all="ignore"):
+        want = np.corrcoef(x.T)
+    assert len(passes) == 1 and len(got) == 105
+    for i in range(15):
+        for j in range(i + 1, 15):
+            assert got[f"f{i}", f"f{j}"] == (None if 6 in (i, j) else pytest.approx(want[i, j], abs=1e-9))
+
+
+def test_correlations_of_awkward_columns(spark):
+    df = spark.createDataFrame([(1.0, None, float("inf"), 4), (2.0, 3.0, 1.0, 8), (4.0, float("nan"), 2.0, 16)], "a double, b double, c double, d int")
+    got = {(r["f1"], r["f2"]): r["corr"] for r in G.correlations(df, ["a", "b", "c", "d"]).collect()}
+    assert got["a", "d"] == pytest.approx(1.0) and got["a", "b"] == pytest.approx(np.corrcoef([1, 2, 4], [0, 3, 0])[0, 1])
+    assert [k for k, v in got.items() if v is None] == [("a", "c"), ("b", "c"), ("c", "d")]
+    assert [r["corr"] for r in G.correlations(df.filter("a > 9"), ["a", "d"]).collect()] == [None]
+    assert G.correlations(df, ["a"]).collect() == []
